@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, ShortType
+from pyspark.sql.types import IntegerType, LongType, ShortType, StringType
 
 #: The separators of words everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,7 +82,7 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], most_rows: int =
     return left.join(right, [*on, left["__salt"] == right["__salt_"]], "left").drop("__salt", "__salt_", *(f"__{k}" for k in keys))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def lower_ascii(text: pa.Array) -> pa.Array:
     """A-Z in lower case, all else as it is."""
     return pc.ascii_lower(text)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing
+from . import chat, exact_dedup, mixing, simhash
 
-_MODULES = (exact_dedup, mixing, chat)
+_MODULES = (exact_dedup, mixing, chat, simhash)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
