@@ -96,3 +96,9 @@ def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
 def as_long(df: DataFrame, column: str) -> DataFrame:
     """Narrower integer ids become long; others stay as they are."""
     return df.withColumn(column, F.col(column).cast("long")) if isinstance(df.schema[column].dataType, (ShortType, IntegerType, LongType)) else df
+
+
+def hash_sample(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """Of n rows with a 64-bit hash h about sample, and at most sample plus a third: a share of the hash's range."""
+    share = min(1.0, sample / max(1, n))
+    return rows.filter(F.pmod("h", F.lit(1_000_000_007)) < int(share * 1_000_000_007)).limit(sample + sample // 3)
