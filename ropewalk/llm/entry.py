@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, langid, mixing, simhash
+from . import chat, exact_dedup, langid, mixing, quality, simhash
 
-_MODULES = (exact_dedup, mixing, chat, simhash, langid)
+_MODULES = (exact_dedup, mixing, chat, simhash, langid, quality)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
