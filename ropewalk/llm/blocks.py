@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 BLOCK = 8 << 20
 #: Rows that hold the block itself; other kinds hold items.
 TEXTS = 9
-COLUMNS = "kind tinyint, bucket int, block bigint, keys binary, counts binary, items bigint, total bigint, ids array<{id}>, marks array<boolean>, sizes array<int>, text binary"
+COLUMNS = "kind tinyint, bucket int, block bigint, keys binary, counts binary, ids array<{id}>, marks array<boolean>, sizes array<bigint>"
 
 
-def squeeze(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+def squeeze(x: np.ndarray | bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else x.tobytes())
 
 
 def expand(x: bytes, kind: Any = None) -> Any:
@@ -47,11 +48,12 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [raw[s:e] for s, e in zip(starts, ends.tolist(), strict=True)]
 
 
-def bucket_words(words: Iterable[bytes], buckets: int) -> list[list[bytes]]:
-    out: list[list[bytes]] = [[] for _ in range(buckets)]
+def bucket_words(words: Iterable, buckets: int) -> list[list]:
+    """Words, or tuples that begin with one, by a hash of the word."""
+    out: list[list] = [[] for _ in range(buckets)]
     digest = xxhash.xxh32_intdigest
     for w in words:
-        out[digest(w) % buckets].append(w)
+        out[digest(w if isinstance(w, bytes) else w[0]) % buckets].append(w)
     return out
 
 
@@ -62,8 +64,21 @@ class Block:
     texts: list[bytes]
 
 
-def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, int, bytes, bytes | None, int, int]]], fold: Callable[[bytes], bytes] = bytes) -> DataFrame:
-    """Of docs (id, mark, text): a row for each block with its texts, and one for each (kind, bucket, keys, counts, items, total) that items yields."""
+def texts_row(block: Block) -> tuple[int, int, bytes, None, list[int]]:
+    """The block's texts as they are."""
+    return TEXTS, 0, squeeze(b"".join(block.texts)), None, [len(t) for t in block.texts]
+
+
+def read_texts(data: bytes, sizes: list[int]) -> list[bytes]:
+    raw, ends = expand(data), np.cumsum(sizes, dtype=np.int64).tolist()
+    return [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+
+
+def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]], fold: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """Of docs (id, mark, text): a row for each (kind, bucket, keys, counts, sizes) that items yields for a block.
+
+    One of them is of kind TEXTS: it stands for the block's texts, sizes having a number for each.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +86,7 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
         schema = None
         for b in batches:
             texts = [fold(t) for t in b.column("text").to_pylist()]
-            schema = schema or pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.int64()), ("total", pa.int64()), ("ids", pa.list_(b.schema.field("id").type)), ("marks", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("text", pa.binary())])
+            schema = schema or pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(b.schema.field("id").type)), ("marks", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
             start = 0
             while start < len(texts):
                 end, n = start, 0
@@ -81,50 +96,67 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
                 part = Block(b.column("id").slice(start, end - start), b.column("mark").slice(start, end - start).to_pylist(), texts[start:end])
                 number = base + ordinal
                 ordinal += 1
-                rows = [{"kind": k, "bucket": u, "block": number, "keys": keys, "counts": c, "items": i, "total": t} for k, u, keys, c, i, t in items(part)]
-                rows.append({"kind": TEXTS, "bucket": 0, "block": number, "ids": part.ids.to_pylist(), "marks": part.marks, "sizes": [len(t) for t in part.texts], "text": squeeze(b"".join(part.texts))})
+                rows = [{"kind": k, "bucket": u, "block": number, "keys": keys, "counts": c, "sizes": z} | ({"ids": part.ids.to_pylist(), "marks": part.marks} if k == TEXTS else {}) for k, u, keys, c, z in items(part)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 start = end
 
     return docs.select("id", "mark", F.col("text").cast("binary").alias("text")).mapInArrow(run, COLUMNS.format(id=kind))
 
 
-def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[Iterator[tuple[int, int, Iterator[dict]]]], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
-    """Deals rows by (kind, bucket), those of known first, and gives them to reply, bucket by bucket: (kind, bucket, block, values)."""
-    rows = asked.filter(F.col("kind") != TEXTS).select("kind", "bucket", F.lit(1).alias("turn"), "block", "keys", "counts")
+def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """Deals the rows of asked by (kind, bucket), those of known (block is null) first, and gives each bucket to reply: (block, values)."""
+    rows = asked.filter(F.col("kind") != TEXTS).select("kind", "bucket", "block", "keys", "counts")
     if known is not None:
-        rows = known.select("kind", "bucket", F.lit(0).alias("turn"), "block", "keys", "counts").union(rows)
+        rows = known.select("kind", "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "counts").union(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for few in _batched(reply(_grouped(batches, ("kind", "bucket"))), 64):
+        found = ((kind, bucket, *x) for kind, bucket, group in _grouped(batches, ("kind", "bucket")) for x in reply(kind, bucket, group))
+        for few in _batched(found, 64):
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in few], t) for j, t in enumerate((pa.int8(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "block", "keys"])
 
-    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "turn").mapInArrow(run, "kind tinyint, bucket int, block bigint, keys binary")
+    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("block").asc_nulls_first()).mapInArrow(run, "kind tinyint, bucket int, block bigint, keys binary")
+
 
+def answer_in_passing(asked: DataFrame, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+    """As answer, of rows that are not kept anywhere: those of kind TEXTS go along, dealt by block."""
 
-def reassemble(asked: DataFrame, answers: DataFrame, finish: Callable[[dict[tuple[int, int], bytes], Block], dict[str, list]], schema: str) -> DataFrame:
-    """Brings each block's answers, by (kind, bucket), and its texts together; finish gives columns with a value for each text."""
-    id_type = asked.schema["ids"].dataType.elementType
-    texts = asked.filter(F.col("kind") == TEXTS).select("block", "kind", "bucket", F.col("text").alias("keys"), "ids", "marks", "sizes")
-    empty = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("ids", "marks", "sizes")]
-    rows = answers.select("block", "kind", "bucket", "keys", *empty).union(texts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for kind, bucket, group in _grouped(_noted(batches, note := []), ("kind", "bucket")):
+            schema = schema or note[0]
+            if kind == TEXTS:
+                for r in group:
+                    yield pa.RecordBatch.from_pylist([r | {"ids": r["ids"].to_pylist()}], schema)
+            else:
+                for few in _batched(({"kind": kind, "bucket": bucket, "block": n, "keys": v} for n, v in reply(kind, bucket, group)), 64):
+                    yield pa.RecordBatch.from_pylist(few, schema)
+
+    deal = F.when(F.col("kind") == TEXTS, F.xxhash64("block")).otherwise(F.col("bucket").cast("long"))
+    return asked.repartition("kind", deal).sortWithinPartitions("kind", "bucket").mapInArrow(run, asked.schema)
+
+
+def reassemble(rows: DataFrame, finish: Callable[[dict[tuple[int, int], bytes], dict], dict[str, list | pa.Array]], schema: str) -> DataFrame:
+    """Brings each block's answers, by (kind, bucket), and its row of kind TEXTS together; finish gives columns with a value for each text."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(batches, ("block",), plain=False):
+        for _, group in _grouped(batches, ("block",)):
             held: dict[tuple[int, int], bytes] = {}
             for r in group:
                 if r["kind"] != TEXTS:
                     held[r["kind"], r["bucket"]] = r["keys"]
                     continue
-                raw, texts, at = expand(r["keys"]), [], 0
-                for n in r["sizes"]:
-                    texts.append(raw[at : at + n])
-                    at += n
-                done = finish(held, Block(None, r["marks"], texts))
-                yield pa.RecordBatch.from_arrays([r["ids"], pa.array(r["marks"], pa.bool_()), *(pa.array(done[c]) for c in names)], ["id", "mark", *names])
+                done = finish(held, r)
+                yield pa.RecordBatch.from_arrays([r["ids"], pa.array(r["marks"], pa.bool_()), *(x if isinstance(x := done[c], pa.Array) else pa.array(x) for c in names)], ["id", "mark", *names])
+
+    kept = rows.select("block", "kind", "bucket", "keys", "counts", "ids", "marks", "sizes")
+    id_type = rows.schema["ids"].dataType.elementType.simpleString()
+    return kept.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, f"id {id_type}, mark boolean, {schema}")
 
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, f"id {id_type.simpleString()}, mark boolean, {schema}")
+
+def with_texts(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers and the rows of kind TEXTS, for reassemble."""
+    return answers.unionByName(asked.filter(F.col("kind") == TEXTS), allowMissingColumns=True)
 
 
 def _batched(rows: Iterator, n: int) -> Iterator[list]:
@@ -138,16 +170,20 @@ def _batched(rows: Iterator, n: int) -> Iterator[list]:
         yield few
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...], plain: bool = True) -> Iterator:
+def _noted(batches: Iterator[pa.RecordBatch], schemas: list[pa.Schema]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        schemas.append(b.schema)
+        yield b
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator:
     """(*key, rows) for each run of equal keys, read as they come. Ids stay Arrow arrays."""
-    from itertools import groupby
 
     def rows() -> Iterator[dict]:
         for b in batches:
             columns = {c: b.column(c) for c in b.schema.names}
             for i in range(len(b)):
-                row = {c: (v[i].values if c == "ids" else v[i].as_py()) for c, v in columns.items()}
-                yield row
+                yield {c: (v[i].values if c == "ids" and v[i].is_valid else v[i].as_py()) for c, v in columns.items()}
 
     for key, group in groupby(rows(), key=lambda r: tuple(r[c] for c in by)):
         yield (*key, group)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, bucket_words, dictionaries, expand, pack_words, reassemble, squeeze, unpack_words
+from .blocks import Block, _grouped, answer, bucket_words, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import held_out, stash
 
 DEPTH = 6  # a gram is DEPTH bytes of context and a symbol, in the low 56 bits of a word; the bucket is in the high 8
@@ -66,7 +66,7 @@ def unpack_grams(data: bytes) -> np.ndarray:
     return np.cumsum(expand(data, np.uint64), dtype=np.uint64)
 
 
-def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
+def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
     """A block's distinct grams and words with their counts in its marked (training) texts."""
     learn = [t for t, m in zip(block.texts, block.marks, strict=True) if m]
     for texts, sign in ((learn, 1), ([t for t, m in zip(block.texts, block.marks, strict=True) if not m], 0)):
@@ -80,7 +80,7 @@ def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
             first = np.append(True, both[1:] != both[:-1])[: len(both)]
             keys, counts = both[first], np.add.reduceat(n, np.flatnonzero(first)) if len(both) else n
     for u, part in _split(keys):
-        yield GRAMS, u, pack_grams(keys[part]), squeeze(counts[part].astype(np.int64)), 0, 0
+        yield GRAMS, u, pack_grams(keys[part]), squeeze(counts[part].astype(np.int64)), None
     known: Counter[bytes] = Counter()
     for t in learn:
         known.update(t.split())
@@ -91,11 +91,12 @@ def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes, int, int]]:
     for u, part in enumerate(bucket_words(words, BUCKETS)):
         if part:
             part.sort()
-            yield WORDS, u, pack_words(part), squeeze(np.array([known[w] for w in part], np.int64)), 0, 0
+            yield WORDS, u, pack_words(part), squeeze(np.array([known[w] for w in part], np.int64)), None
+    yield texts_row(block)
 
 
 def merge(asked: DataFrame) -> DataFrame:
-    """The training counts of all blocks: kind, bucket, block (null), keys, counts, items, total."""
+    """The training counts of all blocks: kind, bucket, keys, counts, items, total."""
 
     def reply(groups: Iterator) -> Iterator[tuple]:
         for kind, bucket, rows in groups:
@@ -121,14 +122,12 @@ def merge(asked: DataFrame) -> DataFrame:
                 yield kind, bucket, pack_grams(keys), squeeze(counts), len(keys), int(counts.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .blocks import _grouped
-
         for x in reply(_grouped(batches, ("kind", "bucket"))):
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["kind", "bucket", "keys", "counts", "items", "total"])
 
     rows = asked.filter(F.col("kind").isin(GRAMS, WORDS)).select("kind", "bucket", "keys", "counts")
     out = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, "kind tinyint, bucket int, keys binary, counts binary, items bigint, total bigint")
-    return out.withColumn("block", F.lit(None).cast("bigint"))
+    return out
 
 
 def _ended(rows: Iterator) -> Iterator[tuple[bool, dict]]:
@@ -288,28 +287,29 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     tokens, distinct = words[1] + ends, words[0] + (ends > 0)
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
-    def reply(groups: Iterator) -> Iterator[tuple[int, int, int, bytes]]:
-        for kind, bucket, group in groups:
-            known, trees = {}, Trees(np.zeros(0, np.uint64), np.zeros(0, np.int64)) if kind == GRAMS else None
-            if trees:
+    def reply(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
+        known, trees = {}, None
+        for r in group:
+            if r["block"] is None and kind == WORDS:
+                known = dict(zip(unpack_words(r["keys"]), expand(r["counts"], np.int64).tolist(), strict=True))
+            elif kind == WORDS:
+                yield r["block"], squeeze(np.array([known.get(w, 0) for w in unpack_words(r["keys"])], np.int64))
+            elif r["block"] is None:
+                trees = Trees(unpack_grams(r["keys"]), expand(r["counts"], np.int64))
                 trees.spread(shared.value)
-            for r in group:
-                if r["block"] is None and kind == WORDS:
-                    known = dict(zip(unpack_words(r["keys"]), expand(r["counts"], np.int64).tolist(), strict=True))
-                elif r["block"] is None:
-                    trees = Trees(unpack_grams(r["keys"]), expand(r["counts"], np.int64))
+            else:
+                if trees is None:
+                    trees = Trees(np.zeros(0, np.uint64), np.zeros(0, np.int64))
                     trees.spread(shared.value)
-                elif kind == WORDS:
-                    yield kind, bucket, r["block"], squeeze(np.array([known.get(w, 0) for w in unpack_words(r["keys"])], np.int64))
-                else:
-                    yield kind, bucket, r["block"], squeeze(trees.log10(unpack_grams(r["keys"])).astype(np.float32))
+                yield r["block"], squeeze(trees.log10(unpack_grams(r["keys"])).astype(np.float32))
 
-    def finish(held: dict[tuple[int, int], bytes], block: Block) -> dict[str, list]:
-        code, first = grams(block.texts)
+    def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, list]:
+        texts = read_texts(row["keys"], row["sizes"])
+        code, first = grams(texts)
         _, inverse = np.unique(code, return_inverse=True)
         logs = np.concatenate([expand(held[GRAMS, u], np.float32) for u in range(BUCKETS) if (GRAMS, u) in held]).astype(float)
         score = np.add.reduceat(logs[inverse], first)
-        words = [t.split() for t in block.texts]
+        words = [t.split() for t in texts]
         count: dict[bytes, int] = {}
         for u, part in enumerate(bucket_words({w for ws in words for w in ws}, BUCKETS)):
             if part:
@@ -323,7 +323,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             out["base_score"].append(float(np.log10((c + 1) / (tokens + distinct + 1)).sum()))
         return out
 
-    done = reassemble(asked, answer(asked, model, reply), finish, "n_tokens bigint, n_known bigint, base_score double, score double")
+    done = reassemble(with_texts(asked, answer(asked, model, reply)), finish, "n_tokens bigint, n_known bigint, base_score double, score double")
     return done.select(F.col("id").alias(id_col), F.col("mark").alias("learned"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
