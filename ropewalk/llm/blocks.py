@@ -19,6 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text after which a block ends; a longer text is a block of its own.
 BLOCK = 8 << 20
@@ -74,7 +75,7 @@ def read_texts(data: bytes, sizes: list[int]) -> list[bytes]:
     return [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
-def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]], fold: Callable[[bytes], bytes] = bytes) -> DataFrame:
+def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]], fold: Callable[[bytes], bytes] = bytes, block: int = BLOCK) -> DataFrame:
     """Of docs (id, mark, text): a row for each (kind, bucket, keys, counts, sizes) that items yields for a block.
 
     One of them is of kind TEXTS: it stands for the block's texts, sizes having a number for each.
@@ -90,7 +91,7 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
             start = 0
             while start < len(texts):
                 end, n = start, 0
-                while end < len(texts) and (end == start or n + len(texts[end]) <= BLOCK):
+                while end < len(texts) and (end == start or n + len(texts[end]) <= block):
                     n += len(texts[end])
                     end += 1
                 part = Block(b.column("id").slice(start, end - start), b.column("mark").slice(start, end - start).to_pylist(), texts[start:end])
@@ -105,9 +106,9 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
 
 def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """Deals the rows of asked by (kind, bucket), those of known (block is null) first, and gives each bucket to reply: (block, values)."""
-    rows = asked.filter(F.col("kind") != TEXTS).select("kind", "bucket", "block", "keys", "counts")
+    rows = asked.filter(F.col("kind") != TEXTS).select("kind", "bucket", "block", "keys", "counts", "sizes")
     if known is not None:
-        rows = known.select("kind", "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "counts").union(rows)
+        rows = known.select("kind", "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "counts", F.lit(None).cast("array<bigint>").alias("sizes")).union(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((kind, bucket, *x) for kind, bucket, group in _grouped(batches, ("kind", "bucket")) for x in reply(kind, bucket, group))
@@ -137,7 +138,7 @@ def answer_in_passing(asked: DataFrame, reply: Callable[[int, int, Iterator[dict
 
 def reassemble(rows: DataFrame, finish: Callable[[dict[tuple[int, int], bytes], dict], dict[str, list | pa.Array]], schema: str) -> DataFrame:
     """Brings each block's answers, by (kind, bucket), and its row of kind TEXTS together; finish gives columns with a value for each text."""
-    names = [x.split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _grouped(batches, ("block",)):
