@@ -37,8 +37,8 @@ def expand(x: bytes, kind: Any = None) -> Any:
     return out if kind is None else np.frombuffer(out, kind)
 
 
-def pack_words(words: list[bytes]) -> bytes:
-    return squeeze(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words))
+def pack_words(words: list[bytes], level: int = 1) -> bytes:
+    return squeeze(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words), level)
 
 
 def unpack_words(data: bytes) -> list[bytes]:
@@ -65,9 +65,9 @@ class Block:
     texts: list[bytes]
 
 
-def texts_row(block: Block) -> tuple[int, int, bytes, None, list[int]]:
+def texts_row(block: Block, level: int = 1) -> tuple[int, int, bytes, None, list[int]]:
     """The block's texts as they are."""
-    return TEXTS, 0, squeeze(b"".join(block.texts)), None, [len(t) for t in block.texts]
+    return TEXTS, 0, squeeze(b"".join(block.texts), level), None, [len(t) for t in block.texts]
 
 
 def read_texts(data: bytes, sizes: list[int]) -> list[bytes]:
