@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import stash
 
-LENGTH, GRAM, BUCKETS = 100, 32, 256
+LENGTH, GRAM = 100, 32
+#: Bytes of the corpus for each bucket of anchors, which bounds what a task holds; bytes of contexts judged at once.
+PER_BUCKET, AT_ONCE = 4 << 20, 1 << 20
 HASHES, CONTEXTS = 0, 1
 _U = np.uint64
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | _U(1)
@@ -70,19 +72,18 @@ def contexts(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
     return h[anchor[at]], of[at], places[at] - first[of[at]], np.diff(np.append(at, len(places)))
 
 
-def _deal(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Indexes by bucket, in order of hash."""
+def _deal(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Indexes by bucket (the hash's first bits), in order of hash."""
     order = np.argsort(h)
-    cuts = np.searchsorted(h[order], np.arange(BUCKETS, dtype=np.uint64) << _U(56))
-    for u in range(BUCKETS):
-        part = order[cuts[u] : cuts[u + 1] if u + 1 < BUCKETS else len(order)]
-        if len(part):
-            yield u, part
+    bucket = (h[order] >> _U(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
+        yield int(bucket[lo]), order[lo:hi]
 
 
 def _hashes_of(h: np.ndarray) -> np.ndarray:
-    """48 bits that are exchanged; a chance agreement only adds work."""
-    return (h >> _U(8)) & _U((1 << 48) - 1)
+    """48 bits that are exchanged, in order; a chance agreement only adds work."""
+    return np.sort(h & _U((1 << 48) - 1))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -93,10 +94,10 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(expand(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
+def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
     """By bucket the distinct hashes of anchors, and whether one occurs more than once in the block."""
     h = contexts(block.texts)[0]
-    for u, part in _deal(h):
+    for u, part in _deal(h, bits):
         keys, n = np.unique(_hashes_of(h[part]), return_counts=True)
         yield HASHES, u, _planes(np.diff(keys, prepend=_U(0))), squeeze(np.packbits(n > 1)), None
     yield texts_row(block)
@@ -113,11 +114,11 @@ def _repeated(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[i
         yield block, squeeze(np.packbits(elsewhere | np.unpackbits(more, count=len(own)).astype(bool)))
 
 
-def _shared_contexts(held: dict[tuple[int, int], bytes], texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
+def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts: list[bytes], bits: int) -> Iterator[tuple[int, bytes, bytes]]:
     """By bucket: the different contexts whose anchor occurs elsewhere, and where they are, first places first."""
     h, of, start, windows = contexts(texts)
-    for u, part in _deal(h):
-        own = _hashes_of(h[part])
+    for u, part in _deal(h, bits):
+        own = h[part] & _U((1 << 48) - 1)
         keys, inverse = np.unique(own, return_inverse=True)
         part = np.sort(part[np.unpackbits(expand(held[HASHES, u], np.uint8), count=len(keys)).astype(bool)[inverse]])
         if not len(part):
@@ -127,7 +128,7 @@ def _shared_contexts(held: dict[tuple[int, int], bytes], texts: list[bytes]) ->
             places.setdefault(texts[t][s:e], []).append(i)
         firsts = np.array([p[0] for p in places.values()], np.int64)
         again = np.array([i for p in places.values() for i in p[1:]], np.int64)
-        where = np.concatenate(([len(firsts)], h[firsts].view(np.int64), of[firsts], start[firsts], of[again], start[again], windows[again]))
+        where = np.concatenate(([len(firsts)], h[firsts].view(np.int64), ids[of[firsts]], of[firsts], start[firsts], of[again], start[again], windows[again]))
         yield u, pack_words(list(places)), squeeze(where.astype(np.int64))
 
 
@@ -205,38 +206,49 @@ def repeated_windows(texts: list[bytes], place: np.ndarray, length: int = LENGTH
     return of[again], start[again]
 
 
+def _runs(of: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, first start, last start) of windows that follow each other."""
+    by = np.lexsort((start, of))
+    of, start = of[by], start[by]
+    cut = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))[: len(of)])
+    last = np.append(cut[1:], len(of))[: len(cut)] - 1
+    return zip(of[cut].tolist(), start[cut].tolist(), start[last].tolist(), strict=True)
+
+
 def _judge(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
     """For each block the spans to remove: (text, start, end) each."""
     spans: dict[int, list[np.ndarray]] = {}
     found: dict[bytes, tuple] = {}
     for r in group:
-        x, ids, block = expand(r["counts"], np.int64), r["sizes"], r["block"]
+        x, block = expand(r["counts"], np.int64), r["block"]
         n = int(x[0])
-        h, of, start = x[1 : n + 1], x[n + 1 : 2 * n + 1], x[2 * n + 1 : 3 * n + 1]
-        again = x[3 * n + 1 :].reshape(3, -1)
+        h, ids, of, start = x[1 : 4 * n + 1].reshape(4, n)
+        again = x[4 * n + 1 :].reshape(3, -1)
         spans[block] = [np.stack([again[0], again[1], again[1] + again[2] + LENGTH - 1])]
-        for c, hash_, t, s in zip(unpack_words(r["keys"]), h.tolist(), of.tolist(), start.tolist(), strict=True):
-            own = ((ids[t] is None, ids[t] or 0, block, t, s), hash_)
+        for c, hash_, i, t, s in zip(unpack_words(r["keys"]), h.tolist(), ids.tolist(), of.tolist(), start.tolist(), strict=True):
+            own = ((i, block, t, s), hash_)
             other = found.setdefault(c, own)
             if other is not own:  # of equal contexts the first stays in the race, the other goes as a whole
                 late = max(own, other)
                 found[c] = min(own, other)
-                _, _, b, t, s = late[0]
+                _, b, t, s = late[0]
                 spans[b].append(np.array([[t], [s], [s + len(c)]]))
     # contexts alone with their anchor hold no string of another
     anchors, n = np.unique([h for _, h in found.values()], return_counts=True) if found else (np.zeros(0), np.zeros(0))
     shared = set(anchors[n > 1].tolist())
-    race = [(c, p) for c, (p, h) in found.items() if h in shared]
-    if race:
-        rank = np.empty(len(race), np.int64)
-        rank[sorted(range(len(race)), key=lambda i: race[i][1])] = np.arange(len(race))
-        of, start = repeated_windows([c for c, _ in race], rank)
-        by = np.lexsort((start, of))
-        of, start = of[by], start[by]
-        cut = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1))[: len(of)])
-        last = np.append(cut[1:], len(of)) - 1
-        for i, s, e in zip(of[cut].tolist(), start[cut].tolist(), start[last[: len(cut)]].tolist(), strict=True):
-            _, _, b, t, at = race[i][1]
+    race = sorted((h, p, c) for c, (p, h) in found.items() if h in shared)
+    found.clear()
+    start = 0
+    while start < len(race):  # contexts with one anchor stay together
+        end, size = start, 0
+        while end < len(race) and (size < AT_ONCE or race[end][0] == race[end - 1][0]):
+            size += len(race[end][2])
+            end += 1
+        part, start = race[start:end], end
+        rank = np.empty(len(part), np.int64)
+        rank[sorted(range(len(part)), key=lambda i: part[i][1])] = np.arange(len(part))
+        for i, s, e in _runs(*repeated_windows([c for _, _, c in part], rank)):
+            _, b, t, at = part[i][1]
             spans[b].append(np.array([[t], [at + s], [at + e + LENGTH]]))
     for b, parts in spans.items():
         yield b, squeeze(np.concatenate(parts, axis=1).astype(np.int64))
@@ -270,23 +282,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result; other columns are not read. Ids are integers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(False).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    asked = stash(dictionaries(rows, items))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(16, max(6, (size // PER_BUCKET).bit_length()))
+    asked = stash(dictionaries(rows, lambda block: items(block, bits)))
     marks = answer(asked, None, _repeated)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int64()))])
+        schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
         for block, group in _grouped(batches, ("block",)):
             held: dict[tuple[int, int], bytes] = {}
             for r in group:
                 if r["kind"] != TEXTS:
                     held[r["kind"], r["bucket"]] = r["keys"]
                     continue
-                ids = r["ids"].to_pylist()
-                for few in _batched(({"kind": CONTEXTS, "bucket": u, "block": block, "keys": k, "counts": w, "sizes": ids} for u, k, w in _shared_contexts(held, read_texts(r["keys"], r["sizes"]))), 32):
+                ids = r["ids"].fill_null((1 << 63) - 1).to_numpy()
+                for few in _batched(({"kind": CONTEXTS, "bucket": u, "block": block, "keys": k, "counts": w} for u, k, w in _shared_contexts(held, ids, read_texts(r["keys"], r["sizes"]), bits)), 32):
                     yield pa.RecordBatch.from_pylist(few, schema)
 
     met = with_texts(asked, marks).select("block", "kind", "bucket", "keys", "ids", "sizes").repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    shared = met.mapInArrow(emit, "kind tinyint, bucket int, block bigint, keys binary, counts binary, sizes array<bigint>")
+    shared = met.mapInArrow(emit, "kind tinyint, bucket int, block bigint, keys binary, counts binary")
     done = reassemble(with_texts(asked, answer(shared, None, _judge)), _cut, "removed array<struct<start:bigint,length:bigint>>, kept binary")
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["length"])
     return done.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "removed", "kept")
