@@ -24,7 +24,8 @@ from pyspark.sql.types import BinaryType
 
 from .blocks import TEXTS, Block, answer_in_passing, bucket_words, dictionaries, expand, pack_words, reassemble, squeeze, unpack_words
 
-BUCKETS = 64
+#: Of a block of BLOCK bytes; the larger it is, the fewer words are in several dictionaries.
+BUCKETS, BLOCK, LEVEL = 64, 16 << 20, 9
 #: White space as the tokenizer's patterns mean it (Unicode White_Space), spelled out: libraries differ on \s.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -41,11 +42,11 @@ def pre_tokenizer(pattern: str) -> regex.Pattern:
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, which packs better."""
-    return squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+    return squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), LEVEL)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(expand(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def block_words(block: Block, pattern: regex.Pattern) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
@@ -54,24 +55,24 @@ def block_words(block: Block, pattern: regex.Pattern) -> Iterator[tuple[int, int
     sequence, sizes = [], []
     for t in block.texts:
         found = pattern.findall(t.decode())
-        sequence += [place.setdefault(w, len(place)) for w in found]
+        sequence.append(np.array([place.setdefault(w, len(place)) for w in found], np.int32))
         sizes.append(len(found))
-    words, sequence = [w.encode() for w in place], np.array(sequence, np.int64)
+    words, sequence = [w.encode() for w in place], np.concatenate(sequence)
     order = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
+    rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words))
     bucket = np.zeros(len(words), np.uint8)
     for u, part in enumerate(bucket_words([(words[i], k) for k, i in enumerate(order.tolist())], BUCKETS)):
         if part:
             bucket[[k for _, k in part]] = u
-            yield 0, u, pack_words([w for w, _ in part]), None, None
+            yield 0, u, pack_words([w for w, _ in part], LEVEL), None, None
     yield TEXTS, 0, _planes(rank[sequence]), squeeze(bucket), sizes
 
 
 def put_together(held: dict[tuple[int, int], bytes], row: dict) -> pa.Array:
     """The ids of each text of a block, from the answers for its words."""
     bucket = expand(row["counts"], np.uint8)
-    lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lens, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for u in range(BUCKETS):
         if (0, u) in held:
             both = _from_planes(held[0, u])
@@ -79,16 +80,16 @@ def put_together(held: dict[tuple[int, int], bytes], row: dict) -> pa.Array:
             lens.append(both[:n])
             flat.append(both[n:])
     by_bucket, flat = np.concatenate(lens), np.concatenate(flat)
-    size, start = np.empty(len(bucket), np.int64), np.empty(len(bucket), np.int64)
+    size, start = np.empty(len(bucket), np.int32), np.empty(len(bucket), np.int32)
     order = np.argsort(bucket, kind="stable")
     size[order], start[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
     sequence = _from_planes(row["keys"])
     n = size[sequence]
-    ends = np.cumsum(n)
-    at = np.repeat(start[sequence] - (ends - n), n)
-    at += np.arange(len(at))
+    ends = np.cumsum(n, dtype=np.int64)
+    at = np.repeat((start[sequence] - (ends - n)).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
     cuts = np.concatenate(([0], np.cumsum(row["sizes"], dtype=np.int64)))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[cuts].astype(np.int32)), pa.array(flat[at].astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[cuts].astype(np.int32)), pa.array(flat[at]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +115,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, Any]:
         return {"ids": put_together(held, row)}
 
-    done = reassemble(answer_in_passing(dictionaries(rows, items), reply), finish, "ids array<int>")
+    done = reassemble(answer_in_passing(dictionaries(rows, items, block=BLOCK), reply), finish, "ids array<int>")
     return done.select(F.col("id").alias(id_col), "ids")
 
 
@@ -133,7 +134,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     @F.arrow_udf(BinaryType())
     def look_up(ids: pa.Array) -> pa.Array:
         table = shared.value
-        return pa.array([None if x is None else b"".join(map(table.__getitem__, x)) for x in ids.to_pylist()], pa.binary())
+        return pa.array([b"".join(map(table.__getitem__, x.values.to_pylist())) if x.is_valid else None for x in ids], pa.binary())
 
     return encoded.withColumn("decoded", look_up(F.col(ids_col)))
 
