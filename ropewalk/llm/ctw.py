@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .blocks import Block, _grouped, answer, bucket_words, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import held_out, stash
 
-DEPTH = 6  # a gram is DEPTH bytes of context and a symbol, in the low 56 bits of a word; the bucket is in the high 8
+DEPTH = 5  # 6 at most: a gram is DEPTH bytes of context and a symbol, in the low 56 bits of a word; the bucket is in the high 8
 BUCKETS, GRAMS, WORDS = 256, 0, 1
 START = END = b"\xff"  # no byte of UTF-8
 _LOW = np.uint64((1 << 56) - 1)
@@ -92,7 +92,7 @@ def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[in
         if part:
             part.sort()
             yield WORDS, u, pack_words(part), squeeze(np.array([known[w] for w in part], np.int64)), None
-    yield texts_row(block)
+    yield texts_row(block, 3)
 
 
 def merge(asked: DataFrame) -> DataFrame:
