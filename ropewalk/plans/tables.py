@@ -44,7 +44,8 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ropewalk-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     _own.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
