@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import modest_batches
+
 #: Bytes of text after which a block ends; a longer text is a block of its own.
 BLOCK = 8 << 20
 #: Rows that hold the block itself; other kinds hold items.
@@ -60,7 +62,7 @@ def bucket_words(words: Iterable, buckets: int) -> list[list]:
 
 @dataclass
 class Block:
-    ids: pa.Array
+    ids: list
     marks: list[bool]
     texts: list[bytes]
 
@@ -83,24 +85,27 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, ordinal = TaskContext.get().partitionId() << 32, 0
-        schema = None
+        number, part, n, schema = TaskContext.get().partitionId() << 32, Block([], [], []), 0, None
+
+        def rows() -> pa.RecordBatch:
+            made = [{"kind": k, "bucket": u, "block": number, "keys": keys, "counts": c, "sizes": z} | ({"ids": part.ids, "marks": part.marks} if k == TEXTS else {}) for k, u, keys, c, z in items(part)]
+            return pa.RecordBatch.from_pylist(made, schema)
+
         for b in batches:
-            texts = [fold(t) for t in b.column("text").to_pylist()]
             schema = schema or pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(b.schema.field("id").type)), ("marks", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
-            start = 0
-            while start < len(texts):
-                end, n = start, 0
-                while end < len(texts) and (end == start or n + len(texts[end]) <= block):
-                    n += len(texts[end])
-                    end += 1
-                part = Block(b.column("id").slice(start, end - start), b.column("mark").slice(start, end - start).to_pylist(), texts[start:end])
-                number = base + ordinal
-                ordinal += 1
-                rows = [{"kind": k, "bucket": u, "block": number, "keys": keys, "counts": c, "sizes": z} | ({"ids": part.ids.to_pylist(), "marks": part.marks} if k == TEXTS else {}) for k, u, keys, c, z in items(part)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
-                start = end
-
+            for i, mark, text in zip(b.column("id"), b.column("mark"), b.column("text"), strict=True):
+                text = fold(text.as_py())
+                if part.texts and n + len(text) > block:
+                    yield rows()
+                    number, part, n = number + 1, Block([], [], []), 0
+                part.ids.append(i.as_py())
+                part.marks.append(mark.as_py())
+                part.texts.append(text)
+                n += len(text)
+        if part.texts:
+            yield rows()
+
+    modest_batches(docs.sparkSession)
     return docs.select("id", "mark", F.col("text").cast("binary").alias("text")).mapInArrow(run, COLUMNS.format(id=kind))
 
 

@@ -92,8 +92,8 @@ def put_together(held: dict[tuple[int, int], bytes], row: dict) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[cuts].astype(np.int32)), pa.array(flat[at]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids (array of int).
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """One row per input row: id, ids (array of int); with decoded, the bytes that the ids stand for too.
 
     Every match of the pattern is encoded by itself: its bytes' lowest-ranked neighbours are merged until none can
     be. No text is a special token. Null texts count as empty and have no ids; null ids and repeated rows are rows
@@ -102,8 +102,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a tokenizer's, of fixed size
 
-    def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
-        yield from block_words(block, pre_tokenizer(pattern))
+    def items(part: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
+        yield from block_words(part, pre_tokenizer(pattern))
 
     def reply(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
         piece = _encoder(shared.value)
@@ -113,10 +113,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             yield r["block"], _planes(np.array([*map(len, ids), *(i for x in ids for i in x)], np.int64))
 
     def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, Any]:
-        return {"ids": put_together(held, row)}
+        ids = put_together(held, row)
+        return {"ids": ids} | ({"decoded": look_up(ids, shared.value)} if decoded else {})
 
-    done = reassemble(answer_in_passing(dictionaries(rows, items, block=BLOCK), reply), finish, "ids array<int>")
-    return done.select(F.col("id").alias(id_col), "ids")
+    done = reassemble(answer_in_passing(dictionaries(rows, items, block=block), reply), finish, "ids array<int>" + ", decoded binary" * decoded)
+    return done.drop("mark").withColumnRenamed("id", id_col)
 
 
 def _encoder(ranks: dict[bytes, int], _made: dict = {}):  # noqa: ANN202, B006
@@ -127,22 +128,29 @@ def _encoder(ranks: dict[bytes, int], _made: dict = {}):  # noqa: ANN202, B006
     return _made[id(ranks)]
 
 
+def look_up(ids: pa.Array, ranks: dict[bytes, int], _tables: dict = {}) -> pa.Array:  # noqa: B006
+    """The bytes of each list of ids, joined from the token-byte table; null for null."""
+    if id(ranks) not in _tables:
+        _tables.clear()
+        _tables[id(ranks)] = {i: t for t, i in ranks.items()}
+    token = _tables[id(ranks)].__getitem__
+    return pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else None for x in ids], pa.binary())
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """encoded with decoded (binary): the bytes of the ids, one after the other; null for null ids. An unknown id is an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     @F.arrow_udf(BinaryType())
-    def look_up(ids: pa.Array) -> pa.Array:
-        table = shared.value
-        return pa.array([b"".join(map(table.__getitem__, x.values.to_pylist())) if x.is_valid else None for x in ids], pa.binary())
+    def bytes_of(ids: pa.Array) -> pa.Array:
+        return look_up(ids, shared.value)
 
-    return encoded.withColumn("decoded", look_up(F.col(ids_col)))
+    return encoded.withColumn("decoded", bytes_of(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the documents' encoding and its decoding."""
-    ranks = read_ranks(path)
-    found = decode(encode(docs, ranks, pattern), ranks)
+    found = encode(docs, read_ranks(path), pattern, block=block, decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

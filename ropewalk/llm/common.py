@@ -1,70 +1,26 @@
-"""What several text operators share: shared-folder tables, hash salts and byte-level text helpers."""
+"""What several text operators share: kept tables, joins with small tables, samples and text helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, ShortType, StringType
-
-#: The separators of words everywhere in this package.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves, but only in local mode, where one machine runs everything.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        folder = "file://" + tempfile.mkdtemp(prefix="ropewalk-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from pyspark.sql.types import StringType
 
+from ..plans.tables import keep as stash
+from ..plans.tables import release as unstash
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _own:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended before: its folder then outlives it
-            return
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ropewalk-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _own.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash = path
-    return out
+__all__ = ["WORD", "attach", "hash_sample", "held_out", "lower_ascii", "modest_batches", "stash", "unstash"]
 
+#: The separators of words everywhere in this package.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def unstash(df: DataFrame) -> None:
-    """Removes a stashed table that nothing reads any more."""
-    path = getattr(df, "_stash", None)
-    if path:
-        _own[:] = [x for x in _own if x[1] != path]
-        _remove(df.sparkSession, path)
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: as many rows at most go to a Python worker at once, unless the session asks for other than the default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, rows)
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], most_rows: int = 100_000, salts: int = 64) -> DataFrame:
@@ -93,11 +49,6 @@ def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit(""))), F.lit(parts)) == part
 
 
-def as_long(df: DataFrame, column: str) -> DataFrame:
-    """Narrower integer ids become long; others stay as they are."""
-    return df.withColumn(column, F.col(column).cast("long")) if isinstance(df.schema[column].dataType, (ShortType, IntegerType, LongType)) else df
-
-
 def hash_sample(rows: DataFrame, n: int, sample: int) -> DataFrame:
     """Of n rows with a 64-bit hash h about sample, and at most sample plus a third: a share of the hash's range."""
     share = min(1.0, sample / max(1, n))

@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stash
+from .common import lower_ascii, modest_batches, stash
 
 SALTS = 32  # bits of an int mask
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("content", 256)))
     return rows.withColumn("digest", digest(F.col("sha"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))

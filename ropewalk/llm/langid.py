@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, modest_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 #: Labelled rows to learn from at most, and the bytes of each.
 SAMPLE, SAMPLE_BYTES = 4000, 1024
 UNKNOWN = "und"
-_BATCH = 4096  # windows
+_BATCH, _TEXTS = 4096, 250  # windows, and texts
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,17 +168,20 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
     docs = docs.drop("lang_pred", "score") if text_col not in ("lang_pred", "score") else docs
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text):  # noqa: ANN001, ANN202
-        import pandas as pd
+    modest_batches(docs.sparkSession)
 
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
         model = shared.value
-        known = [i for i, t in enumerate(text) if model is not None and t is not None and has_letter(t)]
         lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-        if known:
-            p = model.predict([text.iloc[i].encode() for i in known])
-            lang[known], score[known] = np.array(model.classes, object)[p.argmax(axis=1)], p.max(axis=1)
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        for start in range(0, len(text), _TEXTS):
+            texts = text.slice(start, _TEXTS).to_pylist()
+            known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letter(t)]
+            if known:
+                p = model.predict([texts[i].encode() for i in known])
+                at = np.array(known) + start
+                lang[at], score[at] = np.array(model.classes, object)[p.argmax(axis=1)], p.max(axis=1)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return docs.withColumn("__p", predict(F.col(text_col))).select(*docs.columns, "__p.lang_pred", "__p.score")
 

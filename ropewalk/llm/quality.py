@@ -11,12 +11,12 @@ import operator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, modest_batches
 
 PAIRS, DIMS, NEIGHBOURS, SHARPNESS = 2048, 32, 15, 20.0
 #: Labelled texts to learn from at most (and a third more): what is broadcast is bounded by it.
@@ -85,9 +85,9 @@ def fit(x: np.ndarray, labels: np.ndarray) -> Voters:
     return out
 
 
-@F.pandas_udf(BinaryType())
-def _terms(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: terms(t.encode()).astype(np.float16).tobytes())
+@F.arrow_udf(BinaryType())
+def _terms(text: pa.Array) -> pa.Array:
+    return pa.array([terms(t.as_py().encode()).astype(np.float16).tobytes() for t in text], pa.binary())
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Voters:
@@ -96,6 +96,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     Null labels and ids, and labels without a document, are left out; null texts count as empty. The chosen ids are
     broadcast; their number is bounded by sample.
     """
+    modest_batches(docs.sparkSession)
     marked = labels.filter(learn & F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), (F.col("quality") == 1).cast("int").alias("y"))
     chosen = hash_sample(marked, marked.count(), sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
@@ -112,13 +113,13 @@ def score_quality(docs: DataFrame, voters: Voters, text_col: str = "text") -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(text), _BLOCK):
-            part = [terms((t or "").encode()) for t in text.iloc[i : i + _BLOCK]]
-            out.append(shared.value.score(np.array(part)))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    modest_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        blocks = (text.slice(i, _BLOCK) for i in range(0, len(text), _BLOCK))
+        parts = [shared.value.score(np.array([terms((t.as_py() or "").encode()) for t in b])) for b in blocks]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     return docs.withColumn("__score", score(F.col(text_col))).select(*keep, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))

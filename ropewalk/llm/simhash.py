@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash
-from .components import components
+from ..operators.components import components
+from .common import modest_batches, stash
 
 SHINGLE, SEED, NEAR, FAN = 4, 42, 4, 8
 _PIECE = 1 << 18  # shingles, or pairs of nodes, handled at once
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint's 64 bits as a long. Null text counts as empty."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
