@@ -7,6 +7,7 @@ items so reach a task once per block.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -30,6 +31,14 @@ TEXTS = 9
 COLUMNS = "kind tinyint, bucket int, block bigint, keys binary, counts binary, ids array<{id}>, marks array<boolean>, sizes array<bigint>"
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the machine: workers live on, and share an executor's limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def squeeze(x: np.ndarray | bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else x.tobytes())
 
@@ -97,6 +106,7 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
                 text = fold(text.as_py())
                 if part.texts and n + len(text) > block:
                     yield rows()
+                    tidy()
                     number, part, n = number + 1, Block([], [], []), 0
                 part.ids.append(i.as_py())
                 part.marks.append(mark.as_py())
@@ -104,6 +114,7 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
                 n += len(text)
         if part.texts:
             yield rows()
+        tidy()
 
     modest_batches(docs.sparkSession)
     return docs.select("id", "mark", F.col("text").cast("binary").alias("text")).mapInArrow(run, COLUMNS.format(id=kind))
@@ -119,6 +130,7 @@ def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int,
         found = ((kind, bucket, *x) for kind, bucket, group in _grouped(batches, ("kind", "bucket")) for x in reply(kind, bucket, group))
         for few in _batched(found, 64):
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in few], t) for j, t in enumerate((pa.int8(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "block", "keys"])
+        tidy()
 
     return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("block").asc_nulls_first()).mapInArrow(run, "kind tinyint, bucket int, block bigint, keys binary")
 
@@ -154,6 +166,8 @@ def reassemble(rows: DataFrame, finish: Callable[[dict[tuple[int, int], bytes],
                     continue
                 done = finish(held, r)
                 yield pa.RecordBatch.from_arrays([r["ids"], pa.array(r["marks"], pa.bool_()), *(x if isinstance(x := done[c], pa.Array) else pa.array(x) for c in names)], ["id", "mark", *names])
+                held, done = {}, None
+            tidy()
 
     kept = rows.select("block", "kind", "bucket", "keys", "counts", "ids", "marks", "sizes")
     id_type = rows.schema["ids"].dataType.elementType.simpleString()

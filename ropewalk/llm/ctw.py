@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, _grouped, answer, bucket_words, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .blocks import Block, _grouped, answer, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import held_out, stash
 
 DEPTH = 5  # 6 at most: a gram is DEPTH bytes of context and a symbol, in the low 56 bits of a word; the bucket is in the high 8
 BUCKETS, GRAMS, WORDS = 256, 0, 1
+BLOCK = 6 << 20  # bytes of text in a block
 START = END = b"\xff"  # no byte of UTF-8
 _LOW = np.uint64((1 << 56) - 1)
 _U = np.uint64
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +45,59 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code |= flat[j : j + len(code)]
     keep = np.ones(len(code), bool)  # not the symbols that are padding
     for k in range(DEPTH):
-        at = (first + DEPTH * np.arange(len(texts)))[1:] - DEPTH + k
-        keep[at] = False
+        keep[(first + DEPTH * np.arange(len(texts)))[1:] - DEPTH + k] = False
     code = code[keep]
-    pair = (code >> _U(8)) & _U(0xFFFF)
-    return code | ((((pair * _U(40503)) >> _U(8)) & _U(0xFF)) << _U(56)), first
+    bucket = code >> _U(8)
+    bucket &= _U(0xFFFF)
+    bucket *= _U(40503)
+    bucket >>= _U(8)
+    bucket <<= _U(56)
+    code |= bucket
+    return code, first
+
+
+def places(code: np.ndarray) -> np.ndarray:
+    """For each gram its place among the distinct ones, in their order."""
+    order = np.argsort(code)
+    own = code[order]
+    new = own[1:] != own[:-1]
+    del own
+    order = order.astype(np.int32)
+    out = np.empty(len(code), np.int32)
+    out[order] = np.append(np.int32(0), np.cumsum(new, dtype=np.int32))[: len(code)]
+    return out
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each word's place in the dictionary, the dictionary in order of appearance, and the number of words of each text."""
+    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inner = ~_SPACES[flat]
+    edge = np.flatnonzero(np.diff(inner, prepend=False))
+    starts, ends = edge[::2], edge[1::2]
+    cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inner])]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary, np.diff(np.searchsorted(starts, cuts))
+
+
+def deal_words(words: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Order by bucket, (bucket, from, to) in that order, and the ordered words' lengths and bytes."""
+
+    def parts(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+        return np.diff(at), np.frombuffer(x.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+    if not len(words):
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    size, data = parts(words)
+    starts = np.cumsum(size, dtype=np.int64) - size
+    power = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data.astype(np.uint64) + _U(1)) * power[np.arange(len(data)) - np.repeat(starts, size)], starts)
+    bucket = ((h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)) >> _U(56)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    size, data = parts(words.take(pa.array(order)))
+    return order, [(u, int(cuts[u]), int(cuts[u + 1])) for u in range(BUCKETS) if cuts[u] < cuts[u + 1]], size, data
 
 
 def _split(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -81,17 +131,13 @@ def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[in
             keys, counts = both[first], np.add.reduceat(n, np.flatnonzero(first)) if len(both) else n
     for u, part in _split(keys):
         yield GRAMS, u, pack_grams(keys[part]), squeeze(counts[part].astype(np.int64)), None
-    known: Counter[bytes] = Counter()
-    for t in learn:
-        known.update(t.split())
-    words = set(known)
-    for t, m in zip(block.texts, block.marks, strict=True):
-        if not m:
-            words.update(t.split())
-    for u, part in enumerate(bucket_words(words, BUCKETS)):
-        if part:
-            part.sort()
-            yield WORDS, u, pack_words(part), squeeze(np.array([known[w] for w in part], np.int64)), None
+    word, dictionary, n = tokens(block.texts)
+    counts = np.bincount(word[np.repeat(np.array(block.marks, bool), n)], minlength=len(dictionary))
+    order, parts, size, data = deal_words(dictionary)
+    at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    for u, lo, hi in parts:
+        head = np.concatenate(([hi - lo], size[lo:hi])).astype(np.uint32)
+        yield WORDS, u, squeeze(head.tobytes() + data[at[lo] : at[hi]].tobytes()), squeeze(counts[order[lo:hi]].astype(np.int64)), None
     yield texts_row(block, 3)
 
 
@@ -261,7 +307,7 @@ def top_of(model: DataFrame) -> Top:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 parts = Trees(unpack_grams(k), expand(c, np.int64)).summary
                 node, z, o, w = (np.concatenate([p[j] for p in parts]) for j in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), pa.array(z), pa.array(o), pa.array(w)], ["node", "z", "o", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int32)), *(pa.array(v.astype(float)) for v in (z, o, w))], ["node", "z", "o", "w"])
 
     rows = model.filter(F.col("kind") == GRAMS).select("keys", "counts").mapInArrow(run, "node int, z double, o double, w double")
     got = rows.groupBy("node").agg(F.sum("z"), F.sum("o"), F.sum("w")).collect()  # 65 536 rows at most
@@ -279,12 +325,12 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     like others; without training rows every bit has probability 1/2; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    asked = stash(dictionaries(rows, items, bytes.lower))
+    asked = stash(dictionaries(rows, items, bytes.lower, BLOCK))
     model = stash(merge(asked))
     top = top_of(model)
     words = model.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     ends = rows.filter("mark").count()
-    tokens, distinct = words[1] + ends, words[0] + (ends > 0)
+    total, distinct = words[1] + ends, words[0] + (ends > 0)
     shared = docs.sparkSession.sparkContext.broadcast(top)
 
     def reply(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
@@ -306,25 +352,23 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, list]:
         texts = read_texts(row["keys"], row["sizes"])
         code, first = grams(texts)
-        _, inverse = np.unique(code, return_inverse=True)
-        logs = np.concatenate([expand(held[GRAMS, u], np.float32) for u in range(BUCKETS) if (GRAMS, u) in held]).astype(float)
-        score = np.add.reduceat(logs[inverse], first)
-        words = [t.split() for t in texts]
-        count: dict[bytes, int] = {}
-        for u, part in enumerate(bucket_words({w for ws in words for w in ws}, BUCKETS)):
-            if part:
-                part.sort()
-                count.update(zip(part, expand(held[WORDS, u], np.int64).tolist(), strict=True))
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "base_score": [], "score": score.tolist()}
-        for ws in words:
-            c = np.array([*map(count.__getitem__, ws), ends], float)
-            out["n_tokens"].append(len(c))
-            out["n_known"].append(int((c > 0).sum()))
-            out["base_score"].append(float(np.log10((c + 1) / (tokens + distinct + 1)).sum()))
-        return out
+        logs = np.concatenate([expand(held[GRAMS, u], np.float32) for u in range(BUCKETS) if (GRAMS, u) in held])
+        score = np.add.reduceat(logs[places(code)], first, dtype=np.float64)
+        del code
+        word, dictionary, n = tokens(texts)
+        order, parts, _, _ = deal_words(dictionary)
+        count = np.empty(len(dictionary), np.int64)
+        count[order] = np.concatenate([np.zeros(0, np.int64), *(expand(held[WORDS, u], np.int64) for u, _, _ in parts)])
+        c = np.full(len(word) + len(n), ends, np.int64)  # each text's words, and then its end
+        last = np.cumsum(n + 1) - 1
+        inner = np.ones(len(c), bool)
+        inner[last] = False
+        c[inner] = count[word]
+        base = np.add.reduceat(np.log10((c + 1) / (total + distinct + 1)), last - n)
+        return {"n_tokens": (n + 1).tolist(), "n_known": np.add.reduceat((c > 0).astype(np.int64), last - n).tolist(), "base_score": base.tolist(), "score": score.tolist()}
 
     done = reassemble(with_texts(asked, answer(asked, model, reply)), finish, "n_tokens bigint, n_known bigint, base_score double, score double")
-    return done.select(F.col("id").alias(id_col), F.col("mark").alias("learned"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return done.select(F.col("id").alias(id_col), F.col("mark").alias("learned"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
