@@ -35,41 +35,59 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     h = _MIX[flat]
     k, factor = 1, 0x9E3779B97F4A7C15
     while k < GRAM:
-        h = h[: max(0, len(h) - k)] * _U(factor) + h[k:]
+        right = h[k:].copy()
+        h = h[: len(right)]
+        h *= _U(factor)
+        h += right
         k, factor = 2 * k, factor * factor % (1 << 64)
     h ^= h >> _U(32)
     h *= _U(0xD6E8FEB86659FD93)
-    return h ^ (h >> _U(29))
+    h ^= h >> _U(29)
+    return h
 
 
 def contexts(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: each context's anchor hash, text, start in the text, and number of windows; in order of place."""
     sizes = np.array([len(t) for t in texts], np.int64)
+    windows = np.maximum(0, sizes - length + 1)
+    if not windows.any():
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     flat = np.frombuffer(b"".join(texts), np.uint8)
     h = gram_hashes(flat)
     n = len(flat) - length + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return np.zeros(0, np.uint64), none, none, none
-    least = (h & ~_U(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)  # of equal ones the leftmost
+    least = np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost
+    least |= h & ~_U(0xFFFFFFFF)
     width, have = length - GRAM + 1, 1
     while have < width:
         step = min(have, width - have)
         least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    anchor = (least[:n] & _U(0xFFFFFFFF)).astype(np.int64)
+    anchor = least[:n].astype(np.uint32)
+    del least
     first = np.cumsum(sizes) - sizes
-    windows = np.maximum(0, sizes - length + 1)
-    valid = np.zeros(n + 1, np.int64)
-    some = windows > 0
-    np.add.at(valid, first[some], 1)
-    np.add.at(valid, first[some] + windows[some], -1)
-    places = np.flatnonzero(np.cumsum(valid)[:n])
-    of = np.repeat(np.arange(len(texts)), windows)
-    anchor = anchor[places]
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]))[: len(places)]
+    inside = np.zeros(n, bool)
+    for f, w in zip(first[windows > 0].tolist(), windows[windows > 0].tolist(), strict=True):
+        inside[f : f + w] = True
+    anchor = anchor[inside]
+    del inside
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), windows)
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1]))
     at = np.flatnonzero(new)
-    return h[anchor[at]], of[at], places[at] - first[of[at]], np.diff(np.append(at, len(places)))
+    own = of[at]
+    return h[anchor[at]], own.astype(np.int64), at - (np.cumsum(windows) - windows)[own], np.diff(np.append(at, len(anchor)))
+
+
+def union(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(text, start, end) of the maximal runs that the spans cover."""
+    if not len(of):
+        return np.zeros((3, 0), np.int64)
+    base = of << 32
+    order = np.argsort(base + start, kind="stable")
+    low, high = (base + start)[order], np.maximum.accumulate((base + end)[order])
+    first = np.flatnonzero(np.append(True, low[1:] > high[:-1]))
+    last = np.append(first[1:], len(low)) - 1
+    of = low[first] >> 32
+    return np.stack([of, low[first] - (of << 32), high[last] - (of << 32)])
 
 
 def _deal(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -128,7 +146,7 @@ def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts:
             places.setdefault(texts[t][s:e], []).append(i)
         firsts = np.array([p[0] for p in places.values()], np.int64)
         again = np.array([i for p in places.values() for i in p[1:]], np.int64)
-        where = np.concatenate(([len(firsts)], h[firsts].view(np.int64), ids[of[firsts]], of[firsts], start[firsts], of[again], start[again], windows[again]))
+        where = np.concatenate(([len(firsts)], h[firsts].view(np.int64), ids[of[firsts]], of[firsts], start[firsts], union(of[again], start[again], start[again] + windows[again] + LENGTH - 1).reshape(-1)))
         yield u, pack_words(list(places)), squeeze(where.astype(np.int64))
 
 
@@ -224,7 +242,7 @@ def _judge(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int,
         n = int(x[0])
         h, ids, of, start = x[1 : 4 * n + 1].reshape(4, n)
         again = x[4 * n + 1 :].reshape(3, -1)
-        spans[block] = [np.stack([again[0], again[1], again[1] + again[2] + LENGTH - 1])]
+        spans[block] = [again]
         for c, hash_, i, t, s in zip(unpack_words(r["keys"]), h.tolist(), ids.tolist(), of.tolist(), start.tolist(), strict=True):
             own = ((i, block, t, s), hash_)
             other = found.setdefault(c, own)
@@ -251,7 +269,7 @@ def _judge(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int,
             _, b, t, at = part[i][1]
             spans[b].append(np.array([[t], [at + s], [at + e + LENGTH]]))
     for b, parts in spans.items():
-        yield b, squeeze(np.concatenate(parts, axis=1).astype(np.int64))
+        yield b, squeeze(union(*np.concatenate(parts, axis=1).astype(np.int64)))
 
 
 def _cut(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, Any]:
