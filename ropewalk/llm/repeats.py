@@ -133,7 +133,7 @@ def _repeated(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[i
 
 
 def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts: list[bytes], bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """By bucket: the different contexts whose anchor occurs elsewhere, and where they are, first places first."""
+    """By bucket: the different contexts whose anchor occurs elsewhere, and where they are, smallest ids and there first places first."""
     h, of, start, windows = contexts(texts)
     for u, part in _deal(h, bits):
         own = h[part] & _U((1 << 48) - 1)
@@ -141,6 +141,7 @@ def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts:
         part = np.sort(part[np.unpackbits(expand(held[HASHES, u], np.uint8), count=len(keys)).astype(bool)[inverse]])
         if not len(part):
             continue
+        part = part[np.argsort(ids[of[part]], kind="stable")]  # as _judge orders them: by id, then by place
         places: dict[bytes, list[int]] = {}
         for i, t, s, e in zip(part.tolist(), of[part].tolist(), start[part].tolist(), (start[part] + windows[part] + LENGTH - 1).tolist(), strict=True):
             places.setdefault(texts[t][s:e], []).append(i)

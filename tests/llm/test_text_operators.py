@@ -291,6 +291,22 @@ def test_repeated_strings(spark, docs, rows, nothing):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[40, 30, 20, 10], [None, 7, None, 3], [5, 5, 2, 9]])
+def test_repeats_in_a_block_out_of_order(spark, ids):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcde fgh") for _ in range(240))
+    own = [(i, f"{k}{'xyzw'[k] * 130} {passage} {'pqrs'[k] * 120}{k}" + passage * (k % 2)) for k, i in enumerate(ids)]
+    found = {bytes(r.kept)[:1]: r for r in repeats.remove_repeats(spark.createDataFrame(own, "doc_id bigint, text string").coalesce(1)).collect()}
+    seen = set()
+    for _, _, k in sorted((i is None, i or 0, k) for k, i in enumerate(ids)):
+        t, gone = own[k][1].encode(), bytearray(len(own[k][1]))
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(t[s : s + 100])
+        assert bytes(found[t[:1]].kept) == bytes(c for c, g in zip(t, gone, strict=True) if not g), (ids, k)
+
+
 @pytest.mark.parametrize("length", [3, 12])
 def test_interval_expansion(length):
     rng = random.Random(length)
