@@ -216,9 +216,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, in their own columns: of each component the one with the smallest id (any one row of it)."""
-    stay = near_components(docs, id_col, text_col).select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"])).dropDuplicates(["__id"]).select(*docs.columns)
+    """The rows of docs that stay, in their own columns: of each component the one with the smallest id (any one row of it).
+
+    Rows without an id come last. Ids need not be distinct: a row is told by its id and its text's digest, which
+    belong to one component only.
+    """
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    stay = near_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").select(F.col("component_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(stay, "__key").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

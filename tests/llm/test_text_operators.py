@@ -196,6 +196,16 @@ def test_simhash(spark, docs, rows, nothing):
     assert simhash.fingerprint(b"a b c d e") == brute_print("a b c d e")
 
 
+def test_one_document_of_each_component(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(9)]
+    ids = [None, None, None, 5, 5, 5, 4, None, 3]
+    own = list(zip(ids, texts, strict=True)) + [(5, texts[0]), (None, texts[3]), (9, texts[6]), (None, texts[1]), (3, texts[8]), (2, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(own, "doc_id bigint, text string").repartition(3)).collect()
+    want = {t: min((i for i, x in own if x == t), key=lambda i: (i is None, i or 0)) for t in texts}
+    assert Counter(map(tuple, kept)) == Counter((i, t) for t, i in want.items())
+
+
 @pytest.mark.parametrize("trial", range(8))
 def test_gray_index(trial):
     rng = np.random.default_rng(trial)
