@@ -173,7 +173,7 @@ def reverse_list(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT max(o_orderkey) AS root, string_agg(CAST(o_orderkey AS VARCHAR), ' -> ' ORDER BY o_orderkey) AS trace FROM orders GROUP BY o_custkey")
 def trace_lists(s: SparkSession, d: str) -> DataFrame:
-    return stats.traces(rank(t.orders_chain(s, d), "gather", check=False))
+    return stats.traces(rank(t.orders_chain(s, d), "auto", check=False))
 
 
 # --- lookups, packing, sets
@@ -451,7 +451,7 @@ _RANKED = f"WITH r AS ({CHAIN_RANK})"
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return keep(rank(t.orders_chain(s, d), "gather", check=False))
+    return keep(rank(t.orders_chain(s, d), "auto", check=False))
 
 
 @query(_RANKED + " SELECT count(*) FILTER (WHERE root = id) AS num_trees, max(rank) AS max_rank, avg(rank) AS avg_rank FROM r")
