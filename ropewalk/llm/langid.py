@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out, modest_batches
+from .common import attach, held_out, modest_batches, stash
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
-#: Labelled rows to learn from at most, and the bytes of each.
-SAMPLE, SAMPLE_BYTES = 4000, 1024
+#: Labelled rows to learn from (about), the bytes of each, and the rows of a language to learn from at least, if it has them.
+SAMPLE, SAMPLE_BYTES, LEAST_ROWS = 4000, 1024, 40
 UNKNOWN = "und"
 _BATCH, _TEXTS = 4096, 250  # windows, and texts
 
@@ -146,15 +146,30 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() or unicodedata.category(c)[0] == "L" for c in text)
 
 
+def lang_sample(rows: DataFrame, sample: int) -> DataFrame:
+    """Of rows (h: a 64-bit hash, lang, text) about sample, and of each language LEAST_ROWS (about) or all it has, one at least.
+
+    A language's share of the hash's range decides; its rows are bounded by what is expected, a third more and LEAST_ROWS.
+    """
+    span = 1_000_000_007
+    rows = rows.withColumn("m", F.pmod("h", F.lit(span)))
+    langs = stash(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first")))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(sample / max(1, langs.agg(F.sum("n")).first()[0] or 0)), F.lit(float(LEAST_ROWS)) / F.col("n")))
+    bounds = langs.select("lang", F.greatest(F.floor(share * span), F.col("first") + 1).alias("below"), (F.ceil(F.col("n") * share * 4 / 3) + LEAST_ROWS).alias("most"))
+    taken = attach(rows, bounds, ["lang"]).filter("m < below")
+    return taken.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter("k <= most").select("h", "lang", "text")
+
+
 def train_on(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
-    """Learns from the rows where learn holds and language and text aren't null: about sample of them, chosen by hash.
+    """Learns from the rows where learn holds and language and text aren't null: about sample of them, chosen by hash,
+    and some of every language however rare.
 
     Of a longer text SAMPLE_BYTES characters from its middle serve; that bounds what reaches the driver.
     """
     text = F.col(text_col)
     part = F.substr(text, F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_BYTES // 2), F.lit(SAMPLE_BYTES))
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & text.isNotNull())
-    chosen = hash_sample(rows.select(F.xxhash64(text, F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), part.alias("text")), rows.count(), sample)
+    chosen = lang_sample(rows.select(F.xxhash64(text, F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), part.alias("text")), sample)
     rows = chosen.orderBy("h", "lang", "text").collect()
     return train([r.text.encode() for r in rows], [r.lang for r in rows])
 

@@ -248,6 +248,15 @@ def test_language(docs, rows, spark, nothing):
     assert langid.identify(nothing, net).count() == 0
 
 
+def test_rare_language_stays_a_class(spark):
+    own = [(i, f"some text number {i} in a common language", "de" if i % 2 else "en", i) for i in range(3000)] + [(5000, "one of its own kind, and the only one there is", "xx", 0), (5001, "another", None, 0)]
+    rows = spark.createDataFrame(own, "doc_id bigint, text string, lang string, h bigint")
+    net = langid.train_on(rows, F.lit(True), sample=100)
+    assert net.classes == ["de", "en", "xx"]
+    few = Counter(r.lang for r in langid.lang_sample(rows.filter("lang is not null").withColumn("h", F.xxhash64("doc_id")), 100).collect())
+    assert few["xx"] == 1 and few["de"] + few["en"] < 250
+
+
 def test_held_out(docs):
     for r in docs.select("doc_id", held_out("doc_id", 4, 2).alias("x")).collect():
         assert r.x == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 4 == 2)
