@@ -26,17 +26,17 @@ def rulers(succ: DataFrame, rule: Column, heads: bool = True) -> DataFrame:
     return own.unionByName(leaves(succ, proper_only=True)).distinct() if heads else own
 
 
-def walk(succ: DataFrame, chosen: DataFrame, rounds: int, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
+def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
     """Walks on from each ruler along the list for some rounds: (reached, links).
 
     reached: (id, ruler, dist) for elements passed. links: (id, succ, weight) from each ruler to the ruler or root that
-    ended its walk, or to where it stands when the rounds are over.
+    ended its walk, or to where it stands when the rounds are over. Without rounds all walk to their ends.
     """
     metrics = metrics if metrics is not None else Metrics()
     nodes = keep(weighted(succ).join(chosen.withColumn("stop", F.lit(True)), "id", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) | (F.col("id") == F.col("succ"))))
     front = nodes.join(chosen, "id").filter("id != succ").select(F.col("succ").alias("target"), F.col("id").alias("ruler"), F.col("weight").alias("dist"))
     reached, links = [], []
-    for _ in range(rounds):
+    for _ in range(max(1, nodes.count()) if rounds is None else rounds):
         now = keep(front.join(nodes.withColumnRenamed("id", "target"), "target"), "stop")
         links.append(now.filter("stop").select(F.col("ruler").alias("id"), F.col("target").alias("succ"), F.col("dist").alias("weight")))
         on = now.filter("not stop")

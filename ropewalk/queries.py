@@ -313,7 +313,7 @@ def ruler_sample(s: SparkSession, d: str) -> DataFrame:
 
 @query(_RULED + " SELECT l.id, r.id AS ruler, l.k - l.rk AS dist FROM l JOIN p r ON r.k = l.rk WHERE NOT l.ruler AND l.k < l.n - 1")
 def ruler_segments(s: SparkSession, d: str) -> DataFrame:
-    return ruling.walk(*_rulers(s, d), rounds=12)[0]
+    return ruling.walk(*_rulers(s, d), rounds=None)[0]
 
 
 @query(_RULED + " SELECT id FROM l WHERE NOT ruler AND k < n - 1 AND k - rk > 2")
@@ -329,7 +329,7 @@ SELECT count(*) AS num_links, min(m) AS min_segment, max(m) AS max_segment, avg(
 )
 def chain_length_stats(s: SparkSession, d: str) -> DataFrame:
     own, chosen = _rulers(s, d)
-    reached, links = ruling.walk(own, chosen, rounds=12)
+    reached, links = ruling.walk(own, chosen, rounds=None)
     return ruling.chain_stats(reached, links.filter("id != succ"), chosen)
 
 

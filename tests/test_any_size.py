@@ -3,7 +3,9 @@
 import functools
 import os
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 from ropewalk import queries
 from ropewalk.operators import gather
 from ropewalk.plans import ranking
@@ -18,3 +20,14 @@ def test_statistics_beyond_one_task(spark, monkeypatch, name):
     monkeypatch.setitem(ranking._PLANS, ranking.Strategy.GATHER, functools.partial(gather.gather, most_rows=100))
     monkeypatch.setattr(ranking, "choose", functools.partial(ranking.choose, block_rows=100))
     assert sorted(map(repr, queries.QUERIES[name](spark, FOLDER).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["ruler_segments", "chain_length_stats"])
+def test_walks_longer_than_twelve(spark, tmp_path, name):
+    n = 211  # a gap of 23 between two rulers
+    spark.range(n).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
