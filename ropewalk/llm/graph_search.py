@@ -207,7 +207,7 @@ class _Shard:
             norm = np.linalg.norm(q / big[:, None], axis=1) * big
             near, dist = graph.search((q / norm[:, None]).astype(np.float32), SEARCH_BEAM)
             for row, k in enumerate(few):
-                at = near[row][np.isfinite(dist[row])][: 4 * top]
+                at = near[row][np.isfinite(dist[row])]
                 score = np.einsum("ij,j->i", x[at] / scale[at, None], q[row] / norm[row])
                 hits = sorted((-s, i) for s, a in zip(score.tolist(), at.tolist(), strict=True) for i in names[a] if i != ids[k])[:top]
                 out += [(ids[k], i, -s) for s, i in hits]

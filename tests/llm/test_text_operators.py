@@ -447,3 +447,16 @@ def test_nearest(spark):
         total += len(cos)
     assert hits >= 0.9 * total
     assert graph_search.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_exact_scores_of_all_that_a_beam_finds():
+    rng = np.random.default_rng(5)
+    q = np.eye(32)[0]
+    side = rng.normal(size=(100, 32)) * (1 - q)
+    x = q + side / np.linalg.norm(side, axis=1)[:, None] * (1 + 1e-9 * rng.permutation(100)[:, None])  # nearer than a float tells
+    shard = graph_search._Shard({v.tobytes(): [i] for i, v in enumerate(x)})
+    _, _, graph, names = shard.graphs[256]
+    near, dist = graph.search(q.astype(np.float32)[None], graph_search.SEARCH_BEAM)
+    found = [names[a][0] for a in near[0][np.isfinite(dist[0])]]
+    assert len(found) > 40
+    assert shard.ask([1000], [q.tobytes()], 5).column("vec_id").to_pylist() == sorted(found, key=lambda i: -x[i, 0] / np.linalg.norm(x[i]))[:5]
