@@ -8,14 +8,13 @@ items so reach a task once per block.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -60,13 +59,39 @@ def unpack_words(data: bytes) -> list[bytes]:
     return [raw[s:e] for s, e in zip(starts, ends.tolist(), strict=True)]
 
 
-def bucket_words(words: Iterable, buckets: int) -> list[list]:
-    """Words, or tuples that begin with one, by a hash of the word."""
-    out: list[list] = [[] for _ in range(buckets)]
-    digest = xxhash.xxh32_intdigest
-    for w in words:
-        out[digest(w if isinstance(w, bytes) else w[0]) % buckets].append(w)
-    return out
+def _parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of a binary array."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.diff(at), np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+
+
+def deal_words(words: pa.Array, bits: int) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """Deals non-empty words (binary) to 2**bits buckets by hash, in the order given within each.
+
+    Their order by bucket; (bucket, from, to) in that order; and the ordered words' lengths and bytes.
+    """
+    if not len(words):
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    size, data = _parts(words)
+    starts = np.cumsum(size, dtype=np.int64) - size
+    power = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(starts, size)], starts)
+    bucket = (((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    size, data = _parts(words.take(pa.array(order)))
+    return order, list(zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(words)], strict=True)), size, data
+
+
+def pack_dealt(size: np.ndarray, data: np.ndarray, level: int = 1) -> bytes:
+    """As pack_words, of words' lengths and bytes."""
+    return squeeze(np.append(len(size), size).astype(np.uint32).tobytes() + data.tobytes(), level)
+
+
+def bits_for(size: int, per_bucket: int, least: int = 6, most: int = 14) -> int:
+    """So many bits that a bucket gets about per_bucket bytes of a corpus of this size."""
+    return min(most, max(least, (max(0, size - 1) // per_bucket).bit_length()))
 
 
 @dataclass

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, _grouped, answer, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .blocks import Block, _grouped, answer, deal_words, dictionaries, expand, pack_dealt, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import held_out, stash
 
 DEPTH = 5  # 6 at most: a gram is DEPTH bytes of context and a symbol, in the low 56 bits of a word; the bucket is in the high 8
-BUCKETS, GRAMS, WORDS = 256, 0, 1
+BITS, BUCKETS, GRAMS, WORDS = 8, 256, 0, 1
 BLOCK = 6 << 20  # bytes of text in a block
 START = END = b"\xff"  # no byte of UTF-8
 _LOW = np.uint64((1 << 56) - 1)
@@ -80,26 +80,6 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return words.indices.to_numpy(), words.dictionary, np.diff(np.searchsorted(starts, cuts))
 
 
-def deal_words(words: pa.Array) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    """Order by bucket, (bucket, from, to) in that order, and the ordered words' lengths and bytes."""
-
-    def parts(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
-        return np.diff(at), np.frombuffer(x.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-
-    if not len(words):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.int32), np.zeros(0, np.uint8)
-    size, data = parts(words)
-    starts = np.cumsum(size, dtype=np.int64) - size
-    power = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
-    h = np.add.reduceat((data.astype(np.uint64) + _U(1)) * power[np.arange(len(data)) - np.repeat(starts, size)], starts)
-    bucket = ((h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)) >> _U(56)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    size, data = parts(words.take(pa.array(order)))
-    return order, [(u, int(cuts[u]), int(cuts[u + 1])) for u in range(BUCKETS) if cuts[u] < cuts[u + 1]], size, data
-
-
 def _split(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
     bucket = (keys >> _U(56)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
@@ -133,11 +113,10 @@ def items(block: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[in
         yield GRAMS, u, pack_grams(keys[part]), squeeze(counts[part].astype(np.int64)), None
     word, dictionary, n = tokens(block.texts)
     counts = np.bincount(word[np.repeat(np.array(block.marks, bool), n)], minlength=len(dictionary))
-    order, parts, size, data = deal_words(dictionary)
+    order, parts, size, data = deal_words(dictionary, BITS)
     at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     for u, lo, hi in parts:
-        head = np.concatenate(([hi - lo], size[lo:hi])).astype(np.uint32)
-        yield WORDS, u, squeeze(head.tobytes() + data[at[lo] : at[hi]].tobytes()), squeeze(counts[order[lo:hi]].astype(np.int64)), None
+        yield WORDS, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]]), squeeze(counts[order[lo:hi]].astype(np.int64)), None
     yield texts_row(block, 3)
 
 
@@ -356,7 +335,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         score = np.add.reduceat(logs[places(code)], first, dtype=np.float64)
         del code
         word, dictionary, n = tokens(texts)
-        order, parts, _, _ = deal_words(dictionary)
+        order, parts, _, _ = deal_words(dictionary, BITS)
         count = np.empty(len(dictionary), np.int64)
         count[order] = np.concatenate([np.zeros(0, np.int64), *(expand(held[WORDS, u], np.int64) for u, _, _ in parts)])
         c = np.full(len(word) + len(n), ends, np.int64)  # each text's words, and then its end

@@ -155,7 +155,7 @@ def test_bpe_equals_the_library(docs, rows, nothing):
 def test_pre_tokens_on_odd_characters():
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    cut, piece, rng = bpe.pre_tokenizer(public_tokenizers.PATTERN), bpe._encoder(ranks), random.Random(2)
+    cut, piece, rng = bpe.pre_tokenizer(public_tokenizers.PATTERN), bpe._coder(ranks).piece, random.Random(2)
     pool = [chr(c) for c in [*range(0x250), 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x3000, 0xFEFF, 0x1F600, 0x661, 0x2160]]
     for _ in range(3000):
         t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 10)))
@@ -460,3 +460,14 @@ def test_exact_scores_of_all_that_a_beam_finds():
     found = [names[a][0] for a in near[0][np.isfinite(dist[0])]]
     assert len(found) > 40
     assert shard.ask([1000], [q.tobytes()], 5).column("vec_id").to_pylist() == sorted(found, key=lambda i: -x[i, 0] / np.linalg.norm(x[i]))[:5]
+
+
+def test_decoding_joins_the_table_it_is_given(spark):
+    encoded = spark.createDataFrame([(1, [1, 0, 1]), (2, []), (3, None), (4, [2])], "doc_id bigint, ids array<int>")
+    for second in (b"\xbe", b"B"):  # tables that come and go in a reused worker
+        ranks = {b"A": 0, second: 1, b"\n": 2}
+        got = {r.doc_id: None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(encoded, ranks).collect()}
+        assert got == {1: second + b"A" + second, 2: b"", 3: None, 4: b"\n"}
+    for ids in ([3], [1]):
+        with pytest.raises(Exception, match="token|out of bounds"):
+            bpe.decode(spark.createDataFrame([(ids,)], "ids array<int>"), {b"A": 0, b"C": 2}).collect()
