@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType
 from .blocks import TEXTS, Block, answer_in_passing, bits_for, deal_words, dictionaries, expand, pack_dealt, reassemble, squeeze, unpack_words
 
 #: Bytes of text in a block, which the larger it is has the fewer words in common with others, and in the corpus for each bucket of words.
-BLOCK, PER_BUCKET, LEVEL = 16 << 20, 8 << 20, 3
+BLOCK, PER_BUCKET, LEVEL = 16 << 20, 8 << 20, 9
 #: White space as the tokenizer's patterns mean it (Unicode White_Space), spelled out: libraries differ on \s.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -42,13 +42,13 @@ def pre_tokenizer(pattern: str) -> regex.Pattern:
     return regex.compile(spelled.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which packs better."""
-    return squeeze(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), LEVEL)
+def _planes(x: np.ndarray, size: int = 4) -> bytes:
+    """Bytes of equal weight together, which packs better; size of them a number."""
+    return squeeze(np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T), LEVEL)
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(expand(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+def _from_planes(data: bytes, size: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(size, -1).T).view(f"<i{size}").reshape(-1)
 
 
 class _Places(dict):
@@ -77,12 +77,12 @@ def block_words(block: Block, pattern: regex.Pattern, bits: int) -> Iterator[tup
     for u, lo, hi in parts:
         bucket[order[lo:hi]] = u
         yield 0, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]], LEVEL), None, None
-    yield TEXTS, 0, _planes(rank[sequence]), squeeze(bucket), sizes
+    yield TEXTS, 0, _planes(rank[sequence]), _planes(bucket, 2), sizes
 
 
 def put_together(held: dict[tuple[int, int], bytes], row: dict) -> pa.Array:
     """The ids of each text of a block, from the answers for its words."""
-    bucket = expand(row["counts"], np.uint16)
+    bucket = _from_planes(row["counts"], 2)
     lens, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     own, words = np.unique(bucket, return_counts=True)
     for u, n in zip(own.tolist(), words.tolist(), strict=True):
@@ -111,7 +111,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a tokenizer's, of fixed size
-    bits = bits_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BUCKET)
+    bits = bits_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PER_BUCKET, least=4)
 
     def items(part: Block) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
         yield from block_words(part, pre_tokenizer(pattern), bits)
