@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash-threshold histograms. DataFrame functions only.
 
-Every document has a hash; a source takes all its documents as often as its target covers them in full, and once
-more those whose hash is below a threshold. The threshold comes from histograms of words over hash buckets: the
-bucket in which the remaining budget ends is split again, 12 bits at a time, until it holds one hash. Nothing is
+Every document has a key: a hash of its id, where ids agree a hash of its text, and where both agree its place in
+the table that holds the keys. A source takes all its documents as often as its target covers them in full, and once
+more those whose key is below a threshold. The threshold comes from histograms of words over buckets of keys: the
+bucket in which the remaining budget ends is split again, 12 bits at a time, until it holds one document. Nothing is
 sorted but the buckets of a source, 4096 at most.
 """
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, attach, stash, unstash
 
-BITS, LEVELS = 12, 5
+BITS = 12
+#: A key's parts, most significant first, and its digits: part and place of the lowest bit.
+PARTS = ("h", "g", "row")
+DIGITS = [(part, at) for part, top in zip(PARTS, (48, 48, 60), strict=True) for at in range(top, -1, -BITS)]
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 
@@ -22,9 +26,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash(text: Column) -> Column:
+    """60 bits of the MD5; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """The parts of each row's key. The last one is fixed when the rows are written."""
+    return dict(zip(PARTS, (_hash(F.col(id_col).cast("string")), _hash(F.col(text_col)), F.monotonically_increasing_id()), strict=True))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -52,42 +61,56 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return by.select("source", "source_size", "target", "whole", rest.alias("rest"))
 
 
-def _boundary(rows: DataFrame, level: int) -> DataFrame:
-    """Of rows (source, size, h, rest, base): for each source the bucket in which rest ends."""
-    bucket = F.shiftright("h", BITS * (LEVELS - level))
-    hist = rows.groupBy("source", bucket.alias("bucket")).agg(
-        F.sum("size").alias("inside"), F.min("h").alias("low"), F.max("h").alias("high"), F.first("rest").alias("rest"), F.first("base").alias("base")
-    )
+def _boundary(rows: DataFrame, digit: int) -> DataFrame:
+    """Of rows (source, size, parts, rest, base): for each source the bucket, by a digit of the key, in which rest ends."""
+    part, at = DIGITS[digit]
+    ends = [f(p).alias(f"{name}_{p}") for p in PARTS for f, name in ((F.min, "low"), (F.max, "high"))]
+    hist = rows.groupBy("source", F.shiftright(part, at).alias("bucket")).agg(F.sum("size").alias("inside"), F.first("rest").alias("rest"), F.first("base").alias("base"), *ends)
     line = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("upto", F.col("base") + F.sum("inside").over(line))
-    found = hist.filter("upto >= rest").groupBy("source").agg(F.min(F.struct("bucket", "inside", "low", "high", "upto", "rest")).alias("b"))
-    return found.select("source", "b.bucket", "b.rest", (F.col("b.upto") - F.col("b.inside")).alias("base"), F.col("b.inside").alias("inside"), F.col("b.low").alias("low"), F.col("b.high").alias("high"))
+    hist = hist.withColumn("base", F.col("base") + F.sum("inside").over(line) - F.col("inside"))
+    names = [c for c in hist.columns if c not in ("source", "bucket")]
+    found = hist.filter(F.col("base") + F.col("inside") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", *names)).alias("b"))
+    return found.select("source", *(F.col(f"b.{c}").alias(c) for c in names)).withColumn("digit", _first_difference())
+
+
+def _first_difference() -> Column:
+    """The first digit in which the keys of a bucket differ; null if they don't."""
+    unlike = [F.when(F.shiftright(f"low_{part}", at) != F.shiftright(f"high_{part}", at), i) for i, (part, at) in enumerate(DIGITS)]
+    return F.coalesce(*unlike)
 
 
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Of (source, size, h) rows: source, source_size, target, whole, edge, with_edge.
+    """Of (source, size, h, g, row) rows: source, source_size, target, whole, edge_h, edge_g, edge_row, with_edge.
 
-    A document is taken whole times, and once more if h < edge, or h = edge and with_edge; edge is null where the
-    whole repeats use up the target.
+    A document is taken whole times, and once more if its key is below the edge, or at the edge and with_edge; the edge
+    is null where the whole repeats use up the target. Keys are split at the first digit in which those of some
+    source's boundary bucket differ, so repeated or null ids cost no rounds of their own.
     """
     plan = stash(targets(sizes, weights, most))
     spending = plan.filter("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("base"))
     rows = attach(sizes, spending, ["source"]).filter("rest is not null")
-    state = stash(_boundary(rows, 1))
-    for level in range(2, LEVELS + 1):
-        if state.filter("low < high").isEmpty():
-            break
-        inside = attach(sizes, state.filter("low < high").select("source", "bucket", "rest", "base"), ["source"])
-        inside = inside.filter(F.shiftright("h", BITS * (LEVELS - level + 1)) == F.col("bucket"))
-        finer, old = stash(state.filter("low = high").unionByName(_boundary(inside, level))), state
+    state = stash(_boundary(rows, 0))
+    while (digit := state.agg(F.min("digit")).first()[0]) is not None:
+        part, at = DIGITS[digit]
+        bounds = state.filter("digit is not null").select("source", "rest", "base", *(F.col(f"low_{p}").alias(f"low_{p}") for p in PARTS))
+        inside = attach(sizes, bounds, ["source"])
+        for p in PARTS[: PARTS.index(part)]:
+            inside = inside.filter(F.col(p) == F.col(f"low_{p}"))
+        if digit and DIGITS[digit - 1][0] == part:  # all have the digits above in common
+            inside = inside.filter(F.shiftright(part, at + BITS) == F.shiftright(f"low_{part}", at + BITS))
+        finer, old = stash(state.filter("digit is null").unionByName(_boundary(inside.filter("rest is not null"), digit))), state
         state = finer
         unstash(old)
-    edges = state.select("source", F.col("low").alias("edge"), (F.col("base") + F.col("inside") - F.col("rest") < F.col("rest") - F.col("base")).alias("with_edge"))
-    return attach(plan, edges, ["source"]).select("source", "source_size", "target", "whole", "edge", "with_edge")
+    nearer = (F.col("base") + F.col("inside") - F.col("rest") < F.col("rest") - F.col("base")).alias("with_edge")
+    edges = state.select("source", *(F.col(f"low_{p}").alias(f"edge_{p}") for p in PARTS), nearer)
+    return attach(plan, edges, ["source"]).select("source", "source_size", "target", "whole", *(f"edge_{p}" for p in PARTS), "with_edge")
 
 
-def _times(h: Column) -> Column:
-    extra = (h < F.col("edge")) | ((h == F.col("edge")) & F.col("with_edge"))
+def _times(prefix: str = "") -> Column:
+    extra = F.col("with_edge")
+    for p in reversed(PARTS):
+        own, edge = F.col(prefix + p), F.col(f"edge_{p}")
+        extra = (own < edge) | ((own == edge) & extra)
     return F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
 
 
@@ -95,33 +118,40 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: id, size, source_size, target, taken.
 
     size counts the words of the text (null: 0). Sources get targets (see targets()); taken is the size times the
-    number of times that the mix takes the document, 3 at most. The choice follows a hash of the id alone, so reruns
-    agree, and rows with the same id (null ids are one) are taken or left together. The document at the threshold is
-    taken if that brings the source nearer to its target: the sum differs from the target by half that document at
-    most. A null source is a source of its own. An empty table gives an empty result.
+    number of times that the mix takes the document, 3 at most. The choice follows a hash of the id, then one of the
+    text, so reruns agree; of rows that have both in common, null ids included, as many are taken as the target
+    needs, any of them. The document at the threshold is taken if that brings the source nearer to its target: the
+    sum differs from the target by half that document at most, whether ids repeat or not. A null source is a source
+    of its own. An empty table gives an empty result.
     """
-    sizes = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")))
-    rows = attach(sizes, mix_plan(sizes.select("source", "size", "h")), ["source"])
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _times(F.col("h"))).alias("taken"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(c.alias(p) for p, c in _key(docs, id_col, text_col).items()))
+    sizes = stash(rows)
+    rows = attach(sizes, mix_plan(sizes.select("source", "size", *PARTS)), ["source"])
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs as the mix has them: each as often as it is taken, in its own columns."""
-    sizes = stash(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")))
-    plan = mix_plan(sizes).select(F.col("source").alias("__from"), *("whole edge with_edge".split()))
-    rows = attach(docs.withColumn("__from", F.col(source_col)), plan, ["__from"])
-    times = _times(id_hash(F.col(id_col)))
-    return rows.withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    """The rows of docs as the mix has them: each as often as mix takes it, in its own columns.
+
+    Nulls, repeats and ties are mix's. Rows with an empty text have size 0 and are taken as often as others of their
+    source. The rows are written once with their keys.
+    """
+    own = stash(docs.select("*", F.col(source_col).alias("__from"), word_count(F.col(text_col)).alias("__size"), *(c.alias(f"__{p}") for p, c in _key(docs, id_col, text_col).items())))
+    plan = mix_plan(own.select(F.col("__from").alias("source"), F.col("__size").alias("size"), *(F.col(f"__{p}").alias(p) for p in PARTS)))
+    rows = attach(own, plan.withColumnRenamed("source", "__from").drop("source_size", "target"), ["__from"])
+    return rows.withColumn("__time", F.explode(F.array_repeat(F.lit(1), _times("__").cast("int")))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix of documents; see there for nulls, empty texts, ties and repeated rows."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = {
     "op4_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+           CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS g FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, 3 * source_size AS most FROM s),
 v AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM w),
@@ -133,11 +163,10 @@ t AS (SELECT l.source, l.source_size, least(CAST(l.most AS DOUBLE), f.level * l.
 k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(3, floor(target / source_size)) AS BIGINT) END AS whole FROM t),
 r AS (SELECT *, CASE WHEN source_size = 0 OR whole >= 3 THEN 0 ELSE target - whole * source_size END AS rest FROM k),
 c AS (SELECT d.*, r.source_size, r.target, r.whole, r.rest,
-        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS DOUBLE) AS upto,
-        CAST(sum(d.size) OVER (PARTITION BY d.source, d.h) AS DOUBLE) AS inside
+        CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.g ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS upto
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN upto - inside < rest AND (upto < rest OR upto - rest < rest - (upto - inside)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN upto - size < rest AND (upto < rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
 }
