@@ -108,6 +108,26 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-9
 
 
+@pytest.mark.parametrize(
+    ("ids", "texts"),
+    [(lambda k: None, lambda k: "a b c"), (lambda k: None, lambda k: "w " * (k % 7)), (lambda k: 5, lambda k: f"{k % 2} x" if k % 5 else None), (lambda k: k % 3, lambda k: "w " * (k % 7)), (lambda k: k, lambda k: "a b c")],
+)
+def test_mixing_on_repeated_ids(spark, ids, texts):
+    own = [(ids(k), texts(k), "de", "a" if k % 10 < 6 else "b", k) for k in range(500)]
+    own += [(ids(k), texts(k), "en", None if k % 2 else "c", k) for k in range(40)]
+    df = spark.createDataFrame(own, SCHEMA)
+    sizes, target = brute_mix(own)
+    largest = max(len((t or "").split()) for _, t, *_ in own)
+    made, taken = mixing.mixed_rows(df.repartition(4)).collect(), Counter()
+    for r in made:
+        taken[r.source] += len((r.text or "").split())
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= largest / 2 + 1e-9, (s, taken, target)
+    assert max(Counter(map(tuple, made)).values()) <= 3  # n_chars tells the rows apart
+    again = [Counter(map(tuple, mixing.mix(df.repartition(n)).collect())) for n in (1, 3)]
+    assert again[0] == again[1] and sum(r[-1] * n for r, n in again[0].items()) == sum(taken.values())
+
+
 def test_mixing_reruns_and_rows(docs):
     a, b = mixing.mix(docs).collect(), mixing.mix(docs.repartition(7)).collect()
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
@@ -452,14 +472,57 @@ def test_nearest(spark):
 def test_exact_scores_of_all_that_a_beam_finds():
     rng = np.random.default_rng(5)
     q = np.eye(32)[0]
-    side = rng.normal(size=(100, 32)) * (1 - q)
-    x = q + side / np.linalg.norm(side, axis=1)[:, None] * (1 + 1e-9 * rng.permutation(100)[:, None])  # nearer than a float tells
+    side = rng.normal(size=(400, 32)) * (1 - q)
+    x = q + side / np.linalg.norm(side, axis=1)[:, None] * (1 + 1e-9 * rng.permutation(400)[:, None])  # nearer than a float tells
     shard = graph_search._Shard({v.tobytes(): [i] for i, v in enumerate(x)})
-    _, _, graph, names = shard.graphs[256]
-    near, dist = graph.search(q.astype(np.float32)[None], graph_search.SEARCH_BEAM)
-    found = [names[a][0] for a in near[0][np.isfinite(dist[0])]]
-    assert len(found) > 40
-    assert shard.ask([1000], [q.tobytes()], 5).column("vec_id").to_pylist() == sorted(found, key=lambda i: -x[i, 0] / np.linalg.norm(x[i]))[:5]
+    score = x[:, 0] / np.linalg.norm(x, axis=1)
+    found = shard.ask([1000], [q.tobytes()], 5)
+    assert (np.array(found.column("score")) >= np.sort(score)[-5:][::-1] - 1e-8).all()
+    equal = np.sign(side) / 4  # 400 directions at one angle, more than a beam holds
+    equal[:, 0] = 1
+    _, at = np.unique(equal, axis=0, return_index=True)
+    shard = graph_search._Shard({equal[i].tobytes(): [int(i)] for i in at})
+    assert shard.ask([1000], [q.tobytes()], 5).column("vec_id").to_pylist() == sorted(at.tolist())[:5]
+
+
+def brute_nearest(ok, q):
+    cos = {i: float(v @ ok[q] / np.linalg.norm(v) / np.linalg.norm(ok[q])) for i, v in ok.items() if i != q}
+    return sorted(cos.items(), key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("how", ["by two", "by three", "equal", "jitter", "tiny"])
+def test_neighbours_of_one_direction(spark, how):
+    rng = np.random.default_rng(6)
+    x = {i: v for i, v in enumerate(rng.normal(size=(300, 16)))}
+    one = rng.normal(size=16)
+    scale = {"by two": lambda k: one * 2.0 ** (k % 40 - 20), "by three": lambda k: one * 3.0 ** (k % 9), "equal": lambda k: one, "jitter": lambda k: one * (1 + 1e-9 * rng.normal(size=16)), "tiny": lambda k: one * 2.0**-450 * (k + 1)}[how]
+    x |= {1000 + k: scale(k) for k in range(400 if how == "equal" else 60)}
+    x |= {2000 + k: one + 0.1 * rng.normal(size=16) for k in range(5)}  # queries near them
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id bigint, embedding array<double>").repartition(3)
+    for exact in (False, True):
+        found = graph_search.nearest(df, F.col("vec_id") % 1000 < 5, shard=100, exact=exact).collect()
+        for q in [0, 1, 1000, 1001, 2000, 2001]:
+            own = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)]
+            want = brute_nearest(x, q)
+            assert [s for _, s in own] == pytest.approx([s for _, s in want[:5]], abs=1e-13), (how, exact, q)
+            if how in ("by two", "equal"):  # ties that rounding does not break
+                assert [i for i, _ in own] == sorted((i for i, _ in own), key=lambda i: (-dict(own)[i], i))
+                if q >= 2000:
+                    assert [i for i, _ in own] == [i for i, _ in want[:5]]
+
+
+def test_recall_on_vectors_without_structure(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4096, 64))
+    x[::7] = x[0] * rng.uniform(1, 9, (len(x[::7]), 1))  # and a third as many of one direction
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found, true = (graph_search.nearest(df, F.col("vec_id") % 50 == 1, exact=e) for e in (False, True))
+    want = {q: brute_nearest(dict(enumerate(x)), q)[:5] for q in (1, 51, 1001)}
+    rows = true.collect()
+    for q, own in want.items():
+        assert [r.vec_id for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] == [i for i, _ in own]
+    assert graph_search.recall(found, true) >= 0.9
+    assert graph_search.recall(found.limit(0), true.limit(0)) == 1.0
 
 
 def test_decoding_joins_the_table_it_is_given(spark):
