@@ -1,15 +1,16 @@
 """Language identification by a byte convolutional network in numpy.
 
 Filters of widths 2, 3 and 4 over byte embeddings, a rectifier, max pooling over a window and a softmax. It is
-trained with Adam on windows of a bounded sample of labelled texts, and applied to every window of every text: whole
-texts are cut into windows of a fixed length and go through the network in batches. A text's probabilities are the
-normalised geometric means over its windows, weighted by their bytes.
+trained with Adam on all windows of a bounded sample of labelled texts, which the driver reads a part at a time, and
+applied to every window of every text: whole texts are cut into windows of a fixed length and go through the network
+in batches. A text's probabilities are the normalised geometric means over its windows, weighted by their bytes, as
+windows are in training.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, held_out, modest_batches, stash
+from .common import attach, held_out, stash, unstash
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
-#: Labelled rows to learn from (about), the bytes of each, and the rows of a language to learn from at least, if it has them.
-SAMPLE, SAMPLE_BYTES, LEAST_ROWS = 4000, 1024, 40
+#: Labelled rows to learn from (about), whole, and the rows of a language to learn from at least, if it has them.
+SAMPLE, LEAST_ROWS = 3000, 40
+#: Passes over the windows: three, or as many as make so many steps of a batch.
+EPOCHS, STEPS, BATCH = 3, 600, 64
 UNKNOWN = "und"
-_BATCH, _TEXTS = 4096, 250  # windows, and texts
+_BATCH, _TEXTS, _PART = 4096, 250, 1 << 16  # windows, texts, and windows that the driver holds at once (about)
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,55 +93,69 @@ class ByteNet:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 1, epochs: int = 6, batch: int = 64, rate: float = 0.01) -> ByteNet | None:
-    """A network for the languages that occur, rarer ones weighted up; None if there are no labelled texts."""
-    classes = sorted(set(langs))
-    if not classes:
-        return None
-    rng = np.random.default_rng(seed)
-    x, of, size = windows(texts)
-    y = np.searchsorted(classes, langs)[of]
-    x, y = x[size >= WINDOW // 4], y[size >= WINDOW // 4]
-    weight = 1 / np.maximum(1, np.bincount(y, minlength=len(classes)))
-    embed = rng.normal(0, 0.3, (256, EMBED))
+def initial(classes: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Byte embeddings, filters of each width, their bias, and weights and bias of the softmax."""
     conv = [rng.normal(0, 0.5 / np.sqrt(w), (w, EMBED, FILTERS)) for w in WIDTHS]
-    bias, out, out_bias = np.zeros(FILTERS * len(WIDTHS)), rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(classes))), np.zeros(len(classes))
-    params = [embed, *conv, bias, out, out_bias]
+    return [rng.normal(0, 0.3, (256, EMBED)), *conv, np.zeros(FILTERS * len(WIDTHS)), rng.normal(0, 0.1, (FILTERS * len(WIDTHS), classes)), np.zeros(classes)]
+
+
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Of a batch of windows the weighted mean of the cross-entropy, and its derivatives by params."""
+    embed, *conv, bias, out, out_bias = params
+    weight = weight / weight.sum()
+    e = embed[x]
+    pooled, places = [], []
+    for w, c in zip(WIDTHS, conv, strict=True):
+        n = x.shape[1] - w + 1
+        r = sum(e[:, j : j + n] @ c[j] for j in range(w))
+        places.append(r.argmax(axis=1))
+        pooled.append(np.take_along_axis(r, places[-1][:, None], 1)[:, 0])
+    pre = np.concatenate(pooled, axis=1) + bias
+    h = np.maximum(pre, 0)
+    z = h @ out + out_bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    row = np.arange(len(x))
+    loss = float(-(np.log(np.maximum(1e-300, p[row, y])) * weight).sum())
+    p[row, y] -= 1
+    p *= weight[:, None]
+    dh = (p @ out.T) * (pre > 0)
+    de, dconv = np.zeros_like(embed), []
+    for q, (w, c) in enumerate(zip(WIDTHS, conv, strict=True)):
+        d, at = dh[:, q * FILTERS : (q + 1) * FILTERS], places[q]
+        g = np.zeros_like(c)
+        for j in range(w):
+            ej = e[row[:, None], at + j]  # (batch, filter, embedding)
+            g[j] = np.einsum("bf,bfe->ef", d, ej)
+            np.add.at(de, x[row[:, None], at + j], d[:, :, None] * c[j].T[None])
+        dconv.append(g)
+    return loss, [de, *dconv, dh.sum(0), h.T @ p, p.sum(0)]
+
+
+def train(parts: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]], classes: list[str], total: np.ndarray, epochs: int = EPOCHS, seed: int = 1, rate: float = 0.01) -> ByteNet:
+    """A network for the classes. parts reads the labelled windows again: rows of WINDOW bytes, classes, sizes.
+
+    A window counts by its size over total, the bytes of its class, so rarer languages are weighted up. The rate falls
+    with the bytes that were read.
+    """
+    rng = np.random.default_rng(seed)
+    read, whole = 0, epochs * total.sum()
+    params = initial(len(classes), rng)
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for i in range(0, len(order), batch):
-            xb, yb = x[order[i : i + batch]], y[order[i : i + batch]]
-            b, k = len(xb), np.arange(len(xb))[:, None]
-            e = embed[xb]
-            pooled, places = [], []
-            for w, c in zip(WIDTHS, conv, strict=True):
-                n = WINDOW - w + 1
-                r = sum(e[:, j : j + n] @ c[j] for j in range(w))
-                places.append(r.argmax(axis=1))
-                pooled.append(np.take_along_axis(r, places[-1][:, None], 1)[:, 0])
-            pre = np.concatenate(pooled, axis=1) + bias
-            h = np.maximum(pre, 0)
-            z = h @ out + out_bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(b), yb] -= 1
-            p *= (weight[yb] / weight[yb].sum())[:, None]
-            dh = (p @ out.T) * (pre > 0)
-            de, dconv = np.zeros_like(embed), []
-            for q, (w, c) in enumerate(zip(WIDTHS, conv, strict=True)):
-                d, at = dh[:, q * FILTERS : (q + 1) * FILTERS], places[q]
-                g = np.zeros_like(c)
-                for j in range(w):
-                    ej = e[k, at + j]  # (batch, filter, embedding)
-                    g[j] = np.einsum("bf,bfe->ef", d, ej)
-                    np.add.at(de, xb[k, at + j], d[:, :, None] * c[j].T[None])
-                dconv.append(g)
-            step += 1
-            for a, (par, grad) in enumerate(zip(params, [de, *dconv, dh.sum(0), h.T @ p, p.sum(0)], strict=True)):
-                m[a] += 0.1 * (grad - m[a])
-                v[a] += 0.001 * (grad * grad - v[a])
-                par -= rate * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.999**step)) + 1e-8)
+        for x, y, size in parts():
+            order = rng.permutation(len(x))
+            for i in range(0, len(order), BATCH):
+                few = order[i : i + BATCH]
+                _, grads = gradients(params, x[few], y[few], size[few] / total[y[few]])
+                step += 1
+                read += int(size[few].sum())
+                now = rate * max(0.02, 1 - read / whole)
+                for a, (par, grad) in enumerate(zip(params, grads, strict=True)):
+                    m[a] += 0.1 * (grad - m[a])
+                    v[a] += 0.001 * (grad * grad - v[a])
+                    par -= now * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.999**step)) + 1e-8)
+    embed, *conv, bias, out, out_bias = params
     return ByteNet(classes, [np.stack([embed @ c[j] for j in range(len(c))]) for c in conv], bias, out, out_bias)
 
 
@@ -160,18 +177,59 @@ def lang_sample(rows: DataFrame, sample: int) -> DataFrame:
     return taken.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter("k <= most").select("h", "lang", "text")
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text (h, class, text), with a hash of text and place to shuffle them by."""
+    for b in batches:
+        for h, c, t in zip(b.column("h").to_pylist(), b.column("class").to_pylist(), b.column("text").to_pylist(), strict=True):
+            data = t.encode()
+            for start in range(0, len(data), WINDOW * _BATCH):
+                x, _, size = windows([data[start : start + WINDOW * _BATCH]])
+                place = np.arange(len(x), dtype=np.uint64) + np.uint64(start // WINDOW + 1)
+                k = (np.uint64(h % (1 << 64)) ^ place * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((k ^ (k >> np.uint64(32))).view(np.int64)), pa.array(np.full(len(x), c, np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()), pa.array(size.astype(np.int32))],
+                    ["k", "class", "x", "size"],
+                )
+
+
+def _join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Many windows a row."""
+    for b in batches:
+        for i in range(0, len(b), _BATCH):
+            few = b.slice(i, _BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(few.column("x").to_pylist())]), *(pa.array([few.column(c).to_numpy().astype(np.int32).tobytes()]) for c in ("class", "size"))], ["x", "class", "size"])
+
+
 def train_on(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
     """Learns from the rows where learn holds and language and text aren't null: about sample of them, chosen by hash,
-    and some of every language however rare.
+    and some of every language however rare. None if they hold no byte.
 
-    Of a longer text SAMPLE_BYTES characters from its middle serve; that bounds what reaches the driver.
+    The chosen rows are bounded, not their lengths: their windows, shuffled by hash, are written to the shared folder,
+    and each epoch reads them through the driver, about _PART of them at a time.
     """
     text = F.col(text_col)
-    part = F.substr(text, F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_BYTES // 2), F.lit(SAMPLE_BYTES))
-    rows = docs.filter(learn & F.col(lang_col).isNotNull() & text.isNotNull())
-    chosen = lang_sample(rows.select(F.xxhash64(text, F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), part.alias("text")), sample)
-    rows = chosen.orderBy("h", "lang", "text").collect()
-    return train([r.text.encode() for r in rows], [r.lang for r in rows])
+    rows = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text) > 0))
+    chosen = stash(lang_sample(rows.select(F.xxhash64(text, F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), text.alias("text")), sample))
+    size = F.octet_length("text")
+    found = chosen.groupBy("lang").agg(F.sum(size).alias("bytes"), F.sum(F.ceil(size / WINDOW)).alias("windows")).orderBy("lang").collect()  # a row for each class
+    if not found:
+        return None
+    classes, count = [r.lang for r in found], sum(r.windows for r in found)
+    total = np.array([r.bytes for r in found], float)
+    place = F.array_position(F.array(*map(F.lit, classes)), F.col("lang")).cast("int") - 1
+    cut = chosen.select("h", place.alias("class"), "text").mapInArrow(_cut, "k bigint, class int, x binary, size int")
+    shuffled = cut.repartition(count // _PART + 1, "k").sortWithinPartitions("k", "class", "x")
+    kept = stash(shuffled.mapInArrow(_join_windows, "x binary, class binary, size binary"))
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for r in kept.toLocalIterator():
+            yield np.frombuffer(r.x, np.uint8).reshape(-1, WINDOW), *(np.frombuffer(r[c], np.int32) for c in ("class", "size"))
+
+    held = list(parts()) if count <= _PART else None
+    net = train(parts if held is None else lambda: held, classes, total, max(EPOCHS, -(-STEPS * BATCH // count)))
+    unstash(kept)
+    unstash(chosen)
+    return net
 
 
 def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
@@ -183,8 +241,6 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
     docs = docs.drop("lang_pred", "score") if text_col not in ("lang_pred", "score") else docs
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    modest_batches(docs.sparkSession)
-
     @F.arrow_udf("lang_pred string, score double")
     def predict(text: pa.Array) -> pa.Array:
         model = shared.value
@@ -202,6 +258,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Da
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify of documents, a quarter of them held out from training; see there for nulls, empty and long texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out("doc_id", 4, 2)
     net = train_on(docs, ~out)
