@@ -7,6 +7,8 @@ control string, of this template or of a common other one ("</s>", "[INST]"), an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,39 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\|\\(\\)", "$1$2")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once a row, however often then and its lambdas use it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _indexes(array: Column) -> Column:
+    return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _sums_before(numbers: Column, wanted: Callable[[Column], Column]) -> Column:
+    """(start, length) for each place of numbers that is wanted: the sum before it and the number itself.
+
+    Sums of runs of about the square root of their count serve, so nothing grows with the square of the count.
+    """
+
+    def spans(run: Column, sums: Column) -> Column:
+        def before(i: Column) -> Column:
+            j = F.floor(i / run).cast("int")
+            return _total(F.slice(sums, F.lit(1), j)) + _total(F.slice(numbers, j * run + 1, i - j * run))
+
+        return F.transform(F.filter(_indexes(numbers), wanted), lambda i: F.struct(before(i).alias("start"), F.get(numbers, i).alias("length")))
+
+    def runs_of(run: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / run).cast("int")), lambda j: _total(F.slice(numbers, j * run + 1, run)))
+        return _let(sums, lambda x: spans(run, x))
+
+    return _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers))).cast("int")), runs_of)
+
+
 def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """Of (conv_id, turn, role, text) rows: conv_id, formatted, loss_spans.
 
@@ -28,39 +63,33 @@ def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     a span covers the escaped text and no control string. Turns are sorted by turn (null first), then role and text;
     null roles and texts count as empty; rows without a conv_id are one conversation; repeated rows are turns of
     their own. Adjacent turns of one role are one run, their texts kept apart by <|next|>. An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. A conversation is one row of the result, so it must fit into one.
     """
     rows = turns.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
 
-    def merged(runs: Column, x: Column) -> Column:
-        last = F.element_at(runs, -1)
-        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))))
-        return F.when((F.size(runs) > 0) & (F.get(runs, F.size(runs) - 1)["role"] == x["role"]), longer).otherwise(
-            F.concat(runs, F.array(F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts"))))
-        )
-
-    runs = F.aggregate("turns", F.array().cast("array<struct<role:string,texts:array<string>>>"), merged)
-
     def piece(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
-    def pieces(run: Column) -> Column:
-        texts = F.transform(run["texts"], lambda t, i: F.array(piece(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")), F.lit(False)), piece(escape(t), run["role"] == learn)))
-        head = piece(F.concat(F.lit(START), escape(run["role"]), F.lit(TEXT)), F.lit(False))
+    def pieces(own: Column, role: Column) -> Column:
+        texts = F.transform(own, lambda t, i: F.array(piece(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")), F.lit(False)), piece(escape(t["text"]), role == learn)))
+        head = piece(F.concat(F.lit(START), escape(role), F.lit(TEXT)), F.lit(False))
         return F.concat(F.array(head), F.flatten(texts), F.array(piece(F.lit(END), F.lit(False))))
 
-    parts = chats.select("conv_id", F.flatten(F.transform(runs, pieces)).alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["text"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["text"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return parts.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+    def runs(all_: Column, starts: Column) -> Column:
+        """The pieces of each run: the turns from where the role changes to where it changes next."""
+        return F.transform(starts, lambda s, k: pieces(F.slice(all_, s + 1, F.coalesce(F.get(starts, k + 1), F.size(all_)) - s), F.get(all_, s)["role"]))
+
+    def changes(all_: Column) -> Column:
+        return F.filter(_indexes(all_), lambda i: (i == 0) | (F.get(all_, i)["role"] != F.get(all_, i - 1)["role"]))
+
+    made = _let(F.col("turns"), lambda x: F.flatten(_let(changes(x), lambda starts: runs(x, starts))))
+
+    def result(x: Column) -> Column:
+        spans = _let(F.transform(x, lambda p: F.length(p["text"]).cast("long")), lambda n: _sums_before(n, lambda i: F.get(x, i)["loss"]))
+        return F.struct(F.array_join(F.transform(x, lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+    return chats.select("conv_id", _let(made, result).alias("r")).select("conv_id", "r.formatted", "r.loss_spans")
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -72,14 +101,28 @@ def read_chats(chats: DataFrame) -> DataFrame:
         body = F.substr(block, F.length(F.substring_index(block, TEXT, 1)) + len(TEXT) + 1)
         return F.transform(F.split(body, r"<\|next\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    learned = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    def inside(text: Column, low: Column, spans: Column) -> Column:
+        return F.transform(spans, lambda s: unescape(F.substr(text, (s["start"] - low + 1).cast("int"), s["length"].cast("int"))))
+
+    def group(spans: Column) -> Column:
+        """Of neighbouring spans: each is cut out of the text that holds them all, which is found once."""
+        low, last = F.get(spans, 0)["start"], F.get(spans, F.size(spans) - 1)
+        text = F.substr(F.col("formatted"), (low + 1).cast("int"), (last["start"] + last["length"] - low).cast("int"))
+        return _let(text, lambda t: inside(t, low, spans))
+
+    def groups(run: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size("loss_spans") / run).cast("int")), lambda j: F.slice(F.col("loss_spans"), j * run + 1, run))
+        return F.flatten(F.transform(F.filter(parts, lambda p: F.size(p) > 0), group))
+
+    learned = _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("loss_spans"))).cast("int")), groups)
     return chats.select("*", F.flatten(F.transform(blocks, turns)).alias("turns"), learned.alias("learned"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What read_chats gives back of format_chats of conversations, and of one more; see there for nulls and repeats."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    more = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     back = read_chats(format_chats(rows.unionByName(more)))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")
