@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import modest_batches
-
 #: Bytes of text after which a block ends; a longer text is a block of its own.
 BLOCK = 8 << 20
 #: Rows that hold the block itself; other kinds hold items.
@@ -141,7 +139,6 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
             yield rows()
         tidy()
 
-    modest_batches(docs.sparkSession)
     return docs.select("id", "mark", F.col("text").cast("binary").alias("text")).mapInArrow(run, COLUMNS.format(id=kind))
 
 

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..plans.tables import keep as stash
 from ..plans.tables import release as unstash
 
-__all__ = ["WORD", "attach", "hash_sample", "held_out", "lower_ascii", "modest_batches", "stash", "unstash"]
+__all__ = ["WORD", "attach", "hash_sample", "held_out", "lower_ascii", "repeat", "stash", "unstash"]
 
-#: The separators of words everywhere in this package.
+#: The words everywhere in this package: what the separators leave.
 WORD = r"[^\x20\x09-\x0D]+"
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: as many rows at most go to a Python worker at once, unless the session asks for other than the default."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, rows)
-
 
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], most_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Left-joins a small table to rows whose keys may be very uneven; null keys match.
@@ -38,10 +31,17 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], most_rows: int =
     return left.join(right, [*on, left["__salt"] == right["__salt_"]], "left").drop("__salt", "__salt_", *(f"__{k}" for k in keys))
 
 
-@F.arrow_udf(StringType())
-def lower_ascii(text: pa.Array) -> pa.Array:
+def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
-    return pc.ascii_lower(text)
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
+def repeat(rows: DataFrame, n: Column, at_once: int = 1 << 16) -> DataFrame:
+    """Every row n times, with copy from 1 on; no array has more than at_once or n / at_once places."""
+    parts = rows.withColumn("__n", n.cast("long")).withColumn("__part", F.explode(F.expr(f"sequence(0L, (__n - 1) div {at_once}L)")))
+    size = F.least(F.lit(at_once).cast("long"), F.col("__n") - F.col("__part") * at_once)
+    copies = parts.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), size)))
+    return copies.withColumn("copy", F.col("copy") + F.col("__part") * at_once).drop("__n", "__part")
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:

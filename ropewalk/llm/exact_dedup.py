@@ -12,13 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, modest_batches, stash
+from .common import lower_ascii, repeat, stash
 
 SALTS = 32  # bits of an int mask
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("content"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("content", 256)))
     return rows.withColumn("digest", digest(F.col("sha"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -52,14 +51,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = keyed.join(clashes, "digest", "left_semi").groupBy("digest", "content", "salt", "id", "sha").agg(F.count(F.lit(1)).alias("n"))
         wide = merged.join(clashes, "digest", "left_semi").select("digest", "content", F.explode(salts).alias("salt"), "keep_id", "group_size")
         found = found.unionByName(full.join(wide, ["digest", "content", "salt"]).select("id", "sha", "n", "keep_id", "group_size"))
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return found.select(
+    return repeat(found, F.col("n")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows (same id, same text) any one."""
+    """The rows of docs that stay, with all their columns; of repeated rows (same id, same text) any one.
+
+    Null and empty texts are one group, of which one row stays; a null id loses to any other; an empty table gives an
+    empty result.
+    """
     kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
     rows = docs.withColumn("__own", F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)))
     joined = rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__own"] == kept["__sha"]))
@@ -67,6 +69,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_dedup of documents; see there for nulls, empty texts, ties and repeated rows."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -160,6 +160,21 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 17, 5000])
+def test_long_chats(spark, n):
+    rng = random.Random(n)
+    own = [(1, k, rng.choice(["user", "assistant", "assistant"]), rng.choice(["", "ö[", "some words", "x" * 70])) for k in range(n)] + [(2, 0, "assistant", "a" * 200_000)]
+    made = {r.conv_id: r for r in chat.read_chats(chat.format_chats(spark.createDataFrame(own, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    assert made[2].learned == ["a" * 200_000] and len(made) == 1 + (n > 0)
+    if n:
+        assert [(t.role, t.text) for t in made[1].turns] == [x[2:] for x in own[:n]]
+        assert made[1].learned == [t for _, _, r, t in own[:n] if r == "assistant"]
+        at = 0
+        for s in made[1].loss_spans:
+            assert s.start >= at and "<|" not in made[1].formatted[s.start : s.start + s.length]
+            at = s.start + s.length
+
+
 def test_bpe_equals_the_library(docs, rows, nothing):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ranks = bpe.read_ranks(path)
@@ -268,6 +283,52 @@ def test_language(docs, rows, spark, nothing):
     assert langid.identify(nothing, net).count() == 0
 
 
+def test_language_learns_from_whole_and_short_texts(spark, monkeypatch):
+    own = [(k, "ja das ist gut", "de") for k in range(50)] + [(100 + k, f"yes this is good and number {k} of a line of english text", "en") for k in range(50)]
+    net = langid.train_on(spark.createDataFrame(own, "doc_id bigint, text string, lang string"), F.lit(True))
+    test = spark.createDataFrame([("ja das ist gut",), ("yes this is good",)], "text string")
+    assert [r.lang_pred for r in langid.identify(test, net).collect()] == ["de", "en"]
+    monkeypatch.setattr(langid, "_BATCH", 4)
+    monkeypatch.setattr(langid, "_PART", 8)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda parts, classes, total, epochs: seen.extend([list(parts()), list(parts()), classes, total.tolist()]))
+    texts = ["é" * 1000 + "end", "b" * 128, "c", "", None]
+    langid.train_on(spark.createDataFrame([(k, t, "xy"[k % 2]) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string"), F.lit(True))
+    first, second, classes, total = seen
+    assert classes == ["x", "y"] and total == [2004.0, 128.0]
+    for epoch in (first, second):  # every window of every text, short ones too
+        got = Counter((bytes(x[i, : n[i]]), int(y[i])) for x, y, n in epoch for i in range(len(x)))
+        assert got == Counter((t.encode()[i : i + 128], k % 2) for k, t in enumerate(texts) if t for i in range(0, len(t.encode()), 128))
+
+
+def test_byte_network_against_loops():
+    rng = np.random.default_rng(4)
+    params = langid.initial(3, rng)
+    embed, *conv, bias, out, out_bias = params
+    bias += rng.normal(size=bias.shape)
+    net = langid.ByteNet(["a", "b", "c"], [np.stack([embed @ c[j] for j in range(len(c))]) for c in conv], bias, out, out_bias)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    for i, row in enumerate(x):
+        want = []
+        for c in conv:
+            for f in range(langid.FILTERS):
+                want.append(max(sum(embed[row[at + j]] @ c[j, :, f] for j in range(len(c))) for at in range(langid.WINDOW - len(c) + 1)))
+        h = np.maximum(0, np.array(want) + bias)
+        z = h @ out + out_bias
+        assert np.allclose(net.features(x)[i], h, atol=1e-5)
+        assert np.allclose(net.log_probs(x)[i], z - np.log(np.exp(z).sum()), atol=1e-4)
+    y, weight = np.array([0, 1, 2, 1, 0]), rng.random(5) + 0.1
+    _, grads = langid.gradients(params, x, y, weight)
+    for par, grad in zip(params, grads, strict=True):
+        for at in [tuple(rng.integers(0, n) for n in par.shape) for _ in range(6)] + [np.unravel_index(np.abs(grad).argmax(), par.shape)]:
+            keep, values = par[at], []
+            for step in (1e-6, -1e-6):
+                par[at] = keep + step
+                values.append(langid.gradients(params, x, y, weight)[0])
+            par[at] = keep
+            assert abs((values[0] - values[1]) / 2e-6 - grad[at]) < 1e-5
+
+
 def test_rare_language_stays_a_class(spark):
     own = [(i, f"some text number {i} in a common language", "de" if i % 2 else "en", i) for i in range(3000)] + [(5000, "one of its own kind, and the only one there is", "xx", 0), (5001, "another", None, 0)]
     rows = spark.createDataFrame(own, "doc_id bigint, text string, lang string, h bigint")
