@@ -45,6 +45,18 @@ def expand(x: bytes, kind: Any = None) -> Any:
     return out if kind is None else np.frombuffer(out, kind)
 
 
+def planes(x: np.ndarray, size: int = 8, level: int = 1) -> bytes:
+    """The lowest size bytes of each number, bytes of equal weight together, which packs better."""
+    return squeeze(np.ascontiguousarray(x.astype("<u8" if size > 4 else "<u4").view(np.uint8).reshape(len(x), -1)[:, :size].T), level)
+
+
+def from_planes(data: bytes, size: int = 8) -> np.ndarray:
+    raw = expand(data, np.uint8).reshape(size, -1)
+    out = np.zeros((raw.shape[1], 8 if size > 4 else 4), np.uint8)
+    out[:, :size] = raw.T
+    return out.reshape(-1).view("<u8" if size > 4 else "<u4")
+
+
 def pack_words(words: list[bytes], level: int = 1) -> bytes:
     return squeeze(np.array([len(words), *map(len, words)], np.uint32).tobytes() + b"".join(words), level)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .blocks import TEXTS, Block, answer_in_passing, bits_for, deal_words, dictionaries, expand, pack_dealt, reassemble, squeeze, unpack_words
+from .blocks import TEXTS, Block, answer_in_passing, bits_for, deal_words, dictionaries, from_planes, pack_dealt, planes, reassemble, unpack_words
 
 #: Bytes of text in a block, which the larger it is has the fewer words in common with others, and in the corpus for each bucket of words.
 BLOCK, PER_BUCKET, LEVEL = 16 << 20, 8 << 20, 9
@@ -42,15 +42,6 @@ def pre_tokenizer(pattern: str) -> regex.Pattern:
     return regex.compile(spelled.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
 
 
-def _planes(x: np.ndarray, size: int = 4) -> bytes:
-    """Bytes of equal weight together, which packs better; size of them a number."""
-    return squeeze(np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T), LEVEL)
-
-
-def _from_planes(data: bytes, size: int = 4) -> np.ndarray:
-    return np.ascontiguousarray(expand(data, np.uint8).reshape(size, -1).T).view(f"<i{size}").reshape(-1)
-
-
 class _Places(dict):
     """Words and their places, in order of appearance."""
 
@@ -77,23 +68,23 @@ def block_words(block: Block, pattern: regex.Pattern, bits: int) -> Iterator[tup
     for u, lo, hi in parts:
         bucket[order[lo:hi]] = u
         yield 0, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]], LEVEL), None, None
-    yield TEXTS, 0, _planes(rank[sequence]), _planes(bucket, 2), sizes
+    yield TEXTS, 0, planes(rank[sequence], 4, LEVEL), planes(bucket, 2, LEVEL), sizes
 
 
 def put_together(held: dict[tuple[int, int], bytes], row: dict) -> pa.Array:
     """The ids of each text of a block, from the answers for its words."""
-    bucket = _from_planes(row["counts"], 2)
+    bucket = from_planes(row["counts"], 2)
     lens, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     own, words = np.unique(bucket, return_counts=True)
     for u, n in zip(own.tolist(), words.tolist(), strict=True):
-        both = _from_planes(held[0, u])
+        both = from_planes(held[0, u], 4).view(np.int32)
         lens.append(both[:n])
         flat.append(both[n:])
     by_bucket, flat = np.concatenate(lens), np.concatenate(flat)
     size, start = np.empty(len(bucket), np.int32), np.empty(len(bucket), np.int32)
     order = np.argsort(bucket, kind="stable")
     size[order], start[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
-    sequence = _from_planes(row["keys"])
+    sequence = from_planes(row["keys"], 4).view(np.int32)
     n = size[sequence]
     ends = np.cumsum(n, dtype=np.int64)
     at = np.repeat((start[sequence] - (ends - n)).astype(np.int32), n)
@@ -121,7 +112,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         known: dict[bytes, list[int]] = {}
         for r in group:
             ids = [known.get(w) or known.setdefault(w, piece(w)) for w in unpack_words(r["keys"])]
-            yield r["block"], _planes(np.fromiter(chain(map(len, ids), chain.from_iterable(ids)), np.int32))
+            yield r["block"], planes(np.fromiter(chain(map(len, ids), chain.from_iterable(ids)), np.uint32), 4, LEVEL)
 
     def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, Any]:
         ids = put_together(held, row)

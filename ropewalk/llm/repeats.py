@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, pack_words, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import stash
 
 LENGTH, GRAM = 100, 32
@@ -104,26 +104,18 @@ def _hashes_of(h: np.ndarray) -> np.ndarray:
     return np.sort(h & _U((1 << 48) - 1))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return squeeze(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T))
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(expand(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
     """By bucket the distinct hashes of anchors, and whether one occurs more than once in the block."""
     h = contexts(block.texts)[0]
     for u, part in _deal(h, bits):
         keys, n = np.unique(_hashes_of(h[part]), return_counts=True)
-        yield HASHES, u, _planes(np.diff(keys, prepend=_U(0))), squeeze(np.packbits(n > 1)), None
+        yield HASHES, u, planes(np.diff(keys, prepend=_U(0))), squeeze(np.packbits(n > 1)), None
     yield texts_row(block)
 
 
 def _repeated(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
     """For each block which of its hashes occur more than once in all."""
-    held = [(r["block"], np.cumsum(_from_planes(r["keys"]), dtype=np.uint64), expand(r["counts"], np.uint8)) for r in group]
+    held = [(r["block"], np.cumsum(from_planes(r["keys"]), dtype=np.uint64), expand(r["counts"], np.uint8)) for r in group]
     keys, n = np.unique(np.concatenate([k for _, k, _ in held]), return_counts=True)
     keys = keys[n > 1]
     for block, own, more in held:
