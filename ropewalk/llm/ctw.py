@@ -44,7 +44,7 @@ from .blocks import (
 )
 from .common import held_out, stash
 
-DEPTH, SPLIT = 7, 3  # 7 at most: a gram is a 64-bit word of its context, the nearest byte first, and its symbol
+DEPTH, SPLIT = 6, 3  # 7 at most: a gram is a 64-bit word of its context, the nearest byte first, and its symbol
 GRAMS, WORDS, TOPS = 0, 1, 2
 BLOCK, PER_BUCKET = 6 << 20, 2 << 20  # bytes of text in a block, and in the corpus for each bucket
 PER_ROW = 1 << 22  # grams or words of a bucket's model in one row
