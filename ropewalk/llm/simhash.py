@@ -2,7 +2,7 @@
 
 Fingerprints within a few bits of each other are found in shards. 64 bits are cut into blocks, and each choice of
 blocks that must agree is a table, so that any two near fingerprints meet in some shard (table, value of its
-blocks). In a shard the distinct fingerprints are sorted by Gray rank, in which neighbours share long bit patterns;
+blocks). A shard with too many of them is cut again by blocks of its other bits. In a shard the distinct fingerprints are sorted by Gray rank, in which neighbours share long bit patterns;
 runs of eight become nodes that hold the bits all their members share, and runs of eight nodes upper nodes. Two
 nodes are compared by their shared bits alone; the differences found add up on the way down, and a pair of nodes
 above the limit is pruned with everything under it. Pairs that must be within the limit are linked as a whole.
@@ -11,18 +11,20 @@ above the limit is pruned with everything under it. Pairs that must be within th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import stash
+from .common import attach, stash
 
 SHINGLE, SEED, NEAR, FAN = 4, 42, 4, 8
+MOST = 1 << 16  # fingerprints in a shard
 _PIECE = 1 << 18  # shingles, or pairs of nodes, handled at once
 
 
@@ -160,15 +162,47 @@ def tables(rows: int, near: int = NEAR) -> list[int]:
     return [sum(c) for c in combinations(bits, blocks - near)]
 
 
-def near_edges(fps: DataFrame, near: int = NEAR) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _finer(vary: Column, near: int) -> Column:
+    """The bits of vary in near + 1 parts, as masks that also hold all other bits."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", vary, b).bitwiseAND(F.lit(1)) == 1)
+
+    def part(g: Column) -> Column:
+        low, high = (F.floor(F.size(bits) * x / (near + 1)).cast("int") for x in (g, g + 1))
+        own = F.aggregate(F.slice(bits, low + 1, high - low), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+        return F.bitwise_not(vary).bitwiseOR(own)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(near)), part)
+
+
+def shards(fps: DataFrame, near: int = NEAR, most: int = MOST) -> DataFrame:
+    """(m, k, fp): distinct fingerprints by mask and value under it, so that any two near ones meet and no shard has over most.
+
+    A shard over most is told by counts. The bits in which its fingerprints vary at all are cut into near + 1 parts:
+    two near ones agree on one of them, so they meet again in one of that many smaller shards. This goes on until no
+    shard is over; it ends, since with near bits to vary in there are no more than 2 ** near fingerprints.
+    """
+    keys = F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in tables(fps.count(), near))))
+    dealt, parts = fps.select("fp", keys.alias("m")).select("m", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp"), []
+    while True:
+        sizes = dealt.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n"), F.bit_and("fp").bitwiseXOR(F.bit_or("fp")).alias("vary"))
+        crowded = stash(sizes.filter(F.col("n") > max(most, 1 << near)).select("m", "k", _finer(F.col("vary"), near).alias("finer")))
+        if crowded.isEmpty():
+            return reduce(DataFrame.union, parts, dealt)
+        marked = stash(attach(dealt, crowded, ["m", "k"]))
+        parts.append(marked.filter("finer is null").select("m", "k", "fp"))
+        again = marked.filter("finer is not null").select("fp", F.explode("finer").alias("m"))
+        dealt = again.select("m", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp").distinct()
+
+
+def near_edges(fps: DataFrame, near: int = NEAR, most: int = MOST) -> DataFrame:
     """Of distinct fp: edges (u, v) that connect exactly the fingerprints that links of near bits connect.
 
     A shard yields one edge per fingerprint at most, to the first of its component there.
     """
-    masks = tables(fps.count(), near)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(signed))))
-    dealt = fps.select("fp", keys.alias("s")).select("fp", "s.t", "s.k").repartition("t", "k").sortWithinPartitions("t", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -181,9 +215,9 @@ def near_edges(fps: DataFrame, near: int = NEAR) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(own[labels[far]])], ["u", "v"])
 
         for b in batches:
-            held.append(np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "k", "fp")]))
+            held.append(np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("m", "k", "fp")]))
             last = held[-1][-1]
-            if sum(map(len, held)) >= 1 << 16:
+            if sum(map(len, held)) >= MOST:
                 part = np.concatenate(held)
                 whole = int(((part[:, 0] != last[0]) | (part[:, 1] != last[1])).sum())  # the last shard may go on
                 if whole:
@@ -193,10 +227,10 @@ def near_edges(fps: DataFrame, near: int = NEAR) -> DataFrame:
         if held:
             yield links(np.concatenate(held))
 
-    return dealt.select("t", "k", "fp").mapInArrow(run, "u bigint, v bigint")
+    return shards(fps, near, most).repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, most: int = MOST) -> DataFrame:
     """One row per input row: id, fp, component_id.
 
     A-Z is lower-cased; words are shingled by four, repeats included (fewer words: the whole sequence); a bit of the
@@ -207,7 +241,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stash(fingerprints(docs, id_col, text_col))
     firsts = stash(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = components(near_edges(firsts.select("fp"), near))
+    roots = components(near_edges(firsts.select("fp"), near, most))
     member = firsts.join(roots.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     found = rows.join(member.join(least, "root").select("fp", "component_id"), "fp")
@@ -227,6 +261,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_components of documents; see there for nulls, empty texts and repeated rows."""
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from ropewalk.llm import bpe, chat, ctw, exact_dedup, graph_search, langid, mixing, quality, repeats, simhash
 from ropewalk.llm.common import attach, held_out
+from ropewalk.operators.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -256,6 +257,26 @@ def test_gray_index(trial):
     assert (simhash._merge(np.arange(len(x)), u, v) == index.components()).all()
 
 
+def test_crowded_shards_are_cut_again(spark):
+    rng = random.Random(12)
+    own = {rng.getrandbits(64) for _ in range(200)} | {(0xABCDE << 44) | rng.getrandbits(18) for _ in range(300)}  # many that agree on most bits
+    for x in list(own)[:150]:
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            x ^= 1 << b
+        own.add(x)
+    fps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in own], "fp bigint")
+    dealt = simhash.shards(fps, most=20)
+    assert dealt.groupBy("m", "k").agg(F.count_distinct("fp").alias("n")).agg(F.max("n")).first()[0] <= 20  # a shard may come by two ways
+    meet = {}
+    for r in dealt.collect():
+        meet.setdefault((r.m, r.k), []).append(r.fp % (1 << 64))
+    met = {frozenset((a, b)) for g in meet.values() for a in g for b in g if (a ^ b).bit_count() <= 4}
+    assert met == {frozenset((a, b)) for a in own for b in own if (a ^ b).bit_count() <= 4}
+    few, many = (sorted(map(tuple, components(simhash.near_edges(fps, most=n)).collect())) for n in (20, simhash.MOST))
+    root = lambda edges: {u: v % (1 << 64) for u, v in edges}
+    assert root(few) == root(many)
+
+
 @pytest.mark.parametrize("rows_", [10, 1 << 26, 1 << 34])
 def test_any_two_near_prints_share_a_table(rows_):
     rng = random.Random(1)
