@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,13 @@ def release(df: DataFrame, part: str | None = None) -> None:
     elif path:
         _own[:] = [x for x in _own if x[1] != path]
         _remove(df.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Keeps what make gives, and removes all other tables that were kept meanwhile."""
+    before = len(_own)
+    out = keep(make())
+    for spark, path in [x for x in _own[before:] if x[1] != out._kept]:
+        _own.remove((spark, path))
+        _remove(spark, path)
+    return out
