@@ -110,6 +110,16 @@ def unpack_grams(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
+def pack_logs(x: np.ndarray) -> bytes:
+    """Floats to about six digits."""
+    low = np.uint32(8)
+    return planes((x.astype(np.float32).view(np.uint32) + low) & ~np.uint32(2 * low - 1), 4)
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    return from_planes(data, 4).view(np.float32)
+
+
 def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
     """A block's distinct grams and words with their counts in its marked (training) texts."""
     learn = [t for t, m in zip(block.texts, block.marks, strict=True) if m]
@@ -122,14 +132,14 @@ def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | No
     order, parts = _split(keys, bits)
     keys, counts = keys[order], counts[order]
     for u, lo, hi in parts:
-        yield GRAMS, u, pack_grams(keys[lo:hi]), squeeze(counts[lo:hi].astype(np.int64)), None
+        yield GRAMS, u, pack_grams(keys[lo:hi]), planes(counts[lo:hi], 8, 3), None
     word, dictionary, n = tokens(block.texts)
     counts = np.bincount(word[np.repeat(np.array(block.marks, bool), n)], minlength=len(dictionary))
     order, parts, size, data = deal_words(dictionary, bits)
     at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     for u, lo, hi in parts:
-        yield WORDS, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]]), squeeze(counts[order[lo:hi]].astype(np.int64)), None
-    yield texts_row(block, 3)
+        yield WORDS, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]], 3), squeeze(counts[order[lo:hi]].astype(np.int64)), None
+    yield texts_row(block, 9)
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +172,7 @@ def merge(asked: DataFrame) -> DataFrame:
             else:
                 keys, counts, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
                 for last, r in _ended(rows):
-                    n = expand(r["counts"], np.int64)
+                    n = from_planes(r["counts"]).astype(np.int64)
                     held.append((unpack_grams(r["keys"])[n > 0], n[n > 0]))
                     if last or sum(len(k) for k, _ in held) > max(1 << 20, len(keys)):
                         keys, counts = _added([keys, *(k for k, _ in held)], [counts, *(c for _, c in held)])
@@ -391,7 +401,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                     trees = Trees(*_added([np.zeros(0, np.uint64), *(k for k, _ in model_rows)], [np.zeros(0, np.int64), *(n for _, n in model_rows)]))
                     trees.spread(shared.value)
                     model_rows = []
-                yield r["block"], planes(trees.log10(unpack_grams(r["keys"])).astype(np.float32).view(np.uint32), 4)
+                yield r["block"], pack_logs(trees.log10(unpack_grams(r["keys"])))
 
     def finish(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, list]:
         texts = read_texts(row["keys"], row["sizes"])
@@ -399,7 +409,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         code, place = places(code)
         order, parts = _split(code, bits)
         logs = np.empty(len(code), np.float32)
-        logs[order] = np.concatenate([from_planes(held[GRAMS, u], 4).view(np.float32) for u, _, _ in parts])
+        logs[order] = np.concatenate([unpack_logs(held[GRAMS, u]) for u, _, _ in parts])
         score = np.add.reduceat(logs[place], first, dtype=np.float64)
         del code, place, order, logs
         word, dictionary, n = tokens(texts)
