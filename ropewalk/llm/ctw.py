@@ -103,7 +103,7 @@ def _split(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int
 
 
 def pack_grams(keys: np.ndarray) -> bytes:
-    return planes(np.diff(keys, prepend=_U(0)), 8, 3)
+    return planes(np.diff(keys, prepend=_U(0)), 8, 9)
 
 
 def unpack_grams(data: bytes) -> np.ndarray:
@@ -111,13 +111,17 @@ def unpack_grams(data: bytes) -> np.ndarray:
 
 
 def pack_logs(x: np.ndarray) -> bytes:
-    """Floats to about six digits."""
+    """Floats to about six digits, bytes of equal weight packed by themselves."""
     low = np.uint32(8)
-    return planes((x.astype(np.float32).view(np.uint32) + low) & ~np.uint32(2 * low - 1), 4)
+    raw = ((x.astype(np.float32).view(np.uint32) + low) & ~np.uint32(2 * low - 1)).view(np.uint8).reshape(-1, 4)
+    parts = [squeeze(np.ascontiguousarray(raw[:, j])) for j in range(4)]
+    return np.array([*map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
 def unpack_logs(data: bytes) -> np.ndarray:
-    return from_planes(data, 4).view(np.float32)
+    ends = 16 + np.cumsum(np.frombuffer(data, np.uint32, 4))
+    parts = [expand(data[e - n : e], np.uint8) for e, n in zip(ends.tolist(), np.frombuffer(data, np.uint32, 4).tolist(), strict=True)]
+    return np.ascontiguousarray(np.stack(parts, axis=1)).view(np.float32).reshape(-1)
 
 
 def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
@@ -138,7 +142,7 @@ def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | No
     order, parts, size, data = deal_words(dictionary, bits)
     at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     for u, lo, hi in parts:
-        yield WORDS, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]], 3), squeeze(counts[order[lo:hi]].astype(np.int64)), None
+        yield WORDS, u, pack_dealt(size[lo:hi], data[at[lo] : at[hi]], 3), planes(counts[order[lo:hi]]), None
     yield texts_row(block, 9)
 
 
@@ -162,7 +166,7 @@ def merge(asked: DataFrame) -> DataFrame:
             if kind == WORDS:
                 total: Counter[bytes] = Counter()
                 for r in rows:
-                    for w, n in zip(unpack_words(r["keys"]), expand(r["counts"], np.int64).tolist(), strict=True):
+                    for w, n in zip(unpack_words(r["keys"]), from_planes(r["counts"]).tolist(), strict=True):
                         if n:
                             total[w] += n
                 own = sorted(total)
@@ -393,7 +397,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             if r["block"] is None and kind == WORDS:
                 known.update(zip(unpack_words(r["keys"]), expand(r["counts"], np.int64).tolist(), strict=True))
             elif kind == WORDS:
-                yield r["block"], squeeze(np.array([known.get(w, 0) for w in unpack_words(r["keys"])], np.int64))
+                yield r["block"], planes(np.array([known.get(w, 0) for w in unpack_words(r["keys"])], np.int64))
             elif r["block"] is None:
                 model_rows.append((unpack_grams(r["keys"]), expand(r["counts"], np.int64)))
             else:
@@ -415,7 +419,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         word, dictionary, n = tokens(texts)
         order, parts, _, _ = deal_words(dictionary, bits)
         count = np.empty(len(dictionary), np.int64)
-        count[order] = np.concatenate([np.zeros(0, np.int64), *(expand(held[WORDS, u], np.int64) for u, _, _ in parts)])
+        count[order] = np.concatenate([np.zeros(0, np.int64), *(from_planes(held[WORDS, u]).astype(np.int64) for u, _, _ in parts)])
         c = np.full(len(word) + len(n), ends, np.int64)  # each text's words, and then its end
         last = np.cumsum(n + 1) - 1
         inner = np.ones(len(c), bool)
