@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 from dataclasses import asdict, dataclass
+from typing import Any
 
 from pyspark.sql import SparkSession
 
 from .operators import stats
 from .operators.prefix import partition_sizes, rebalance, size_stats
-from .plans.ranking import Strategy, timed
+from .plans.ranking import OPTIONS, Strategy, timed
 from .plans.report import row_of, spread, write_report
 from .plans.tables import keep
 from .sources.generators import from_spec
@@ -27,6 +28,18 @@ class Options:
     verify_continue_on_mismatch: bool = False
     statistics_level: str = "basic"
     result: str | None = None
+    tail: int | None = None
+    block_rows: int | None = None
+    most_rows: int | None = None
+    degree: int | None = None
+    every: int | None = None
+    rounds: int | None = None
+    levels: int | None = None
+    base: str | None = None
+
+    @property
+    def of_algorithm(self) -> dict[str, Any]:
+        return {o: v for o in OPTIONS if (v := getattr(self, o)) is not None}
 
 
 def parse(args: list[str] | None = None) -> Options:
@@ -40,6 +53,14 @@ def parse(args: list[str] | None = None) -> Options:
     p.add_argument("--verify-continue-on-mismatch", action="store_true")
     p.add_argument("--statistics-level", default="basic", choices=["none", "basic", "extensive", "extensive-reduced-output"])
     p.add_argument("--result", help="Parquet folder for the ranking")
+    p.add_argument("--tail", type=int, help="doubling: elements still active that one task finishes; 0: rounds to the end")
+    p.add_argument("--block-rows", type=int, help="contracted, ruling-set: rows of a range that is contracted first")
+    p.add_argument("--most-rows", type=int, help="gather: rows that one task may hold")
+    p.add_argument("--degree", type=int, help="high-degree, euler-tour: predecessors from which an element is split off or gets proxies")
+    p.add_argument("--every", type=int, help="ruling sets: one element in so many is a ruler")
+    p.add_argument("--rounds", type=int, help="ruling sets: rounds of the walks")
+    p.add_argument("--levels", type=int, help="ruling sets: rulings of rulers")
+    p.add_argument("--base", choices=[s.value for s in Strategy], help="ruling sets, contracted, euler-tour: the ranking of what is left")
     return Options(**vars(p.parse_args(args)))
 
 
@@ -47,7 +68,7 @@ def run(spark: SparkSession, o: Options) -> dict:
     """Generates or reads, ranks, verifies and reports; raises on a mismatch unless told to go on."""
     raw = from_spec(spark, o.input, o.input_processing) if "type=" in o.input else spark.read.parquet(o.input)
     succ = keep(rebalance(raw, spark.sparkContext.defaultParallelism))
-    ranked, seconds = timed(succ, o.algorithm, o.iterations)
+    ranked, seconds = timed(succ, o.algorithm, o.iterations, **o.of_algorithm)
     ranked = keep(ranked)
     wrong = 0
     if o.verify_level > 0:

@@ -8,38 +8,43 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import Metrics, round_limit, shrink
 from ..plans.tables import keep, release
 from ..schema import StructureError, weighted
+from .chase import finish
 from .lookups import ask
 from .predicates import init_state
 
 
+#: Active elements, at most, that one task finishes; 0: rounds to the end.
+TAIL = 1 << 18
+
+
 def _step(active: DataFrame, everything: DataFrame, distinct_first: bool, unit: bool) -> DataFrame:
+    """An inner join, so that few active rows may be broadcast to all others; rows it loses are noticed by their count."""
     rank = F.when(F.col("done"), F.col("rank")) if unit else F.col("rank")
-    replies = everything.select("id", F.col("root").alias("next"), rank.alias("more"), F.col("done").alias("ends"))
+    replies = everything.select(F.col("id").alias("root"), F.col("root").alias("next"), rank.alias("more"), F.col("done").alias("ends"))
     if distinct_first:
-        replies = active.select(F.col("root").alias("id")).distinct().join(replies, "id")
-    found = active.drop("done").join(replies.withColumnRenamed("id", "root"), "root", "left")
-    target = F.when(F.col("next").isNull(), F.raise_error(F.format_string("successor %s is no id", "root")).cast("long")).otherwise(F.col("next"))
+        replies = active.select("root").distinct().join(replies, "root")
+    found = active.drop("done").join(replies, "root")
     rank = F.when(F.col("ends"), F.col("rank") + F.col("more")).otherwise(F.col("rank") * 2) if unit else F.col("rank") + F.col("more")
-    return found.select("id", target.alias("root"), rank.alias("rank"), F.col("ends").alias("done"))
+    return found.select("id", F.col("next").alias("root"), rank.alias("rank"), F.col("ends").alias("done"))
 
 
-def from_state(state: DataFrame, distinct_first: bool = False, unit: bool = False, metrics: Metrics | None = None) -> DataFrame:
+def from_state(state: DataFrame, distinct_first: bool = False, unit: bool = False, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
     """Of (id, root, rank, done): (id, root, rank) when all are done."""
-    return shrink(state, lambda a, e: _step(a, e, distinct_first, unit), metrics=metrics).select("id", "root", "rank")
+    return shrink(state, lambda a, e: _step(a, e, distinct_first, unit), metrics=metrics, tail=tail, finish=finish).select("id", "root", "rank")
 
 
-def doubling(succ: DataFrame, distinct_first: bool = False, metrics: Metrics | None = None) -> DataFrame:
+def doubling(succ: DataFrame, distinct_first: bool = False, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
     """(id, root, rank). One self-join a round, about log2 of the longest path rounds.
 
-    Elements that have reached their root are asked but ask no more. distinct_first sends each pointer once: a
-    semi-join reduction that pays on trees of high degree.
+    Elements that have reached their root are asked but ask no more; when tail or fewer still ask, one task finishes
+    them. distinct_first sends each pointer once: a semi-join reduction that pays on trees of high degree.
     """
-    return from_state(init_state(succ), distinct_first, metrics=metrics)
+    return from_state(init_state(succ), distinct_first, tail=tail, metrics=metrics)
 
 
-def doubling_reduced_volume(succ: DataFrame, metrics: Metrics | None = None) -> DataFrame:
+def doubling_reduced_volume(succ: DataFrame, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
     """For unit weights: while a pointer is short of the root its length doubles, so only last replies carry a rank."""
-    return from_state(init_state(succ.select("id", "succ")), unit=True, metrics=metrics)
+    return from_state(init_state(succ.select("id", "succ")), unit=True, tail=tail, metrics=metrics)
 
 
 def doubling_both_ways(succ: DataFrame, metrics: Metrics | None = None) -> DataFrame:
@@ -79,7 +84,7 @@ def doubling_both_ways(succ: DataFrame, metrics: Metrics | None = None) -> DataF
     return now.select("id", "root", "rank")
 
 
-def without_high_degrees(succ: DataFrame, degree: int = 5) -> DataFrame:
+def without_high_degrees(succ: DataFrame, degree: int = 5, tail: int = TAIL) -> DataFrame:
     """Two phases: elements with degree predecessors and more become roots for a while; their own structure follows.
 
     The first phase has no hot pointer; the second has the few hot elements only.
@@ -87,10 +92,11 @@ def without_high_degrees(succ: DataFrame, degree: int = 5) -> DataFrame:
     own = weighted(succ)
     hot = own.filter("id != succ").groupBy("succ").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= degree).select(F.col("succ").alias("id"), F.lit(True).alias("hot"))
     marked = own.join(hot, "id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)) & (F.col("id") != F.col("succ")))
-    first = keep(doubling(marked.select("id", F.when(F.col("hot"), F.col("id")).otherwise(F.col("succ")).alias("succ"), "weight")))
+    cut = marked.select("id", F.when(F.col("hot"), F.col("id")).otherwise(F.col("succ")).alias("succ"), "weight")
+    first = keep(doubling(cut, tail=tail))
     links = marked.filter("hot").select("id", "succ", "weight")
     past = ask(links, first.withColumnRenamed("root", "to"), "succ")
     state = past.select("id", F.col("to").alias("root"), (F.col("weight") + F.col("rank")).alias("rank"), F.lit(False).alias("done"))
     ends = own.filter("id = succ").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("done"))
-    second = from_state(state.unionByName(ends))
+    second = from_state(state.unionByName(ends), tail=tail)
     return first.select("id", F.col("root").alias("top"), F.col("rank").alias("low")).join(second.withColumnRenamed("id", "top"), "top").select("id", "root", (F.col("low") + F.col("rank")).alias("rank"))

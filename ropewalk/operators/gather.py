@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,39 +11,14 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import Metrics
 from ..plans.tables import keep
-from ..schema import StructureError, weighted
-from .doubling import from_state
+from ..schema import weighted
+from .chase import chase
+from .doubling import TAIL, from_state
 
 #: Rows that one task ranks by itself: 24 bytes each in Arrow, and about 100 at work.
 BLOCK_ROWS = 2_000_000
 
 
-def chase(ids: np.ndarray, succ: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each element its root, or the first element outside ids, on its way; the distance; and whether that is a root.
-
-    Doubling on places: as many vector steps as the logarithm of the longest way.
-    """
-    n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    at = np.minimum(np.searchsorted(ids, succ, sorter=order), max(0, n - 1))
-    place = order[at] if n else at
-    inside = (ids[place] == succ) & (succ != ids) if n else np.zeros(0, bool)
-    to, dist = np.where(inside, place, np.arange(n)), np.where(inside, weight, 0)
-    for _ in range(math.ceil(math.log2(max(2, n))) + 1):
-        nxt = to[to]
-        if np.array_equal(nxt, to):
-            break
-        dist = dist + dist[to]
-        to = nxt
-    else:
-        if n and not np.array_equal(to[to], to):
-            raise StructureError("elements reach no root: the structure has a cycle")
-    if n and inside[to].any():
-        raise StructureError("elements reach no root: the structure has a cycle")
-    root = succ[to] == ids[to]
-    return succ[to], dist + np.where(root, 0, weight[to]), root
-
-
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if held:
@@ -74,10 +48,11 @@ def gather(succ: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
     return local_chase(succ, 1).select("id", lost.alias("root"), "rank")
 
 
-def contracted(succ: DataFrame, block_rows: int = BLOCK_ROWS, metrics: Metrics | None = None) -> DataFrame:
-    """(id, root, rank): chase in ranges of about block_rows ids, double between them, and put both together.
+def contracted(succ: DataFrame, block_rows: int = BLOCK_ROWS, base: Callable[[DataFrame], DataFrame] | None = None, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
+    """(id, root, rank): chase in ranges of about block_rows ids, rank between them, and put both together.
 
-    Only elements that another range points to take part in the doubling: few where ids follow the structure.
+    Only elements that another range points to take part in the ranking between ranges, by doubling or by base: few
+    where ids follow the structure. A list stays a list, a forest a forest.
     """
     metrics = metrics if metrics is not None else Metrics()
     n = succ.count()
@@ -88,6 +63,11 @@ def contracted(succ: DataFrame, block_rows: int = BLOCK_ROWS, metrics: Metrics |
     if not metrics.more["entries"]:
         return local.select("id", "root", "rank")
     state = local.join(entries, "id")
-    ranked = from_state(state, metrics=metrics)
+    if base is None:
+        ranked = from_state(state, tail=tail, metrics=metrics)
+    else:
+        steps = state.select("id", F.col("root").alias("succ"), F.col("rank").alias("weight"))
+        roots = state.filter("done").select(F.col("root").alias("id"), F.col("root").alias("succ"), F.lit(0).cast("long").alias("weight")).distinct()
+        ranked = keep(base(keep(steps.filter("id != succ").unionByName(roots))))
     far = out.select("id", F.col("root").alias("at"), F.col("rank").alias("near")).join(ranked.withColumnRenamed("id", "at"), "at")
     return local.filter("done").select("id", "root", "rank").unionByName(far.select("id", "root", (F.col("near") + F.col("rank")).alias("rank")))

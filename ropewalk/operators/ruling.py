@@ -12,6 +12,7 @@ from ..plans.fixpoint import Metrics
 from ..plans.tables import keep
 from ..schema import StructureError, weighted
 from .doubling import doubling
+from .gather import contracted
 from .predicates import is_list, leaves, reverse_list
 
 
@@ -59,12 +60,24 @@ def unreached(succ: DataFrame, chosen: DataFrame, reached: DataFrame) -> DataFra
     return succ.filter("id != succ").select("id").join(reached.select("id").unionByName(chosen), "id", "left_anti")
 
 
-def ruling_set(succ: DataFrame, every: int = 4, rounds: int = 6, levels: int = 1, rule: Column | None = None, base: Callable[[DataFrame], DataFrame] = doubling, metrics: Metrics | None = None) -> DataFrame:
+def ruling_set(
+    succ: DataFrame,
+    every: int = 4,
+    rounds: int = 6,
+    levels: int = 1,
+    rule: Column | None = None,
+    base: Callable[[DataFrame], DataFrame] = doubling,
+    block_rows: int | None = None,
+    metrics: Metrics | None = None,
+) -> DataFrame:
     """(id, root, rank) of lists.
 
     Rulers' walks are cut off after some rounds; what they have not reached joins the rulers' list, so the number of
-    rounds is fixed and nothing is lost. That list is ranked by another level, or by base.
+    rounds is fixed and nothing is lost. That list is ranked by another level, or by base. block_rows contracts what
+    lies inside ranges of about so many ids first; the walks then go between ranges only.
     """
+    if block_rows is not None:
+        return contracted(succ, block_rows, base=lambda x: ruling_set(x, every, rounds, levels, rule, base, metrics=metrics), metrics=metrics)
     if not is_list(succ):
         raise StructureError("a ruling set needs lists: an element has two predecessors")
     own = weighted(succ)
@@ -74,7 +87,7 @@ def ruling_set(succ: DataFrame, every: int = 4, rounds: int = 6, levels: int = 1
     small = keep(links.unionByName(rest).unionByName(own.filter("id = succ")))
     if metrics is not None:
         metrics.more.update(rulers=chosen.count(), small=small.count())
-    ranked = keep(ruling_set(small, every, rounds, levels - 1, None, base) if levels > 1 else base(small))
+    ranked = keep(ruling_set(small, every, rounds, levels - 1, hash_rule(every, levels), base) if levels > 1 else base(small))
     passed = reached.join(ranked.withColumnRenamed("id", "ruler"), "ruler").select("id", "root", (F.col("rank") - F.col("dist")).alias("rank"))
     return ranked.unionByName(passed)
 
@@ -93,10 +106,11 @@ def ruling_set_inverted(succ: DataFrame, **options) -> DataFrame:  # noqa: ANN00
     return post_invert(ruling_set(reverse_list(succ), **options))
 
 
-def forest_ruling_set(succ: DataFrame, every: int = 4, rounds: int = 4, rule: Column | None = None) -> DataFrame:
+def forest_ruling_set(succ: DataFrame, every: int = 4, rounds: int = 4, levels: int = 1, rule: Column | None = None, base: Callable[[DataFrame], DataFrame] = doubling) -> DataFrame:
     """(id, root, rank) of forests: walks go down from roots and rulers to all children at once.
 
-    Each element has one parent, so it is reached once, by the nearest ruler above it.
+    Each element has one parent, so it is reached once, by the nearest ruler above it. The rulers' forest is ranked by
+    another level, or by base.
     """
     own = weighted(succ)
     stops = own.withColumn("stop", (F.col("id") == F.col("succ")) | (rule if rule is not None else hash_rule(every)))
@@ -117,7 +131,8 @@ def forest_ruling_set(succ: DataFrame, every: int = 4, rounds: int = 4, rule: Co
     last = front.select(F.col("above").alias("id"), F.col("ruler").alias("succ"), F.col("dist").alias("weight"))
     rest = nodes.filter("id != succ").join(reached.select("id"), "id", "left_anti").select("id", "succ", "weight")
     small = links.unionByName(last).unionByName(rest).unionByName(own.filter("id = succ"))
-    ranked = keep(doubling(small))
+    small = keep(small)
+    ranked = keep(forest_ruling_set(small, every, rounds, levels - 1, hash_rule(every, levels), base) if levels > 1 else base(small))
     passed = reached.filter("not stop").join(last.select("id"), "id", "left_anti")
     return ranked.unionByName(passed.join(ranked.withColumnRenamed("id", "ruler"), "ruler").select("id", "root", (F.col("rank") + F.col("dist")).alias("rank")))
 

@@ -10,6 +10,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..schema import StructureError
 from .tables import keep, release
@@ -33,25 +34,41 @@ def round_limit(rows: int) -> int:
     return max(1, math.ceil(math.log2(max(2, rows)))) + 1
 
 
-def shrink(start: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], limit: int | None = None, metrics: Metrics | None = None) -> DataFrame:
+def shrink(
+    start: DataFrame,
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    limit: int | None = None,
+    metrics: Metrics | None = None,
+    tail: int = 0,
+    finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Applies step to the rows that aren't done until all are; gives all rows back, in start's columns.
 
-    step(active, everything) gives the active rows' next state. A round writes the rows that were active before it,
-    once, and drops their former state; rows that are done are never written again. More than limit rounds raise.
+    step(active, everything) gives the active rows' next state; a row that finds no partner may be left out, and that
+    raises. A round writes the rows that were active before it, once, and drops their former state; rows that are done
+    are never written again. As soon as tail rows or fewer are active, finish(active, everything) gives the last
+    state of all of them. More than limit rounds raise.
     """
     metrics = metrics if metrics is not None else Metrics()
+    counts = F.count(F.lit(1)), F.count_if(~F.col("done"))
     tables = [keep(start, "done")]
-    left = tables[0].filter("not done").count()
-    limit = limit or round_limit(tables[0].count())
+    rows, left = tables[0].agg(*counts).first()
+    limit = limit or round_limit(rows)
     while left:
-        if metrics.rounds >= limit:
+        last = finish is not None and left <= tail
+        if metrics.rounds >= limit and not last:
             raise StructureError(f"{left} elements reach no root: the structure has a cycle")
         began = time.perf_counter()
         active = tables[-1].filter("not done")
         everything = reduce(DataFrame.unionByName, [t.filter("done") for t in tables], active)
-        tables.append(keep(step(active, everything), "done"))
+        tables.append(keep((finish if last else step)(active, everything), "done"))
+        rows, now = tables[-1].agg(*counts).first()
+        if rows != left:
+            raise StructureError(f"a successor is no id, or an id is repeated: {left} rows became {rows}")
         release(tables[-2], "done=false")
-        left = tables[-1].filter("not done").count()
+        if last:
+            metrics.more["finished_in_one_task"] = left
+        left = now
         metrics.active.append(left)
         metrics.seconds.append(time.perf_counter() - began)
     return reduce(DataFrame.unionByName, [t.filter("done") for t in tables]).select(*start.columns)

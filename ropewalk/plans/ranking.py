@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from enum import Enum
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +38,26 @@ class Strategy(str, Enum):
     GRID = "grid-doubling"
 
 
-_PLANS: dict[Strategy, Callable[[DataFrame], DataFrame]] = {
+def _distinct(succ: DataFrame, tail: int = d.TAIL) -> DataFrame:
+    return d.doubling(succ, distinct_first=True, tail=tail)
+
+
+def _doubling(succ: DataFrame, tail: int = d.TAIL) -> DataFrame:
+    return d.doubling(succ, tail=tail)
+
+
+def _euler_proxies(succ: DataFrame, degree: int = 16, base: Callable[[DataFrame], DataFrame] = d.doubling) -> DataFrame:
+    return forest.euler_rank(succ, degree, base)
+
+
+def _euler(succ: DataFrame, degree: int | None = None, base: Callable[[DataFrame], DataFrame] = d.doubling) -> DataFrame:
+    return forest.euler_rank(succ, degree, base)
+
+
+_PLANS: dict[Strategy, Callable[..., DataFrame]] = {
     Strategy.GATHER: gather.gather,
-    Strategy.DOUBLING: d.doubling,
-    Strategy.DISTINCT: lambda s: d.doubling(s, distinct_first=True),
+    Strategy.DOUBLING: _doubling,
+    Strategy.DISTINCT: _distinct,
     Strategy.REDUCED: d.doubling_reduced_volume,
     Strategy.BOTH_WAYS: d.doubling_both_ways,
     Strategy.CONTRACTED: gather.contracted,
@@ -47,49 +65,88 @@ _PLANS: dict[Strategy, Callable[[DataFrame], DataFrame]] = {
     Strategy.RULING_SET: ruling.ruling_set,
     Strategy.RULING_SET_INVERTED: ruling.ruling_set_inverted,
     Strategy.FOREST_RULING_SET: ruling.forest_ruling_set,
-    Strategy.EULER: forest.euler_rank,
-    Strategy.EULER_PROXIES: lambda s: forest.euler_rank(s, degree=16),
-} | {s: d.doubling for s in (Strategy.ASYNC, Strategy.RMA_PASSIVE, Strategy.RMA_FENCED, Strategy.GRID)}
+    Strategy.EULER: _euler,
+    Strategy.EULER_PROXIES: _euler_proxies,
+} | dict.fromkeys((Strategy.ASYNC, Strategy.RMA_PASSIVE, Strategy.RMA_FENCED, Strategy.GRID), _doubling)
+#: Options of the strategies by name; rule and metrics are for callers of the operators.
+OPTIONS = ("tail", "block_rows", "most_rows", "degree", "every", "rounds", "levels", "base")
+
+
+def options_of(strategy: Strategy | str) -> list[str]:
+    """The options that a strategy knows. Those of ruling-set-inverted are ruling-set's."""
+    plan = _PLANS[Strategy.RULING_SET if Strategy(strategy) is Strategy.RULING_SET_INVERTED else Strategy(strategy)]
+    return [o for o in OPTIONS if o in inspect.signature(plan).parameters]
+
+
+#: Predecessors of one element that make it hot.
+HOT = 1000
 
 
 def choose(succ: DataFrame, block_rows: int = gather.BLOCK_ROWS, near: float = 0.5) -> Strategy:
-    """gather for what one task can hold; contracted where most steps stay within block_rows ids; else doubling."""
-    n, inside = succ.agg(F.count(F.lit(1)), F.avg((F.abs(F.col("succ") - F.col("id")) < block_rows // 2).cast("double"))).first()
+    """The plan for a structure, from its size and shape.
+
+    gather for what one task can hold; contracted where most steps stay within block_rows ids; distinct where an
+    element has many predecessors; for lists ruling-set where it is estimated to shuffle less than half of what
+    doubling does; else doubling.
+    """
+    n, inside, roots = succ.agg(F.count(F.lit(1)), F.avg((F.abs(F.col("succ") - F.col("id")) < block_rows // 2).cast("double")), F.count_if(F.col("id") == F.col("succ"))).first()
     if n <= block_rows:
         return Strategy.GATHER
-    return Strategy.CONTRACTED if inside >= near else Strategy.DOUBLING
+    if inside >= near:
+        return Strategy.CONTRACTED
+    most = succ.filter("id != succ").groupBy("succ").count().agg(F.max("count")).first()[0] or 0
+    if most >= HOT:
+        return Strategy.DISTINCT
+    cost = estimate(n, n // max(1, roots))
+    return Strategy.RULING_SET if most <= 1 and cost.ruling < cost.doubling / 2 else Strategy.DOUBLING
 
 
-def rank(succ: DataFrame, strategy: Strategy | str = Strategy.AUTO, check: bool = True) -> DataFrame:
+def rank(succ: DataFrame, strategy: Strategy | str = Strategy.AUTO, check: bool = True, **options: Any) -> DataFrame:
     """(id, root, rank) of (id, succ[, weight]): each element's root and its distance to it.
 
     Roots point at themselves. check looks for repeated ids and lost successors first; cycles are found in any case.
+    options are the strategy's (see options_of); base, which ranks what a strategy has reduced, may be a strategy too.
     """
     succ = validate(succ) if check else succ
     strategy = Strategy(strategy)
-    return _PLANS[choose(succ) if strategy is Strategy.AUTO else strategy](succ)
+    if strategy is Strategy.AUTO:
+        strategy = choose(succ)
+    elif unknown := set(options) - set(options_of(strategy)):
+        raise ValueError(f"{strategy.value} has no option {', '.join(sorted(unknown))}; it has: {', '.join(options_of(strategy)) or 'none'}")
+    else:
+        base = options.get("base")
+        if isinstance(base, str):
+            options["base"] = lambda x: rank(x, base, check=False)
+        return _PLANS[strategy](succ, **options)
+    return _PLANS[strategy](succ)
 
 
 @dataclass(frozen=True)
 class Estimate:
-    """Rows shuffled, of a rule-of-thumb cost model: doubling against ruling sets of mean gap every."""
+    """Rows shuffled by doubling and by ruling sets."""
 
     doubling: float
     ruling: float
 
 
 def estimate(n: int, longest: int, every: int = 4, rounds: int = 6) -> Estimate:
+    """Of lists with n elements, the longest with so many; rulers are one element in every, and walk some rounds.
+
+    A round of doubling sends each element's pointer and its reply. A walk sends the fronts that have met no ruler,
+    the rulers and all that was not reached double among themselves, and the rest gets its rank from its ruler.
+    """
     steps = max(1, longest.bit_length())
-    left = n / every + n * (1 - 1 / every) ** rounds
-    return Estimate(2.0 * n * steps, 2.0 * n * sum((1 - 1 / every) ** k for k in range(rounds)) / every * every + 2.0 * left * steps)
+    going = [(1 - 1 / every) ** k for k in range(rounds + 1)]
+    small = n * (1 / every + (1 - 1 / every) * going[-1])
+    return Estimate(2.0 * n * steps, 2.0 * n / every * sum(going[:-1]) + 2.0 * small * max(1, (longest // 2).bit_length()) + 2.0 * n)
 
 
-def timed(succ: DataFrame, strategy: Strategy | str, iterations: int = 1) -> tuple[DataFrame, list[float]]:
+def timed(succ: DataFrame, strategy: Strategy | str, iterations: int = 1, **options: Any) -> tuple[DataFrame, list[float]]:
     """The ranking and the seconds of each of some runs to their end."""
     seconds, out = [], None
     for _ in range(iterations):
         began = time.perf_counter()
-        out = rank(succ, strategy, check=False)
+        out = rank(succ, strategy, check=False, **options)
         out.write.format("noop").mode("overwrite").save()
         seconds.append(time.perf_counter() - began)
     return out, seconds
