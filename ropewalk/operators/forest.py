@@ -6,7 +6,8 @@ A tour's elements are directed edges. The step from a child v up to its parent i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +17,6 @@ from ..schema import weighted
 from .doubling import doubling
 
 
-@dataclass
-class ReversedTree:
-    """edges (src, dst, weight), parent to child and perhaps back; succ, with proxies; proxies (id, of)."""
-
-    edges: DataFrame
-    succ: DataFrame
-    proxies: DataFrame
-
-
 def reversed_tree(succ: DataFrame, back_edges: bool = False) -> DataFrame:
     """(src, dst): from parents to children; with back_edges the other way too."""
     down = succ.filter("id != succ").select(F.col("succ").alias("src"), F.col("id").alias("dst"))
@@ -78,14 +70,23 @@ def from_tour(ranked: DataFrame, tour: DataFrame, succ: DataFrame, proxies: Data
     return steps.unionByName(succ.filter("id = succ").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("rank")))
 
 
-def euler_rank(succ: DataFrame, degree: int | None = None, rank=doubling) -> DataFrame:  # noqa: ANN001
+#: Children of a vertex from which it gets proxies without being asked.
+HOT = 10_000
+
+
+def euler_rank(succ: DataFrame, degree: int | None = None, rank: Callable[[DataFrame], DataFrame] = doubling) -> DataFrame:
     """(id, root, rank): depths of a forest's vertices, over its Euler tour and any ranking of lists.
 
-    degree resolves vertices with more children into proxies first.
+    degree resolves vertices with more children into proxies first; without it, vertices with more than HOT, into as
+    many proxies as the square root of the most children.
     """
-    own, proxies = (weighted(succ), None) if degree is None else with_proxies(succ, degree)
-    own = keep(own)
-    proxies = None if proxies is None else keep(proxies)
+    own, proxies = keep(weighted(succ)), None
+    if degree is not None:
+        own, proxies = with_proxies(own, degree)
+    elif (most := own.filter("id != succ").groupBy("succ").count().agg(F.max("count")).first()[0] or 0) > HOT:
+        own, proxies = with_proxies(own, HOT, math.isqrt(most))
+    if proxies is not None:
+        own, proxies = keep(own), keep(proxies)
     tour = keep(euler_tour(own, proxies))
     return from_tour(rank(tour.select("id", "succ", "weight")), tour, own, proxies)
 

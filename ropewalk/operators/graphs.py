@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import keep
+from ..plans.tables import keep, release
 from .components import components
 
 
@@ -37,22 +38,35 @@ def edges_to_succ(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(last, "id", "left").select("id", F.coalesce("to", "id").alias("succ"))
 
 
-def bfs(edges: DataFrame, starts: DataFrame, edge_pred: Column | None = None, max_levels: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, edge_pred: Column | None = None, max_levels: int | None = None, on_level: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
     """(id, parent, level) of all vertices that starts (id) reach, level by level; of several parents the least.
 
-    edge_pred, over src, dst and weight, says which edges may be used. A level is a join of its vertices with the
-    edges, one aggregation and an anti-join with what is visited; the number of levels is the number of rounds.
+    edge_pred, over src, dst and weight, says which edges may be used. on_level sees each level's number and
+    vertices, the starts included. A level is a join of its vertices with the edges, one aggregation and an anti-join
+    with what is visited; the number of levels is the number of rounds. Levels are put together two by two as they
+    grow, so what is visited is as many tables as the logarithm of the levels, and each row is rewritten as often.
     """
     edges = edges if edge_pred is None else edges.filter(edge_pred)
-    levels = [keep(starts.select("id", F.col("id").alias("parent"), F.lit(0).cast("long").alias("level")).distinct())]
-    while max_levels is None or len(levels) <= max_levels:
-        seen = reduce(DataFrame.unionByName, [x.select("id") for x in levels])
-        found = levels[-1].select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        new = keep(found.join(seen, "id", "left_anti").select("id", "parent", F.lit(len(levels)).cast("long").alias("level")))
-        if new.isEmpty():
+    now, level = keep(starts.select("id", F.col("id").alias("parent"), F.lit(0).cast("long").alias("level")).distinct()), 0
+    visited: list[tuple[int, DataFrame]] = []
+    while n := now.count():
+        if on_level is not None:
+            on_level(level, now)
+        if max_levels is not None and level >= max_levels:
+            visited.append((n, now))
             break
-        levels.append(new)
-    return reduce(DataFrame.unionByName, levels)
+        level += 1
+        seen = reduce(DataFrame.unionByName, [x.select("id") for _, x in visited], now.select("id"))
+        found = now.select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        new = keep(found.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("long").alias("level")))
+        visited.append((n, now))
+        while len(visited) > 4 and visited[-2][0] <= 2 * visited[-1][0]:
+            (few, a), (more, b) = visited.pop(), visited.pop()
+            visited.append((few + more, keep(a.unionByName(b))))
+            release(a)
+            release(b)
+        now = new
+    return reduce(DataFrame.unionByName, [x for _, x in visited], now.limit(0)) if visited else now
 
 
 def bfs_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:

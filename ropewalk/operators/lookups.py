@@ -25,13 +25,13 @@ def neighbour_values(edges: DataFrame, values: DataFrame) -> DataFrame:
 def dense_ids(ids: DataFrame, parts: int = 64) -> DataFrame:
     """(id, dense): places in order of id, from 0.
 
-    Counts of ranges give each range's offset; only inside a range are ids numbered, so no task sees them all.
+    Quantiles cut the ids into ranges of like size, however they lie, and counts give each range's offset; only
+    inside a range are ids numbered, so no task sees them all. Large tables want more parts.
     """
-    bounds = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    width = F.greatest(F.floor((F.col("high") - F.col("low")) / parts) + 1, F.lit(1))
-    placed = ids.select("id").crossJoin(F.broadcast(bounds)).select("id", F.floor((F.col("id") - F.col("low")) / width).cast("long").alias("range"))
+    cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
+    placed = ids.select("id").crossJoin(F.broadcast(cuts)).select("id", F.size(F.filter("cuts", lambda c: c < F.col("id"))).alias("range"))
     counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))
+    offsets = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("offset"))  # parts rows
     own = placed.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1)
     return own.join(F.broadcast(offsets), "range").select("id", (F.col("offset") + F.col("k")).alias("dense"))
 

@@ -24,18 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
+
+
 @atexit.register
 def _clean() -> None:
     with contextlib.suppress(Exception):  # a session that ended leaves its folder
         for spark, path in _own:
-            _remove(spark, path)
+            remove(spark, path)
 
 
 def keep(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -57,10 +64,10 @@ def release(df: DataFrame, part: str | None = None) -> None:
     """Removes a kept table, or a half of it, that nothing reads any more."""
     path = getattr(df, "_kept", None)
     if path and part:
-        _remove(df.sparkSession, f"{path}/{part}")
+        remove(df.sparkSession, f"{path}/{part}")
     elif path:
         _own[:] = [x for x in _own if x[1] != path]
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
@@ -69,5 +76,5 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     out = keep(make())
     for spark, path in [x for x in _own[before:] if x[1] != out._kept]:
         _own.remove((spark, path))
-        _remove(spark, path)
+        remove(spark, path)
     return out

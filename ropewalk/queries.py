@@ -14,6 +14,7 @@ from .plans.ranking import rank
 from .plans.tables import keep
 from .schema import weighted
 from .sources import generators as gen
+from .sources import logs
 from .sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,18 +68,22 @@ def forest_rank_sql(forest_sql: str) -> str:
 # --- ranking, by strategy
 
 QUERIES |= {
-    "rank_orders_chain": lambda s, d: rank(t.orders_chain(s, d), "doubling", check=False),
-    "rank_orders_chain_weighted": lambda s, d: rank(t.orders_chain_weighted(s, d), "doubling", check=False),
+    "rank_orders_chain": lambda s, d: rank(t.orders_chain(s, d), "doubling", check=False, tail=0),
+    "rank_orders_chain_weighted": lambda s, d: rank(t.orders_chain_weighted(s, d), "doubling", check=False, tail=0),
     "rank_events_chain": lambda s, d: rank(t.events_chain(s, d), "doubling", check=False),
+    "rank_events_chain_tail": lambda s, d: rank(t.events_chain(s, d), "doubling", check=False, tail=3000),
+    "rank_ruling_set_contracted": lambda s, d: rank(t.path(s, d, "partial"), "ruling-set", check=False, block_rows=4096, every=3, base="distinct"),
+    "rank_forest_ruling_set_2level": lambda s, d: rank(t.recursive_tree(s, d), "forest-ruling-set", check=False, levels=2, rounds=3),
+    "rank_path_permuted_rounds": lambda s, d: rank(t.path(s, d, "permuted"), "doubling", check=False, tail=0),
     "rank_validated": lambda s, d: rank(t.orders_chain(s, d), "auto", check=True),
     "rank_gather": lambda s, d: rank(t.orders_chain(s, d), "gather", check=False),
-    "rank_distinct": lambda s, d: rank(t.orders_chain(s, d), "distinct", check=False),
-    "rank_reduced_volume": lambda s, d: rank(t.orders_chain(s, d), "reduced-volume", check=False),
+    "rank_distinct": lambda s, d: rank(t.orders_chain(s, d), "distinct", check=False, tail=0),
+    "rank_reduced_volume": lambda s, d: rank(t.orders_chain(s, d), "reduced-volume", check=False, tail=0),
     "rank_bidirectional": lambda s, d: rank(t.orders_chain(s, d), "both-ways", check=False),
     "rank_bidirectional_weighted": lambda s, d: rank(t.orders_chain_weighted(s, d), "both-ways", check=False),
-    "rank_async_alias": lambda s, d: rank(t.orders_chain(s, d), "async-doubling", check=False),
-    "rank_rma_alias": lambda s, d: rank(t.orders_chain(s, d), "rma-passive", check=False),
-    "rank_contracted": lambda s, d: gather.contracted(t.orders_chain(s, d), block_rows=4096),
+    "rank_async_alias": lambda s, d: rank(t.orders_chain(s, d), "async-doubling", check=False, tail=0),
+    "rank_rma_alias": lambda s, d: rank(t.orders_chain(s, d), "rma-passive", check=False, tail=0),
+    "rank_contracted": lambda s, d: gather.contracted(t.orders_chain(s, d), block_rows=4096, tail=0),
     "rank_contracted_weighted": lambda s, d: gather.contracted(t.orders_chain_weighted(s, d), block_rows=4096),
     "rank_ruling_set": lambda s, d: ruling.ruling_set(t.orders_chain(s, d)),
     "rank_ruling_set_2level": lambda s, d: ruling.ruling_set(t.events_chain(s, d), levels=2, rounds=4),
@@ -87,16 +92,16 @@ QUERIES |= {
     "rank_path": lambda s, d: gather.contracted(t.path(s, d), block_rows=4096),
     "rank_path_permuted": lambda s, d: rank(t.path(s, d, "permuted"), "doubling", check=False),
     "rank_path_partial": lambda s, d: gather.contracted(t.path(s, d, "partial"), block_rows=4096),
-    "rank_path_broken": lambda s, d: rank(t.path(s, d, "permuted", cut=100), "doubling", check=False),
+    "rank_path_broken": lambda s, d: rank(t.path(s, d, "permuted", cut=100), "doubling", check=False, tail=0),
     "rank_path_permuted_gather": lambda s, d: rank(t.path(s, d, "permuted"), "gather", check=False),
     "rank_geo_forest": lambda s, d: rank(t.geography(s, d), "distinct", check=False),
-    "rank_recursive_tree": lambda s, d: rank(t.recursive_tree(s, d), "doubling", check=False),
+    "rank_recursive_tree": lambda s, d: rank(t.recursive_tree(s, d), "doubling", check=False, tail=0),
     "rank_recursive_tree_contracted": lambda s, d: gather.contracted(t.recursive_tree(s, d), block_rows=4096),
-    "rank_star": lambda s, d: rank(gen.star(t.numbered_orders(s, d)), "distinct", check=False),
-    "rank_stars": lambda s, d: rank(gen.stars(t.numbered_orders(s, d), 10), "distinct", check=False),
+    "rank_star": lambda s, d: rank(gen.star(t.numbered_orders(s, d)), "distinct", check=False, tail=0),
+    "rank_stars": lambda s, d: rank(gen.stars(t.numbered_orders(s, d), 10), "distinct", check=False, tail=0),
     "rank_tailed_star": lambda s, d: gather.contracted(gen.tailed_star(t.numbered_orders(s, d)), block_rows=4096),
     "rank_caterpillar": lambda s, d: gather.contracted(gen.caterpillar(t.numbered_orders(s, d)), block_rows=4096),
-    "rank_high_degree": lambda s, d: rank(t.geography(s, d), "high-degree", check=False),
+    "rank_high_degree": lambda s, d: rank(t.geography(s, d), "high-degree", check=False, tail=0),
     "rank_forest_ruling_set": lambda s, d: ruling.forest_ruling_set(t.recursive_tree(s, d)),
     "rank_geo_ruling_set": lambda s, d: ruling.forest_ruling_set(t.geography(s, d), rule=F.col("id") % 4 == 0),
     "rank_euler_tour": lambda s, d: rank(t.geography(s, d), "euler-tour", check=False),
@@ -108,10 +113,10 @@ _STEPS = "SELECT o_orderkey AS id, max(o_orderkey) OVER (PARTITION BY o_custkey)
 _EVENTS = CHAIN_RANK.replace("o_orderkey", "event_id").replace("o_custkey", "user_id").replace("orders", "events")
 SQL |= dict.fromkeys("rank_orders_chain rank_validated rank_gather rank_distinct rank_reduced_volume rank_bidirectional rank_async_alias rank_rma_alias rank_contracted rank_ruling_set rank_ruling_set_gather".split(), CHAIN_RANK)
 SQL |= dict.fromkeys("rank_orders_chain_weighted rank_bidirectional_weighted rank_contracted_weighted rank_ruling_post_invert".split(), _STEPS)
-SQL |= dict.fromkeys("rank_events_chain rank_ruling_set_2level".split(), _EVENTS)
-SQL |= {"rank_path": path_rank_sql("identity"), "rank_path_permuted": path_rank_sql("permuted"), "rank_path_permuted_gather": path_rank_sql("permuted"), "rank_path_partial": path_rank_sql("partial"), "rank_path_broken": path_rank_sql("permuted", 100)}
+SQL |= dict.fromkeys("rank_events_chain rank_events_chain_tail rank_ruling_set_2level".split(), _EVENTS)
+SQL |= {"rank_path": path_rank_sql("identity"), "rank_path_permuted": path_rank_sql("permuted"), "rank_path_permuted_gather": path_rank_sql("permuted"), "rank_path_permuted_rounds": path_rank_sql("permuted"), "rank_path_partial": path_rank_sql("partial"), "rank_ruling_set_contracted": path_rank_sql("partial"), "rank_path_broken": path_rank_sql("permuted", 100)}
 SQL |= dict.fromkeys("rank_geo_forest rank_high_degree rank_geo_ruling_set rank_euler_tour rank_euler_tour_ruling_set rank_euler_tour_proxies".split(), forest_rank_sql(GEO))
-SQL |= dict.fromkeys("rank_recursive_tree rank_recursive_tree_contracted rank_forest_ruling_set rank_euler_tour_gather".split(), forest_rank_sql(TREE))
+SQL |= dict.fromkeys("rank_recursive_tree rank_recursive_tree_contracted rank_forest_ruling_set rank_forest_ruling_set_2level rank_euler_tour_gather".split(), forest_rank_sql(TREE))
 SQL |= {
     "rank_star": "SELECT o_orderkey AS id, CAST(0 AS BIGINT) AS root, CAST(o_orderkey > 0 AS BIGINT) AS rank FROM orders",
     "rank_stars": "SELECT o_orderkey AS id, o_orderkey % 10 AS root, CAST(o_orderkey >= 10 AS BIGINT) AS rank FROM orders",
@@ -515,3 +520,68 @@ def generated_bfs_forest(s: SparkSession, d: str) -> DataFrame:
 def generated_tour(s: SparkSession, d: str) -> DataFrame:
     own = keep(gen.from_spec(s, "type=rgg2d;n=1500", "eulertour"))
     return stats.violations(own, rank(own, "gather")).agg(F.count(F.lit(1)).alias("violations"))
+
+
+# --- how rows lie
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total_size, true AS even FROM orders")
+def rebalanced_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Of all rows in one partition, dealt anew: how many there are, and that no partition holds twice its share."""
+    n = t.numbered_orders(s, d).select("id")
+    sizes = prefix.size_stats(prefix.partition_sizes(prefix.rebalance(n.coalesce(1), 8)))
+    return sizes.select("total_size", (F.col("max_size") <= 2 * F.ceil(F.col("total_size") / 8)).alias("even"))
+
+
+# --- tables out of reports: each order is a run with a report
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    own = t.read(s, d, "orders").select("o_orderkey", "o_custkey")
+    config = F.struct((F.col("o_orderkey") % 4).alias("p"), F.concat(F.lit("type=path;n="), F.col("o_custkey") % 7).alias("input"))
+    times = F.array(*((F.col("o_orderkey") % k).cast("double") for k in (10, 11, 13)))
+    return own.select(F.concat(F.lit("f"), F.col("o_custkey") % 20).alias("file"), F.to_json(F.struct(config.alias("config"), times.alias("times"))).alias("report"))
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    found = logs.extract(_reports(s, d), {"p": "$.config.p", "input": "$.config.input"})
+    return logs.options(found, "input_text", ["type", "n"]).select("file", "report", "p", "p_text", "type", "n")
+
+
+_RUNS = "SELECT 'f' || (o_custkey % 20) AS file, CAST(o_orderkey % 4 AS DOUBLE) AS p, CAST(o_orderkey % 4 AS VARCHAR) AS p_text, 'path' AS type, CAST(o_custkey % 7 AS VARCHAR) AS n, o_orderkey FROM orders"
+_TIMES = f"SELECT file, p, type, n, 1 AS iteration, CAST(o_orderkey % 11 AS DOUBLE) AS t FROM ({_RUNS}) UNION ALL SELECT file, p, type, n, 2, CAST(o_orderkey % 13 AS DOUBLE) FROM ({_RUNS})"
+
+
+@query(f"SELECT file, p, p_text, type, n FROM ({_RUNS})")
+def report_fields(s: SparkSession, d: str) -> DataFrame:
+    return _runs(s, d).drop("report")
+
+
+def _times(s: SparkSession, d: str) -> DataFrame:
+    return logs.warm(logs.iterations(_runs(s, d), {"t": "$.times"})).select("file", "p", "type", "n", "iteration", "t")
+
+
+@query(_TIMES)
+def report_iterations(s: SparkSession, d: str) -> DataFrame:
+    return _times(s, d)
+
+
+@query(f"SELECT n, count(*) AS nrows, string_agg(DISTINCT file, ',' ORDER BY file) AS files, avg(t) AS mean, min(t) AS least, max(t) AS largest FROM ({_TIMES}) GROUP BY n HAVING count(*) >= 2")
+def report_summary(s: SparkSession, d: str) -> DataFrame:
+    return logs.summary(_times(s, d), ["n"], "t", least=2)
+
+
+@query(f"SELECT type, n, 't' AS variable, avg(t) AS value FROM ({_TIMES}) GROUP BY type, n UNION ALL SELECT type, n, 'p', avg(p) FROM ({_TIMES}) GROUP BY type, n")
+def report_means_long(s: SparkSession, d: str) -> DataFrame:
+    return logs.means_long(_times(s, d), ["t", "p"], drop=["file", "iteration"])
+
+
+@query(f"SELECT label, code, count(*) AS nrows FROM (SELECT type || ' ' || n AS label, dense_rank() OVER (ORDER BY type || ' ' || n) AS code FROM ({_TIMES})) GROUP BY label, code")
+def report_codes(s: SparkSession, d: str) -> DataFrame:
+    rows, _ = logs.encoded(logs.labelled(_times(s, d), ["type", "n"]), "label")
+    return rows.groupBy("label", F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("nrows"))
+
+
+@query(f"SELECT file, n, CAST(NULL AS DOUBLE) AS t FROM ({_RUNS}) UNION ALL SELECT file, NULL, t FROM ({_TIMES})")
+def report_combined(s: SparkSession, d: str) -> DataFrame:
+    return logs.combined(_runs(s, d).select("file", "n"), _times(s, d).select("file", "t"))

@@ -117,9 +117,45 @@ def test_growing_forest(spark, tmp_path):
     assert rows(f.ranked) == [(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 1, 3), (5, 5, 0)]
 
 
+def test_growing_forest_takes_an_epoch_once(spark, tmp_path):
+    folder = str(tmp_path / "forest")
+    batches = [[(1, 1), (2, 1)], [(3, 2), (4, 3)], [(5, 4), (6, 6)], [(7, 5)], [(8, 7), (9, 6)]]
+    made = [spark.createDataFrame(b, "id bigint, succ bigint") for b in batches]
+    f = GrowingForest(spark, folder, most_parts=2)
+    for epoch, b in enumerate(made[:3]):
+        f.add(b, epoch)
+        f.add(b, epoch)  # as foreachBatch does after a failure
+    g = GrowingForest(spark, folder, most_parts=2)  # the driver was lost
+    for epoch, b in enumerate(made[2:], 2):
+        g.add(b, epoch)
+    g.add(made[0], 0)  # long over
+    want = rank(spark.createDataFrame([r for b in batches for r in b], "id bigint, succ bigint"), "gather")
+    assert rows(g.ranked) == rows(want) and len(g.parts) <= 2 and g.base is not None
+    assert rows(GrowingForest(spark, folder).ranked) == rows(want)
+
+
+def test_levels_are_seen_and_put_together(spark):
+    path = graphs.both_directions(spark.range(40).selectExpr("id AS src", "id + 1 AS dst"))
+    seen = []
+    found = graphs.bfs(path, spark.createDataFrame([(0,)], "id bigint"), on_level=lambda k, df: seen.append((k, df.count())))
+    assert seen == [(k, 1) for k in range(41)]
+    assert sorted(map(tuple, found.collect())) == [(k, max(0, k - 1), k) for k in range(41)]
+    assert graphs.bfs(path, spark.createDataFrame([(0,)], "id bigint"), max_levels=3).count() == 4
+    assert graphs.bfs(path, spark.createDataFrame([], "id bigint")).count() == 0
+
+
 def test_command_line(spark, tmp_path):
     out = tmp_path / "report.json"
     cli.run(spark, cli.parse(["--input", "type=path;n=50;permute=true", "--algorithm", "gather", "--verify-level", "2", "--statistics-level", "extensive", "--output-file", str(out), "--result", str(tmp_path / "res")]))
     report = json.loads(out.read_text())
     assert report["wrong"] == 0 and report["stats"]["max_size"] == 50
     assert spark.read.parquet(str(tmp_path / "res")).count() == 50
+
+
+def test_command_line_options(spark, tmp_path):
+    out = str(tmp_path / "report.json")
+    for more in (["ruling-set", "--every", "3", "--rounds", "2", "--base", "distinct", "--block-rows", "20"], ["doubling", "--tail", "0"], ["contracted", "--block-rows", "10"], ["forest-ruling-set", "--levels", "2"]):
+        report = cli.run(spark, cli.parse(["--input", "type=path;n=60;permute=true", "--output-file", out, "--algorithm", *more]))
+        assert report["wrong"] == 0 and report["stats"]["max_rank"] == 59
+    with pytest.raises(ValueError, match="has no option"):
+        cli.run(spark, cli.parse(["--input", "type=path;n=60", "--output-file", out, "--algorithm", "doubling", "--every", "3"]))

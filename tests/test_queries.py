@@ -8,7 +8,7 @@ from ropewalk import queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUICK = [q for q in queries.QUERIES if not q.startswith(("rank_", "generated_", "bfs_predicate"))] + ["rank_orders_chain", "rank_orders_chain_weighted", "rank_bidirectional_weighted", "rank_path_broken", "rank_geo_ruling_set", "rank_euler_tour_proxies"]
+QUICK = [q for q in queries.QUERIES if not q.startswith(("rank_", "generated_", "bfs_predicate"))] + ["rank_orders_chain", "rank_orders_chain_weighted", "rank_bidirectional_weighted", "rank_path_broken", "rank_geo_ruling_set", "rank_euler_tour_proxies", "rank_events_chain_tail", "rank_ruling_set_contracted", "rank_forest_ruling_set_2level", "rank_path_permuted"]
 
 
 @pytest.fixture(scope="module")

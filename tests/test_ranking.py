@@ -6,7 +6,7 @@ import pytest
 from ropewalk.operators import forest, gather, lookups, predicates, ruling, stats
 from ropewalk.operators.doubling import doubling
 from ropewalk.plans.fixpoint import Metrics
-from ropewalk.plans.ranking import Strategy, choose, estimate, rank
+from ropewalk.plans.ranking import Strategy, choose, estimate, options_of, rank
 from ropewalk.schema import SUCC, StructureError, validate
 
 LISTS = [Strategy.BOTH_WAYS, Strategy.RULING_SET, Strategy.RULING_SET_INVERTED]
@@ -159,3 +159,55 @@ def test_choice(spark):
     assert choose(near, block_rows=10) is Strategy.CONTRACTED
     assert choose(far, block_rows=10) is Strategy.DOUBLING
     assert estimate(10**6, 10**6).doubling > 0
+
+
+@pytest.mark.parametrize("tail", [0, 40, 100, 10**6])
+def test_tail_in_one_task(spark, tail):
+    rows, chains = random_forest(150, 11, (0, 1, 4)), random_lists(150, 12)
+    m = Metrics()
+    for distinct in (False, True):
+        assert got(doubling(table(spark, rows), distinct, tail=tail, metrics=m)) == walk(rows)
+    assert ("finished_in_one_task" in m.more) == (tail > 0)
+    for s in (Strategy.REDUCED, Strategy.DOUBLING, Strategy.HIGH_DEGREE):
+        assert got(rank(table(spark, [(i, n, int(i != n)) for i, n, _ in chains]), s, tail=tail)) == walk([(i, n, int(i != n)) for i, n, _ in chains])
+    with pytest.raises(Exception, match="cycle"):
+        doubling(table(spark, [(1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 4, 0)]), tail=tail).collect()
+    with pytest.raises(Exception, match="is no id"):
+        doubling(table(spark, [(1, 2, 1), (3, 3, 0)]), tail=tail).collect()
+    with pytest.raises(StructureError, match="repeated"):
+        doubling(table(spark, [(1, 2, 1), (2, 3, 1), (2, 3, 1), (3, 4, 1), (4, 5, 1), (5, 5, 0)]), tail=0).collect()
+
+
+def test_options(spark):
+    rows = random_lists(150, 13)
+    own = table(spark, rows)
+    for strategy, options in {"ruling-set": {"every": 3, "rounds": 2, "levels": 2, "block_rows": 20}, "ruling-set-inverted": {"rounds": 3}, "forest-ruling-set": {"levels": 3, "every": 2, "base": "distinct"}, "contracted": {"block_rows": 30, "base": "ruling-set"}, "euler-tour": {"degree": 2, "base": "both-ways"}, "gather": {"most_rows": 200}}.items():
+        lists = [(i, n, int(i != n)) for i, n, _ in rows] if strategy == "euler-tour" else rows
+        assert got(rank(table(spark, lists), strategy, **options)) == walk(lists), strategy
+    with pytest.raises(ValueError, match="no option every"):
+        rank(own, "doubling", every=3)
+    assert options_of("doubling") == ["tail"] and "levels" in options_of("ruling-set-inverted")
+
+
+def test_choice_by_shape(spark):
+    star = table(spark, [(0, 0, 0)] + [(i * 1000, 0, 1) for i in range(1, 1500)])
+    assert choose(star, block_rows=10) is Strategy.DISTINCT
+    low, high = estimate(10**9, 4), estimate(10**9, 10**9)
+    assert low.ruling > low.doubling / 2 and high.ruling < high.doubling / 2
+
+
+def test_proxies_come_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(forest, "HOT", 20)
+    rows = [(0, 0, 0)] + [(i, 0 if i < 90 else i - 80, 1) for i in range(1, 120)]
+    made = []
+    plain = forest.with_proxies
+    monkeypatch.setattr(forest, "with_proxies", lambda *a: made.append(a[1:]) or plain(*a))
+    assert got(forest.euler_rank(table(spark, rows))) == walk(rows)
+    assert made == [(20, 9)]
+
+
+def test_dense_ids_of_uneven_ids(spark):
+    own = sorted({*range(100), *(10**6 + i * i for i in range(300)), 10**17, 5 * 10**17})
+    ids = spark.createDataFrame([(i,) for i in own], "id bigint")
+    assert sorted(map(tuple, lookups.dense_ids(ids, 8).collect())) == [(i, k) for k, i in enumerate(own)]
+    assert lookups.dense_ids(ids.limit(0)).count() == 0
