@@ -1,40 +1,44 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are hashed pairs of neighbouring bytes and two counts of repeated words; their weighted vector is
-projected onto the leading directions of the labelled texts' vectors (latent semantics). Every text is compared
+A text's terms are its words and its pairs of neighbouring bytes, hashed, and two counts of repeated words; their
+weighted vector is projected onto the leading directions of the labelled texts' vectors (latent semantics). Every text is compared
 with every labelled vector, exactly, a block of texts at a time; the nearest ones vote, weighted by similarity.
 """
 
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .common import hash_sample, held_out
 
-PAIRS, DIMS, NEIGHBOURS, SHARPNESS = 2048, 32, 15, 20.0
+TERMS, DIMS, NEIGHBOURS, SHARPNESS = 2048, 32, 15, 20.0
 #: Labelled texts to learn from at most (and a third more): what is broadcast is bounded by it.
 SAMPLE = 6000
 _BLOCK, _PIECE = 1024, 1 << 20  # texts compared at once, bytes counted at once
 
 
 def terms(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs, then of words like the one before and of repeated words."""
-    out = np.zeros(PAIRS + 2)
-    code = np.frombuffer(text, np.uint8)
+    """Square roots of the shares of hashed words, of hashed byte pairs, then of words like the one before and of repeated words."""
+    out, half = np.zeros(TERMS + 2), TERMS // 2
+    code, words = np.frombuffer(text, np.uint8), text.split()
+    for w, n in Counter(words).items():
+        out[xxhash.xxh32_intdigest(w) & (half - 1)] += n
+    out[:half] /= max(1, len(words))
     for i in range(0, len(code) - 1, _PIECE):
         part = code[i : i + _PIECE + 1].astype(np.int32)
-        out[:PAIRS] += np.bincount(((part[:-1] * 61 + part[1:] * 7919) >> 1) & (PAIRS - 1), minlength=PAIRS)
-    words = text.split()
-    out[:PAIRS] /= max(1, len(code))
-    out[PAIRS] = sum(map(operator.eq, words, words[1:])) / max(1, len(words))
-    out[PAIRS + 1] = (len(words) - len(set(words))) / max(1, len(words))
+        out[half:TERMS] += np.bincount(((part[:-1] * 61 + part[1:] * 7919) >> 1) & (half - 1), minlength=half)
+    out[half:TERMS] /= max(1, len(code))
+    out[TERMS] = sum(map(operator.eq, words, words[1:])) / max(1, len(words))
+    out[TERMS + 1] = (len(words) - len(set(words))) / max(1, len(words))
     return np.sqrt(out).astype(np.float32)
 
 
@@ -55,7 +59,7 @@ class Voters:
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         x = x.copy()
-        x[:, :PAIRS] = _units(x[:, :PAIRS] * self.rarity)
+        x[:, :TERMS] = _units(x[:, :TERMS] * self.rarity)
         return _units(_units(x) @ self.project)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -73,11 +77,11 @@ class Voters:
 
 def fit(x: np.ndarray, labels: np.ndarray) -> Voters:
     """Of rows of terms and 0/1 labels."""
-    rarity = (np.log((1 + len(x)) / (1 + (x[:, :PAIRS] > 0).sum(axis=0))) + 0.2).astype(np.float32)
-    out = Voters(rarity, np.eye(PAIRS + 2, dtype=np.float32), np.zeros((0, DIMS), np.float32), labels.astype(float))
+    rarity = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(axis=0))) + 0.2).astype(np.float32)
+    out = Voters(rarity, np.eye(TERMS + 2, dtype=np.float32), np.zeros((0, DIMS), np.float32), labels.astype(float))
     if len(x):
         y = x.copy()
-        y[:, :PAIRS] = _units(y[:, :PAIRS] * rarity)
+        y[:, :TERMS] = _units(y[:, :TERMS] * rarity)
         y = _units(y)
         _, directions = np.linalg.eigh(y.T @ y)
         out.project = np.ascontiguousarray(directions[:, ::-1][:, :DIMS])
@@ -100,7 +104,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     chosen = hash_sample(marked, marked.count(), sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     got = rows.select("h", "y", _terms("text").alias("x")).orderBy("h", "y").limit(2 * sample).collect()
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), PAIRS + 2)
+    x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), TERMS + 2)
     return fit(x, np.array([r.y for r in got], int))
 
 
@@ -124,6 +128,7 @@ def score_quality(docs: DataFrame, voters: Voters, text_col: str = "text") -> Da
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality of documents, a third of them held out from training; see there for nulls and empty texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = held_out("doc_id", 3, 1)
     voters = learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~out)

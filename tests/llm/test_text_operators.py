@@ -380,7 +380,7 @@ def test_quality(docs, rows, spark, nothing):
 
 def test_quality_votes_are_exact():
     rng = np.random.default_rng(0)
-    x = rng.random((50, quality.PAIRS + 2)).astype(np.float32)
+    x = rng.random((50, quality.TERMS + 2)).astype(np.float32)
     y = rng.integers(0, 2, 50)
     v = quality.fit(x, y)
     lat = v.latent(x)
@@ -391,6 +391,55 @@ def test_quality_votes_are_exact():
         assert abs(v.score(x[i : i + 1])[0] - (w * y[top]).sum() / w.sum()) < 1e-5
 
 
+def test_quality_against_its_own_analysis():
+    """Scores by a plain version: counted terms, an eigenvector at a time, and a sorted vote."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "über", "x!!"][: 2 + k % 4]) for _ in range(rng.randint(1, 30))) for k in range(60)] + ["", "   "]
+    labels = [k % 2 for k in range(40)]
+
+    def plain(t):
+        out, words, data = np.zeros(quality.TERMS + 2), t.encode().split(), t.encode()
+        half = quality.TERMS // 2
+        for w in words:
+            out[xxhash.xxh32(w).intdigest() % half] += 1 / len(words)
+        for a, b in zip(data, data[1:], strict=False):
+            out[half + (a * 61 + b * 7919) // 2 % half] += 1 / len(data)
+        if words:
+            out[-2] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+            out[-1] = 1 - len(set(words)) / len(words)
+        return np.sqrt(out)
+
+    x = np.array([plain(t) for t in texts])
+    assert np.allclose(x, [quality.terms(t.encode()) for t in texts], atol=1e-6)
+    learn = x[:40]
+    rarity = np.log(41 / (1 + (learn[:, :-2] > 0).sum(axis=0))) + 0.2
+
+    def unit(v):
+        n = np.linalg.norm(v)
+        return v / n if n > 1e-9 else v
+
+    full = [unit(np.concatenate([unit(v[:-2] * rarity), v[-2:]])) for v in x]
+    gram = sum(np.outer(v, v) for v in full[:40])
+    values, vectors = np.linalg.eigh(gram)
+    axes = vectors[:, np.argsort(-values)[: quality.DIMS]]
+    latent = [unit(v @ axes) for v in full]
+    want = []
+    for v, raw in zip(latent, x, strict=True):
+        near = sorted(((float(v @ latent[j]), j) for j in range(40)), reverse=True)
+        weights = [(math.exp(quality.SHARPNESS * (c - 1)), labels[j]) for c, j in near]
+        cut = near[quality.NEIGHBOURS - 1][0]
+        sure = [(w, y) for (c, _), (w, y) in zip(near, weights, strict=True) if c > cut + 1e-6]
+        tied = [(w, y) for (c, _), (w, y) in zip(near, weights, strict=True) if abs(c - cut) <= 1e-6]
+        rest, ones = quality.NEIGHBOURS - len(sure), sum(y for _, y in tied)
+        low, high = max(0, rest - (len(tied) - ones)), min(rest, ones)  # any of those that tie may vote
+        total = sum(w for w, _ in sure) + rest * tied[0][0]
+        sums = [(sum(w * y for w, y in sure) + k * tied[0][0]) / total for k in (low, high)]
+        want.append((0.5, 0.5) if not raw.any() else sums)
+    got = quality.fit(np.array([quality.terms(t.encode()) for t in texts[:40]]), np.array(labels)).score(np.array([quality.terms(t.encode()) for t in texts]))
+    for g, (low, high) in zip(got, want, strict=True):
+        assert low - 1e-3 <= g <= high + 1e-3
+
+
 def test_repeated_strings(spark, docs, rows, nothing):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcde fgh") for _ in range(300))
