@@ -3,15 +3,17 @@
 Equal strings of LENGTH bytes must meet in one task. Every window of that length has an anchor, the leftmost of its
 32-byte grams with the least hash, and equal windows have equal anchors. Windows with one anchor that follow each
 other make a context. Blocks of texts first exchange the hashes of their anchors; only contexts whose anchor occurs
-elsewhere are then dealt, by that hash. Equal contexts are told by content, first in a block, then in a shard. The
-different ones that share an anchor are written one after the other, their suffixes are sorted by their first 128
+elsewhere are then dealt, by that hash. Where an anchor occurs very often its contexts' windows exchange hashes too,
+dealt by window, and only runs of windows that occur elsewhere go on: what is left of the many contexts around a
+common passage is the same. Equal contexts are told by content, first in a block, then in a shard. The different ones that share an anchor are written one after the other, their suffixes are sorted by their first 128
 bytes, and on the Burrows-Wheeler transform backward extension finds common-prefix lengths in increasing order,
 breadth first, until LENGTH: suffixes between which no smaller length was found share LENGTH bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, tidy, unpack_words, with_texts
 from .common import stash
 
 LENGTH, GRAM = 100, 32
 #: Bytes of the corpus for each bucket of anchors, which bounds what a task holds; bytes of contexts judged at once.
 PER_BUCKET, AT_ONCE = 4 << 20, 1 << 20
-HASHES, CONTEXTS = 0, 1
+#: Contexts with one anchor in the corpus beyond which their windows are sifted first.
+HOT = 1000
+HASHES, CONTEXTS, WINDOWS, SIFTED = 0, 1, 2, 3
 _U = np.uint64
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | _U(1)
 
@@ -104,43 +108,107 @@ def _hashes_of(h: np.ndarray) -> np.ndarray:
     return np.sort(h & _U((1 << 48) - 1))
 
 
-def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
-    """By bucket the distinct hashes of anchors, and whether one occurs more than once in the block."""
-    h = contexts(block.texts)[0]
+def _counted(h: np.ndarray, bits: int, kind: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(kind, bucket, hashes, counts) of the distinct ones among hashes."""
     for u, part in _deal(h, bits):
         keys, n = np.unique(_hashes_of(h[part]), return_counts=True)
-        yield HASHES, u, planes(np.diff(keys, prepend=_U(0))), squeeze(np.packbits(n > 1)), None
-    yield texts_row(block)
+        yield kind, u, planes(np.diff(keys, prepend=_U(0))), planes(np.minimum(n, 0xFFFF), 2)
+
 
+def items(block: Block, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None, list[int] | None]]:
+    """By bucket the distinct hashes of anchors, and how often each occurs in the block."""
+    for kind, u, keys, counts in _counted(contexts(block.texts)[0], bits, HASHES):
+        yield kind, u, keys, counts, None
+    yield texts_row(block, 6)
 
-def _repeated(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int, bytes]]:
-    """For each block which of its hashes occur more than once in all."""
-    held = [(r["block"], np.cumsum(from_planes(r["keys"]), dtype=np.uint64), expand(r["counts"], np.uint8)) for r in group]
-    keys, n = np.unique(np.concatenate([k for _, k, _ in held]), return_counts=True)
-    keys = keys[n > 1]
-    for block, own, more in held:
-        at = np.minimum(np.searchsorted(keys, own), max(0, len(keys) - 1))
-        elsewhere = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        yield block, squeeze(np.packbits(elsewhere | np.unpackbits(more, count=len(own)).astype(bool)))
 
+def _repeated(kind: int, bucket: int, group: Iterator[dict], hot: int) -> Iterator[tuple[int, bytes]]:
+    """For each block and each of its hashes: 0 if it occurs once in all, 1 if more often, 2 if more than hot times."""
+    held = [(r["block"], np.cumsum(from_planes(r["keys"]), dtype=np.uint64), from_planes(r["counts"], 2)) for r in group]
+    keys, place = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([c for _, _, c in held]).astype(float), len(keys))
+    degree = ((n > 1).astype(np.uint8) + (n > hot).astype(np.uint8))[place]
+    for (block, own, _), end in zip(held, np.cumsum([len(k) for _, k, _ in held]).tolist(), strict=True):
+        yield block, squeeze(degree[end - len(own) : end])
 
-def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts: list[bytes], bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """By bucket: the different contexts whose anchor occurs elsewhere, and where they are, smallest ids and there first places first."""
-    h, of, start, windows = contexts(texts)
+
+def _degrees(h: np.ndarray, bits: int, held: dict[tuple[int, int], bytes], kind: int) -> np.ndarray:
+    """What _repeated has said of each of the hashes."""
+    out = np.zeros(len(h), np.uint8)
     for u, part in _deal(h, bits):
-        own = h[part] & _U((1 << 48) - 1)
-        keys, inverse = np.unique(own, return_inverse=True)
-        part = np.sort(part[np.unpackbits(expand(held[HASHES, u], np.uint8), count=len(keys)).astype(bool)[inverse]])
-        if not len(part):
-            continue
-        part = part[np.argsort(ids[of[part]], kind="stable")]  # as _judge orders them: by id, then by place
-        places: dict[bytes, list[int]] = {}
-        for i, t, s, e in zip(part.tolist(), of[part].tolist(), start[part].tolist(), (start[part] + windows[part] + LENGTH - 1).tolist(), strict=True):
-            places.setdefault(texts[t][s:e], []).append(i)
-        firsts = np.array([p[0] for p in places.values()], np.int64)
-        again = np.array([i for p in places.values() for i in p[1:]], np.int64)
-        where = np.concatenate(([len(firsts)], h[firsts].view(np.int64), ids[of[firsts]], of[firsts], start[firsts], union(of[again], start[again], start[again] + windows[again] + LENGTH - 1).reshape(-1)))
-        yield u, pack_words(list(places)), squeeze(where.astype(np.int64))
+        _, place = np.unique(h[part] & _U((1 << 48) - 1), return_inverse=True)
+        out[part] = expand(held[kind, u], np.uint8)[place]
+    return out
+
+
+def _places(h: np.ndarray, ids: np.ndarray, of: np.ndarray, start: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different ones of a block's contexts, their (hash, id, text, start), and the spans of those that come again.
+
+    Of equal ones the first by id, then by place, is the one, as _judge orders them.
+    """
+    first: dict[bytes, int] = {}
+    again = []
+    for i in np.lexsort((start, of, ids)).tolist():
+        if first.setdefault(words[i], i) != i:
+            again.append(i)
+    own, again = np.array(list(first.values()), np.int64), np.array(again, np.int64)
+    ends = start[again] + np.array([len(words[i]) for i in again.tolist()], np.int64)
+    return list(first), np.stack([h[own].view(np.int64), ids[own], of[own], start[own]]), union(of[again], start[again], ends)
+
+
+def _dealt(words: list[bytes], where: np.ndarray, again: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(kind, bucket, contexts, their number, places and the spans of those that come again) by the anchors' hashes."""
+    for u, part in _deal(where[0].view(np.uint64), bits):
+        yield CONTEXTS, u, pack_words([words[i] for i in part.tolist()]), squeeze(np.concatenate(([len(part)], where[:, part].reshape(-1))).astype(np.int64))
+    if again.size:
+        yield CONTEXTS, 0, pack_words([]), squeeze(np.concatenate(([0], again.reshape(-1))).astype(np.int64))
+
+
+def _window_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every window of the contexts, and the number of windows of each."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    n = sizes - LENGTH + 1
+    if not len(words):
+        return np.zeros(0, np.uint64), n
+    h = gram_hashes(np.frombuffer(b"".join(words), np.uint8))
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out = np.zeros(len(at), np.uint64)
+    for k in (0, GRAM, 2 * GRAM, LENGTH - GRAM):  # which cover a window
+        out = (out ^ h[at + k]) * _U(0x9E3779B97F4A7C15)
+        out ^= out >> _U(31)
+    return out, n
+
+
+def _shared_contexts(held: dict[tuple[int, int], bytes], ids: np.ndarray, texts: list[bytes], bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Of the contexts whose anchor occurs elsewhere: by bucket those to judge; and those to sift, with their windows' hashes."""
+    h, of, start, windows = contexts(texts)
+    degree = _degrees(h, bits, held, HASHES)
+    for d in (1, 2):
+        at = np.flatnonzero(degree == d)
+        words = [texts[t][s:e] for t, s, e in zip(of[at].tolist(), start[at].tolist(), (start[at] + windows[at] + LENGTH - 1).tolist(), strict=True)]
+        words, where, again = _places(h[at], ids[of[at]], of[at], start[at], words)
+        if d == 1:
+            yield from _dealt(words, where, again, bits)
+        elif words:
+            yield from _counted(_window_hashes(words)[0], bits, WINDOWS)
+            yield SIFTED, 0, pack_words(words), squeeze(np.concatenate(([len(words)], where.reshape(-1), again.reshape(-1))).astype(np.int64))
+
+
+def _sift(held: dict[tuple[int, int], bytes], row: dict, bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """As _dealt, of the runs of windows that occur elsewhere."""
+    words, x = unpack_words(row["keys"]), expand(row["counts"], np.int64)
+    n = int(x[0])
+    where, again = x[1 : 4 * n + 1].reshape(4, n), x[4 * n + 1 :].reshape(3, -1)
+    h, windows = _window_hashes(words)
+    keep = np.flatnonzero(_degrees(h, bits, held, WINDOWS))
+    of = np.repeat(np.arange(n), windows)[keep]
+    at = keep - (np.cumsum(windows) - windows)[of]
+    cut = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1))[: len(of)])
+    last = np.append(cut[1:], len(of))[: len(cut)] - 1
+    of, low, high = of[cut], at[cut], at[last] + LENGTH
+    parts = [words[i][s:e] for i, s, e in zip(of.tolist(), low.tolist(), high.tolist(), strict=True)]
+    words, where, more = _places(np.ascontiguousarray(where[0, of]).view(np.uint64), where[1, of], where[2, of], where[3, of] + low, parts)
+    yield from _dealt(words, where, np.concatenate((again, more), axis=1), bits)
 
 
 def suffix_order(text: np.ndarray, reach: int = 128) -> np.ndarray:
@@ -234,8 +302,7 @@ def _judge(kind: int, bucket: int, group: Iterator[dict]) -> Iterator[tuple[int,
         x, block = expand(r["counts"], np.int64), r["block"]
         n = int(x[0])
         h, ids, of, start = x[1 : 4 * n + 1].reshape(4, n)
-        again = x[4 * n + 1 :].reshape(3, -1)
-        spans[block] = [again]
+        spans.setdefault(block, []).append(x[4 * n + 1 :].reshape(3, -1))
         for c, hash_, i, t, s in zip(unpack_words(r["keys"]), h.tolist(), ids.tolist(), of.tolist(), start.tolist(), strict=True):
             own = ((i, block, t, s), hash_)
             other = found.setdefault(c, own)
@@ -284,40 +351,57 @@ def _cut(held: dict[tuple[int, int], bytes], row: dict) -> dict[str, Any]:
     return {"removed": removed, "kept": pa.array(kept, pa.binary())}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: id, n_bytes, removed (array of start, length), kept (binary).
 
     Each byte goes that a string of LENGTH bytes covers which also starts earlier: in a row with a smaller id, or in
     the same row further left. Strings overlap freely and are judged on the input; they never cross rows. Null texts
     count as empty. Rows with the same id come one after the other in some order; rows without an id come last. An
-    empty table gives an empty result; other columns are not read. Ids are integers.
+    empty table gives an empty result; other columns are not read. Ids are integers. hot says from how many contexts
+    on those of one anchor are sifted by their windows; the result is the same.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(False).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(6, (size // PER_BUCKET).bit_length()))
     asked = stash(dictionaries(rows, lambda block: items(block, bits)))
-    marks = answer(asked, None, _repeated)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-        for block, group in _grouped(batches, ("block",)):
-            held: dict[tuple[int, int], bytes] = {}
-            for r in group:
-                if r["kind"] != TEXTS:
-                    held[r["kind"], r["bucket"]] = r["keys"]
-                    continue
-                ids = r["ids"].fill_null((1 << 63) - 1).to_numpy()
-                for few in _batched(({"kind": CONTEXTS, "bucket": u, "block": block, "keys": k, "counts": w} for u, k, w in _shared_contexts(held, ids, read_texts(r["keys"], r["sizes"]), bits)), 32):
-                    yield pa.RecordBatch.from_pylist(few, schema)
+    repeated = partial(_repeated, hot=hot)
+    marks = answer(asked, None, repeated)
+
+    kinds = "kind tinyint, bucket int, block bigint, keys binary, counts binary"
+
+    def by_block(last: int, parts: Callable[[dict[tuple[int, int], bytes], dict], Iterator[tuple[int, int, bytes, bytes]]]) -> Callable:
+        """Gives each block's rows to parts when that of kind last, which comes after all others, is there."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+            for block, group in _grouped(batches, ("block",)):
+                held: dict[tuple[int, int], bytes] = {}
+                for r in group:
+                    if r["kind"] != last:
+                        held[r["kind"], r["bucket"]] = r["keys"]
+                        continue
+                    for few in _batched(({"kind": k, "bucket": u, "block": block, "keys": w, "counts": c} for k, u, w, c in parts(held, r)), 32):
+                        yield pa.RecordBatch.from_pylist(few, schema)
+            tidy()
+
+        return run
+
+    def shared_of(held: dict[tuple[int, int], bytes], r: dict) -> Iterator[tuple[int, int, bytes, bytes]]:
+        yield from _shared_contexts(held, r["ids"].fill_null((1 << 63) - 1).to_numpy(), read_texts(r["keys"], r["sizes"]), bits)
 
     met = with_texts(asked, marks).select("block", "kind", "bucket", "keys", "ids", "sizes").repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    shared = met.mapInArrow(emit, "kind tinyint, bucket int, block bigint, keys binary, counts binary")
-    done = reassemble(with_texts(asked, answer(shared, None, _judge)), _cut, "removed array<struct<start:bigint,length:bigint>>, kept binary")
+    shared = stash(met.mapInArrow(by_block(TEXTS, shared_of), kinds))
+    seen = answer(shared.filter(F.col("kind") == WINDOWS), None, repeated).withColumn("counts", F.lit(None).cast("binary"))
+    sifting = seen.union(shared.filter(F.col("kind") == SIFTED).select("kind", "bucket", "block", "keys", "counts")).repartition("block").sortWithinPartitions("block", "kind", "bucket")
+    sifted = sifting.mapInArrow(by_block(SIFTED, lambda held, r: _sift(held, r, bits)), kinds)
+    judged = answer(shared.filter(F.col("kind") == CONTEXTS).union(sifted), None, _judge)
+    done = reassemble(with_texts(asked, judged), _cut, "removed array<struct<start:bigint,length:bigint>>, kept binary")
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["length"])
     return done.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "removed", "kept")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats of documents; see there for nulls, empty and long texts and repeated rows."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(
         "doc_id",

@@ -440,12 +440,13 @@ def test_quality_against_its_own_analysis():
         assert low - 1e-3 <= g <= high + 1e-3
 
 
-def test_repeated_strings(spark, docs, rows, nothing):
+@pytest.mark.parametrize("hot", [repeats.HOT, 1, 5])
+def test_repeated_strings(spark, docs, rows, nothing, hot):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcde fgh") for _ in range(300))
     more = [(2000 + i, passage[i * 7 : i * 7 + 180] + f" {i} " + passage[: 90 + i], None, None, None) for i in range(20)]
     extra = spark.createDataFrame(more, SCHEMA)
-    found = {r.doc_id: r for r in repeats.remove_repeats(docs.select("doc_id", "text").filter("doc_id != 153").unionByName(extra.select("doc_id", "text")).repartition(4)).filter("doc_id is not null").collect()}
+    found = {r.doc_id: r for r in repeats.remove_repeats(docs.select("doc_id", "text").filter("doc_id != 153").unionByName(extra.select("doc_id", "text")).repartition(4), hot=hot).filter("doc_id is not null").collect()}
     seen = set()
     for i, t in sorted((r[0], (r[1] or "").encode()) for r in rows + more if r[0] is not None and r[0] != 153):
         gone = bytearray(len(t))
@@ -461,12 +462,13 @@ def test_repeated_strings(spark, docs, rows, nothing):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
 @pytest.mark.parametrize("ids", [[40, 30, 20, 10], [None, 7, None, 3], [5, 5, 2, 9]])
-def test_repeats_in_a_block_out_of_order(spark, ids):
+def test_repeats_in_a_block_out_of_order(spark, ids, hot):
     rng = random.Random(6)
     passage = "".join(rng.choice("abcde fgh") for _ in range(240))
     own = [(i, f"{k}{'xyzw'[k] * 130} {passage} {'pqrs'[k] * 120}{k}" + passage * (k % 2)) for k, i in enumerate(ids)]
-    found = {bytes(r.kept)[:1]: r for r in repeats.remove_repeats(spark.createDataFrame(own, "doc_id bigint, text string").coalesce(1)).collect()}
+    found = {bytes(r.kept)[:1]: r for r in repeats.remove_repeats(spark.createDataFrame(own, "doc_id bigint, text string").coalesce(1), hot=hot).collect()}
     seen = set()
     for _, _, k in sorted((i is None, i or 0, k) for k, i in enumerate(ids)):
         t, gone = own[k][1].encode(), bytearray(len(own[k][1]))
