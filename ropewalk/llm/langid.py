@@ -22,7 +22,7 @@ from .common import attach, held_out, stash, unstash
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 #: Labelled rows to learn from (about), whole, and the rows of a language to learn from at least, if it has them.
-SAMPLE, LEAST_ROWS = 3000, 40
+SAMPLE, LEAST_ROWS, SALTS = 3000, 40, 8
 #: Passes over the windows: three, or as many as make so many steps of a batch.
 EPOCHS, STEPS, BATCH = 3, 600, 64
 UNKNOWN = "und"
@@ -166,15 +166,17 @@ def has_letter(text: str) -> bool:
 def lang_sample(rows: DataFrame, sample: int) -> DataFrame:
     """Of rows (h: a 64-bit hash, lang, text) about sample, and of each language LEAST_ROWS (about) or all it has, one at least.
 
-    A language's share of the hash's range decides; its rows are bounded by what is expected, a third more and LEAST_ROWS.
+    A language's share of the hash's range decides; its rows are bounded by what is expected, a third more and
+    LEAST_ROWS, shared by SALTS parts of the range, so that no task orders all of a language.
     """
     span = 1_000_000_007
     rows = rows.withColumn("m", F.pmod("h", F.lit(span)))
     langs = stash(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first")))
     share = F.least(F.lit(1.0), F.greatest(F.lit(sample / max(1, langs.agg(F.sum("n")).first()[0] or 0)), F.lit(float(LEAST_ROWS)) / F.col("n")))
     bounds = langs.select("lang", F.greatest(F.floor(share * span), F.col("first") + 1).alias("below"), (F.ceil(F.col("n") * share * 4 / 3) + LEAST_ROWS).alias("most"))
-    taken = attach(rows, bounds, ["lang"]).filter("m < below")
-    return taken.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter("k <= most").select("h", "lang", "text")
+    taken = attach(rows, bounds, ["lang"]).filter("m < below").withColumn("salt", F.col("m") % SALTS)
+    place = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "text"))
+    return taken.withColumn("k", place).filter(F.col("k") <= F.ceil(F.col("most") / SALTS) + SALTS).select("h", "lang", "text")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
