@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from .functions.scalars import RULERS
 from .operators import stats
 from .operators.prefix import partition_sizes, rebalance, size_stats
 from .plans.ranking import OPTIONS, Strategy, timed
@@ -33,6 +34,8 @@ class Options:
     most_rows: int | None = None
     degree: int | None = None
     every: int | None = None
+    ruler: str | None = None
+    factor: float | None = None
     rounds: int | None = None
     levels: int | None = None
     base: str | None = None
@@ -58,6 +61,8 @@ def parse(args: list[str] | None = None) -> Options:
     p.add_argument("--most-rows", type=int, help="gather: rows that one task may hold")
     p.add_argument("--degree", type=int, help="high-degree, euler-tour: predecessors from which an element is split off or gets proxies")
     p.add_argument("--every", type=int, help="ruling sets: one element in so many is a ruler")
+    p.add_argument("--ruler", choices=RULERS, help="ruling-set: the formula for the number of rulers, instead of --every")
+    p.add_argument("--factor", type=float, help="ruling-set: scales the formula")
     p.add_argument("--rounds", type=int, help="ruling sets: rounds of the walks")
     p.add_argument("--levels", type=int, help="ruling sets: rulings of rulers")
     p.add_argument("--base", choices=[s.value for s in Strategy], help="ruling sets, contracted, euler-tour: the ranking of what is left")
@@ -75,7 +80,14 @@ def run(spark: SparkSession, o: Options) -> dict:
         wrong = stats.violations(succ, ranked).count()
     if o.verify_level > 1:
         wrong += stats.mismatches(ranked, timed(succ, Strategy.GATHER)[0]).count()
-    report = {"config": asdict(o), "input": row_of(size_stats(partition_sizes(succ))), "seconds": seconds, "ranking": spread(seconds), "wrong": wrong, "stats": row_of(stats.stats(ranked, o.statistics_level))}
+    report = {
+        "config": asdict(o),
+        "input": row_of(size_stats(partition_sizes(succ))),
+        "seconds": seconds,
+        "ranking": spread(seconds),
+        "wrong": wrong,
+        "stats": row_of(stats.stats(ranked, o.statistics_level)),
+    }
     write_report(report, o.output_file)
     if o.result:
         ranked.write.mode("overwrite").parquet(o.result)

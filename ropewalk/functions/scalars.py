@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The names of the formulas for the number of rulers.
+RULERS = ["dehne", "heuristic", "sanders", "ultimate", "ultimate-sanders", "limit-rounds"]
+
+
 def ruler_rate(strategy: str, n: int, p: int, factor: float = 1.0, dims: int = 1, rounds: int = 100) -> float:
     """The share of elements that become rulers, 0 to 1.
 

@@ -55,18 +55,25 @@ def doubling_both_ways(succ: DataFrame, metrics: Metrics | None = None) -> DataF
     metrics = metrics if metrics is not None else Metrics()
     own = weighted(succ)
     before = own.filter("id != succ").select(F.col("succ").alias("id"), F.col("id").alias("pred"))
-    start = own.join(before, "id", "left").select("id", F.col("succ").alias("root"), F.col("weight").alias("rank"), "pred", F.when(F.col("id") == F.col("succ"), 0).otherwise(1).cast("long").alias("hops"), (F.col("id") == F.col("succ")).alias("done"))
+    is_root = F.col("id") == F.col("succ")
+    start = own.join(before, "id", "left").select(
+        "id", F.col("succ").alias("root"), F.col("weight").alias("rank"), "pred", F.when(is_root, 0).otherwise(1).cast("long").alias("hops"), is_root.alias("done")
+    )
     now, span = keep(start), 1
     limit = round_limit(now.count())
     while now.filter("not done").limit(1).count():
         if metrics.rounds > limit:
             raise StructureError("elements reach no root: the structure has a cycle")
-        none = [F.lit(None).cast("long").alias(c) for c in ("to", "more", "steps")]
-        flag = F.lit(None).cast("boolean")
-        mine = now.select("id", "root", "rank", "hops", "done", *none, flag.alias("ends"), F.lit(None).cast("long").alias("back"))
-        forth = now.filter("pred is not null").select(F.col("pred").alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in (("root", "long"), ("rank", "long"), ("hops", "long"), ("done", "boolean"))), F.col("root").alias("to"), F.col("rank").alias("more"), F.col("hops").alias("steps"), F.col("done").alias("ends"), F.lit(None).cast("long").alias("back"))
-        back = now.filter((F.col("hops") == span) & F.col("pred").isNotNull()).select(F.col("root").alias("id"), *(F.lit(None).cast(t).alias(c) for c, t in (("root", "long"), ("rank", "long"), ("hops", "long"), ("done", "boolean"))), *none, flag.alias("ends"), F.col("pred").alias("back"))
-        got = mine.unionByName(forth).unionByName(back).groupBy("id").agg(*(F.max(c).alias(c) for c in ("root", "rank", "hops", "done", "to", "more", "steps", "ends", "back")))
+        blank = {"root": "long", "rank": "long", "hops": "long", "done": "boolean", "to": "long", "more": "long", "steps": "long", "ends": "boolean", "back": "long"}
+
+        def message(rows: DataFrame, target: str, **told: str) -> DataFrame:
+            """A row for the element in column target that holds some columns and nothing else."""
+            return rows.select(F.col(target).alias("id"), *(F.col(told[c]).alias(c) if c in told else F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+
+        mine = message(now, "id", root="root", rank="rank", hops="hops", done="done")
+        forth = message(now.filter("pred is not null"), "pred", to="root", more="rank", steps="hops", ends="done")
+        back = message(now.filter((F.col("hops") == span) & F.col("pred").isNotNull()), "root", back="pred")
+        got = mine.unionByName(forth).unionByName(back).groupBy("id").agg(*(F.max(c).alias(c) for c in blank))
         move = ~F.col("done")
         new = keep(
             got.select(
@@ -99,4 +106,5 @@ def without_high_degrees(succ: DataFrame, degree: int = 5, tail: int = TAIL) ->
     state = past.select("id", F.col("to").alias("root"), (F.col("weight") + F.col("rank")).alias("rank"), F.lit(False).alias("done"))
     ends = own.filter("id = succ").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("rank"), F.lit(True).alias("done"))
     second = from_state(state.unionByName(ends), tail=tail)
-    return first.select("id", F.col("root").alias("top"), F.col("rank").alias("low")).join(second.withColumnRenamed("id", "top"), "top").select("id", "root", (F.col("low") + F.col("rank")).alias("rank"))
+    below = first.select("id", F.col("root").alias("top"), F.col("rank").alias("low")).join(second.withColumnRenamed("id", "top"), "top")
+    return below.select("id", "root", (F.col("low") + F.col("rank")).alias("rank"))

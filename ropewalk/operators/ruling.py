@@ -68,16 +68,21 @@ def ruling_set(
     rule: Column | None = None,
     base: Callable[[DataFrame], DataFrame] = doubling,
     block_rows: int | None = None,
+    ruler: str | None = None,
+    factor: float = 1.0,
     metrics: Metrics | None = None,
 ) -> DataFrame:
     """(id, root, rank) of lists.
 
     Rulers' walks are cut off after some rounds; what they have not reached joins the rulers' list, so the number of
     rounds is fixed and nothing is lost. That list is ranked by another level, or by base. block_rows contracts what
-    lies inside ranges of about so many ids first; the walks then go between ranges only.
+    lies inside ranges of about so many ids first; the walks then go between ranges only. ruler names a formula for
+    the number of rulers (see functions.scalars.ruler_rate), which factor scales, instead of one in every.
     """
     if block_rows is not None:
-        return contracted(succ, block_rows, base=lambda x: ruling_set(x, every, rounds, levels, rule, base, metrics=metrics), metrics=metrics)
+        return contracted(succ, block_rows, base=lambda x: ruling_set(x, every, rounds, levels, rule, base, None, ruler, factor, metrics), metrics=metrics)
+    if ruler is not None:
+        rule = rate_rule(ruler, succ.count(), succ.sparkSession.sparkContext.defaultParallelism, factor)
     if not is_list(succ):
         raise StructureError("a ruling set needs lists: an element has two predecessors")
     own = weighted(succ)

@@ -69,7 +69,7 @@ _PLANS: dict[Strategy, Callable[..., DataFrame]] = {
     Strategy.EULER_PROXIES: _euler_proxies,
 } | dict.fromkeys((Strategy.ASYNC, Strategy.RMA_PASSIVE, Strategy.RMA_FENCED, Strategy.GRID), _doubling)
 #: Options of the strategies by name; rule and metrics are for callers of the operators.
-OPTIONS = ("tail", "block_rows", "most_rows", "degree", "every", "rounds", "levels", "base")
+OPTIONS = ("tail", "block_rows", "most_rows", "degree", "every", "ruler", "factor", "rounds", "levels", "base")
 
 
 def options_of(strategy: Strategy | str) -> list[str]:

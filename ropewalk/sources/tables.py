@@ -28,14 +28,6 @@ def events_chain(spark: SparkSession, folder: str) -> DataFrame:
     return chains(read(spark, folder, "events"), "event_id", "user_id")
 
 
-def dense_path(ids: DataFrame, place: Column, at: Column) -> DataFrame:
-    """(id, succ): ids at the places 0 to n - 1, each once; at, of a place, is the id there (null: no such place).
-
-    With the id of every place a formula, no sort over all ids is needed.
-    """
-    return ids.select("id", F.coalesce(F.when(place + 1 < F.col("n"), at), F.col("id")).cast("long").alias("succ"))
-
-
 def keyed_path(ids: DataFrame, key: Column, cut: int | None = None, buckets: int = 64) -> DataFrame:
     """(id, succ): the ids as one list in order of key (unique, 0 to n - 1); cut ends a list after every key divisible by it.
 

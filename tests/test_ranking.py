@@ -181,7 +181,8 @@ def test_tail_in_one_task(spark, tail):
 def test_options(spark):
     rows = random_lists(150, 13)
     own = table(spark, rows)
-    for strategy, options in {"ruling-set": {"every": 3, "rounds": 2, "levels": 2, "block_rows": 20}, "ruling-set-inverted": {"rounds": 3}, "forest-ruling-set": {"levels": 3, "every": 2, "base": "distinct"}, "contracted": {"block_rows": 30, "base": "ruling-set"}, "euler-tour": {"degree": 2, "base": "both-ways"}, "gather": {"most_rows": 200}}.items():
+    for strategy, options in {"ruling-set": {"every": 3, "rounds": 2, "levels": 2, "block_rows": 20}, "ruling-set-inverted": {"rounds": 3}, "forest-ruling-set": {"levels": 3, "every": 2, "base": "distinct"}, "contracted": {"block_rows": 30, "base": "ruling-set"}, "euler-tour": {"degree": 2, "base": "both-ways"}, "gather": {"most_rows": 200}, "ruling-set ": {"ruler": "dehne", "factor": 0.5, "rounds": 5}}.items():
+        strategy = strategy.strip()
         lists = [(i, n, int(i != n)) for i, n, _ in rows] if strategy == "euler-tour" else rows
         assert got(rank(table(spark, lists), strategy, **options)) == walk(lists), strategy
     with pytest.raises(ValueError, match="no option every"):
