@@ -154,8 +154,11 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
     return docs.select("id", "mark", F.col("text").cast("binary").alias("text")).mapInArrow(run, COLUMNS.format(id=kind))
 
 
-def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """Deals the rows of asked by (kind, bucket), those of known (block is null) first, and gives each bucket to reply: (block, values)."""
+def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]], parts: int | None = None) -> DataFrame:
+    """Deals the rows of asked by (kind, bucket), those of known (block is null) first, and gives each bucket to reply: (block, values).
+
+    parts is the number of tasks where their size says little about their work.
+    """
     rows = asked.filter(F.col("kind") != TEXTS).select("kind", "bucket", "block", "keys", "counts")
     if known is not None:
         rows = known.select("kind", "bucket", F.lit(None).cast("bigint").alias("block"), "keys", "counts").union(rows)
@@ -166,7 +169,8 @@ def answer(asked: DataFrame, known: DataFrame | None, reply: Callable[[int, int,
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in few], t) for j, t in enumerate((pa.int8(), pa.int32(), pa.int64(), pa.binary()))], ["kind", "bucket", "block", "keys"])
         tidy()
 
-    return rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("block").asc_nulls_first()).mapInArrow(run, "kind tinyint, bucket int, block bigint, keys binary")
+    dealt = rows.repartition("kind", "bucket") if parts is None else rows.repartition(parts, "kind", "bucket")
+    return dealt.sortWithinPartitions("kind", "bucket", F.col("block").asc_nulls_first()).mapInArrow(run, "kind tinyint, bucket int, block bigint, keys binary")
 
 
 def answer_in_passing(asked: DataFrame, reply: Callable[[int, int, Iterator[dict]], Iterator[tuple[int, bytes]]]) -> DataFrame:

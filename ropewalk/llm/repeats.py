@@ -30,6 +30,7 @@ PER_BUCKET, AT_ONCE = 4 << 20, 1 << 20
 #: Contexts with one anchor in the corpus beyond which their windows are sifted first.
 HOT = 1000
 HASHES, CONTEXTS, WINDOWS, SIFTED = 0, 1, 2, 3
+MOST_TASKS = 4096  # that judge; packed contexts are small for the work they make, so their number is given
 _U = np.uint64
 _MIX = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | _U(1)
 
@@ -95,9 +96,10 @@ def union(of: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _deal(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Indexes by bucket (the hash's first bits), in order of hash."""
-    order = np.argsort(h)
-    bucket = (h[order] >> _U(64 - bits)).astype(np.int64)
+    """Indexes by bucket. Anchors are least hashes, whose first bits are far from even: the hash is mixed again."""
+    bucket = (((h ^ (h >> _U(32))) * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
         yield int(bucket[lo]), order[lo:hi]
@@ -394,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = answer(shared.filter(F.col("kind") == WINDOWS), None, repeated).withColumn("counts", F.lit(None).cast("binary"))
     sifting = seen.union(shared.filter(F.col("kind") == SIFTED).select("kind", "bucket", "block", "keys", "counts")).repartition("block").sortWithinPartitions("block", "kind", "bucket")
     sifted = sifting.mapInArrow(by_block(SIFTED, lambda held, r: _sift(held, r, bits)), kinds)
-    judged = answer(shared.filter(F.col("kind") == CONTEXTS).union(sifted), None, _judge)
+    judged = answer(shared.filter(F.col("kind") == CONTEXTS).union(sifted), None, _judge, min(1 << bits, MOST_TASKS))
     done = reassemble(with_texts(asked, judged), _cut, "removed array<struct<start:bigint,length:bigint>>, kept binary")
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["length"])
     return done.select(F.col("id").alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "removed", "kept")
