@@ -7,7 +7,6 @@ items so reach a task once per block.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -21,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import tidy
+
 #: Bytes of text after which a block ends; a longer text is a block of its own.
 BLOCK = 8 << 20
 #: Rows that hold the block itself; other kinds hold items.
@@ -28,14 +29,6 @@ TEXTS = 9
 COLUMNS = "kind tinyint, bucket int, block bigint, keys binary, counts binary, ids array<{id}>, marks array<boolean>, sizes array<bigint>"
 
 
-def tidy() -> None:
-    """Gives memory that a worker has freed back to the machine: workers live on, and share an executor's limit with its JVM."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
-    if trim is not None:
-        trim(0)
-
-
 def squeeze(x: np.ndarray | bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(x if isinstance(x, bytes) else x.tobytes())
 

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import keep as stash
 from ..plans.tables import release as unstash
 
-__all__ = ["WORD", "attach", "hash_sample", "held_out", "lower_ascii", "repeat", "stash", "unstash"]
+__all__ = ["WORD", "attach", "hash_sample", "held_out", "lower_ascii", "repeat", "stash", "tidy", "unstash"]
 
 #: The words everywhere in this package: what the separators leave.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tidy() -> None:
+    """Gives memory that a process has freed back to the machine: workers live on, and share an executor's limit with its JVM, as the driver does."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: list[str], most_rows: int = 100_000, salts: int = 64) -> DataFrame:
     """Left-joins a small table to rows whose keys may be very uneven; null keys match.
 

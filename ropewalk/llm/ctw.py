@@ -38,11 +38,10 @@ from .blocks import (
     reassemble,
     squeeze,
     texts_row,
-    tidy,
     unpack_words,
     with_texts,
 )
-from .common import held_out, stash
+from .common import held_out, stash, tidy
 
 DEPTH, SPLIT = 6, 3  # 7 at most: a gram is a 64-bit word of its context, the nearest byte first, and its symbol
 GRAMS, WORDS, TOPS = 0, 1, 2

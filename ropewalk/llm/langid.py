@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, held_out, stash, unstash
+from .common import attach, held_out, stash, tidy, unstash
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
 #: Labelled rows to learn from (about), whole, and the rows of a language to learn from at least, if it has them.
@@ -231,6 +231,8 @@ def train_on(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     net = train(parts if held is None else lambda: held, classes, total, max(EPOCHS, -(-STEPS * BATCH // count)))
     unstash(kept)
     unstash(chosen)
+    del held
+    tidy()
     return net
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import hash_sample, held_out
+from .common import hash_sample, held_out, tidy
 
 TERMS, DIMS, NEIGHBOURS, SHARPNESS = 2048, 32, 15, 20.0
 #: Labelled texts to learn from at most (and a third more): what is broadcast is bounded by it.
@@ -105,7 +105,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     got = rows.select("h", "y", _terms("text").alias("x")).orderBy("h", "y").limit(2 * sample).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(len(got), TERMS + 2)
-    return fit(x, np.array([r.y for r in got], int))
+    out = fit(x, np.array([r.y for r in got], int))
+    del got, x
+    tidy()
+    return out
 
 
 def score_quality(docs: DataFrame, voters: Voters, text_col: str = "text") -> DataFrame:

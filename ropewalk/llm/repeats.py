@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, tidy, unpack_words, with_texts
-from .common import stash
+from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .common import stash, tidy
 
 LENGTH, GRAM = 100, 32
 #: Bytes of the corpus for each bucket of anchors, which bounds what a task holds; bytes of contexts judged at once.
