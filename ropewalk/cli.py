@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from .functions.scalars import RULERS
 from .operators import stats
 from .operators.prefix import partition_sizes, rebalance, size_stats
+from .plans.fixpoint import Metrics
 from .plans.ranking import OPTIONS, Strategy, timed
 from .plans.report import row_of, spread, write_report
 from .plans.tables import keep
@@ -73,7 +74,8 @@ def run(spark: SparkSession, o: Options) -> dict:
     """Generates or reads, ranks, verifies and reports; raises on a mismatch unless told to go on."""
     raw = from_spec(spark, o.input, o.input_processing) if "type=" in o.input else spark.read.parquet(o.input)
     succ = keep(rebalance(raw, spark.sparkContext.defaultParallelism))
-    ranked, seconds = timed(succ, o.algorithm, o.iterations, **o.of_algorithm)
+    rounds = Metrics()
+    ranked, seconds = timed(succ, o.algorithm, o.iterations, rounds, **o.of_algorithm)
     ranked = keep(ranked)
     wrong = 0
     if o.verify_level > 0:
@@ -85,6 +87,7 @@ def run(spark: SparkSession, o: Options) -> dict:
         "input": row_of(size_stats(partition_sizes(succ))),
         "seconds": seconds,
         "ranking": spread(seconds),
+        "rounds": {"number": rounds.rounds, "active": rounds.active, "seconds": spread(rounds.seconds), **rounds.more},
         "wrong": wrong,
         "stats": row_of(stats.stats(ranked, o.statistics_level)),
     }

@@ -60,6 +60,20 @@ def unreached(succ: DataFrame, chosen: DataFrame, reached: DataFrame) -> DataFra
     return succ.filter("id != succ").select("id").join(reached.select("id").unionByName(chosen), "id", "left_anti")
 
 
+def walk_stats(succ: DataFrame, chosen: DataFrame, rounds: int | None) -> DataFrame:
+    """One row: num_rulers, num_leaves, num_reached, num_unreached, small (what is left to rank) and rounds of walks."""
+    metrics, own = Metrics(), weighted(succ)
+    reached, _ = walk(own, chosen, rounds, metrics)
+    heads = leaves(own, proper_only=True)
+    counts = [(chosen, "num_rulers"), (heads, "num_leaves"), (reached, "num_reached"), (unreached(own, chosen, reached), "num_unreached"), (own.filter("id = succ"), "roots")]
+    out = None
+    for df, name in counts:
+        one = df.agg(F.count(F.lit(1)).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    small = (F.col("num_rulers") + F.col("num_unreached") + F.col("roots")).alias("small")
+    return out.select("num_rulers", "num_leaves", "num_reached", "num_unreached", small, F.lit(metrics.rounds).cast("long").alias("rounds"))
+
+
 def ruling_set(
     succ: DataFrame,
     every: int = 4,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import doubling as d
 from ..operators import forest, gather, ruling
 from ..schema import validate
+from .fixpoint import Metrics
 
 
 class Strategy(str, Enum):
@@ -38,12 +39,12 @@ class Strategy(str, Enum):
     GRID = "grid-doubling"
 
 
-def _distinct(succ: DataFrame, tail: int = d.TAIL) -> DataFrame:
-    return d.doubling(succ, distinct_first=True, tail=tail)
+def _distinct(succ: DataFrame, tail: int = d.TAIL, metrics: Metrics | None = None) -> DataFrame:
+    return d.doubling(succ, distinct_first=True, tail=tail, metrics=metrics)
 
 
-def _doubling(succ: DataFrame, tail: int = d.TAIL) -> DataFrame:
-    return d.doubling(succ, tail=tail)
+def _doubling(succ: DataFrame, tail: int = d.TAIL, metrics: Metrics | None = None) -> DataFrame:
+    return d.doubling(succ, tail=tail, metrics=metrics)
 
 
 def _euler_proxies(succ: DataFrame, degree: int = 16, base: Callable[[DataFrame], DataFrame] = d.doubling) -> DataFrame:
@@ -101,24 +102,27 @@ def choose(succ: DataFrame, block_rows: int = gather.BLOCK_ROWS, near: float = 0
     return Strategy.RULING_SET if most <= 1 and cost.ruling < cost.doubling / 2 else Strategy.DOUBLING
 
 
-def rank(succ: DataFrame, strategy: Strategy | str = Strategy.AUTO, check: bool = True, **options: Any) -> DataFrame:
+def rank(succ: DataFrame, strategy: Strategy | str = Strategy.AUTO, check: bool = True, metrics: Metrics | None = None, **options: Any) -> DataFrame:
     """(id, root, rank) of (id, succ[, weight]): each element's root and its distance to it.
 
     Roots point at themselves. check looks for repeated ids and lost successors first; cycles are found in any case.
     options are the strategy's (see options_of); base, which ranks what a strategy has reduced, may be a strategy too.
+    metrics is filled by strategies that work in rounds.
     """
     succ = validate(succ) if check else succ
     strategy = Strategy(strategy)
     if strategy is Strategy.AUTO:
-        strategy = choose(succ)
+        strategy, options = choose(succ), {}
     elif unknown := set(options) - set(options_of(strategy)):
         raise ValueError(f"{strategy.value} has no option {', '.join(sorted(unknown))}; it has: {', '.join(options_of(strategy)) or 'none'}")
     else:
         base = options.get("base")
         if isinstance(base, str):
             options["base"] = lambda x: rank(x, base, check=False)
-        return _PLANS[strategy](succ, **options)
-    return _PLANS[strategy](succ)
+    plan = _PLANS[strategy]
+    if metrics is not None and "metrics" in inspect.signature(plan).parameters:
+        options["metrics"] = metrics
+    return plan(succ, **options)
 
 
 @dataclass(frozen=True)
@@ -141,12 +145,12 @@ def estimate(n: int, longest: int, every: int = 4, rounds: int = 6) -> Estimate:
     return Estimate(2.0 * n * steps, 2.0 * n / every * sum(going[:-1]) + 2.0 * small * max(1, (longest // 2).bit_length()) + 2.0 * n)
 
 
-def timed(succ: DataFrame, strategy: Strategy | str, iterations: int = 1, **options: Any) -> tuple[DataFrame, list[float]]:
-    """The ranking and the seconds of each of some runs to their end."""
+def timed(succ: DataFrame, strategy: Strategy | str, iterations: int = 1, metrics: Metrics | None = None, **options: Any) -> tuple[DataFrame, list[float]]:
+    """The ranking and the seconds of each of some runs to their end; metrics is of all of them."""
     seconds, out = [], None
     for _ in range(iterations):
         began = time.perf_counter()
-        out = rank(succ, strategy, check=False, **options)
+        out = rank(succ, strategy, check=False, metrics=metrics, **options)
         out.write.format("noop").mode("overwrite").save()
         seconds.append(time.perf_counter() - began)
     return out, seconds

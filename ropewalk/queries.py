@@ -327,6 +327,15 @@ def unreached_nodes(s: SparkSession, d: str) -> DataFrame:
     return ruling.unreached(own, chosen, ruling.walk(own, chosen, rounds=2)[0])
 
 
+@query(
+    _RULED
+    + """ SELECT count(*) FILTER (WHERE ruler) AS num_rulers, CAST(1 AS BIGINT) AS num_leaves, count(*) FILTER (WHERE NOT ruler AND k < n - 1 AND k - rk <= 2) AS num_reached,
+  count(*) FILTER (WHERE NOT ruler AND k < n - 1 AND k - rk > 2) AS num_unreached, count(*) FILTER (WHERE ruler OR k = n - 1 OR k - rk > 2) AS small, CAST(2 AS BIGINT) AS rounds FROM l"""
+)
+def walk_stats(s: SparkSession, d: str) -> DataFrame:
+    return ruling.walk_stats(*_rulers(s, d), rounds=2)
+
+
 @query(
     _RULED
     + """, g AS (SELECT rk, count(*) FILTER (WHERE NOT ruler AND k < n - 1) + 1 AS m FROM l GROUP BY rk)

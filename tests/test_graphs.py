@@ -157,5 +157,7 @@ def test_command_line_options(spark, tmp_path):
     for more in (["ruling-set", "--every", "3", "--rounds", "2", "--base", "distinct", "--block-rows", "20"], ["doubling", "--tail", "0"], ["contracted", "--block-rows", "10"], ["forest-ruling-set", "--levels", "2"]):
         report = cli.run(spark, cli.parse(["--input", "type=path;n=60;permute=true", "--output-file", out, "--algorithm", *more]))
         assert report["wrong"] == 0 and report["stats"]["max_rank"] == 59
+        assert report["rounds"]["number"] == len(report["rounds"]["active"])
+        assert (report["rounds"]["number"] > 3) == (more[0] == "doubling")
     with pytest.raises(ValueError, match="has no option"):
         cli.run(spark, cli.parse(["--input", "type=path;n=60", "--output-file", out, "--algorithm", "doubling", "--every", "3"]))
