@@ -26,6 +26,7 @@ from .common import tidy
 BLOCK = 8 << 20
 #: Rows that hold the block itself; other kinds hold items.
 TEXTS = 9
+ROW = [("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]
 COLUMNS = "kind tinyint, bucket int, block bigint, keys binary, counts binary, ids array<{id}>, marks array<boolean>, sizes array<bigint>"
 
 
@@ -129,7 +130,8 @@ def dictionaries(docs: DataFrame, items: Callable[[Block], Iterator[tuple[int, i
             return pa.RecordBatch.from_pylist(made, schema)
 
         for b in batches:
-            schema = schema or pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(b.schema.field("id").type)), ("marks", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
+            lists = {"ids": b.schema.field("id").type, "marks": pa.bool_(), "sizes": pa.int64()}
+            schema = schema or pa.schema([*ROW, *((c, pa.list_(t)) for c, t in lists.items())])
             for i, mark, text in zip(b.column("id"), b.column("mark"), b.column("text"), strict=True):
                 text = fold(text.as_py())
                 if part.texts and n + len(text) > block:

@@ -186,9 +186,11 @@ def merge(asked: DataFrame) -> DataFrame:
                 tops = [np.concatenate(x) for x in zip(*Trees(keys, counts).summary, strict=True)]
                 yield TOPS, bucket, squeeze(tops[0].astype(np.int64)), squeeze(np.concatenate(tops[1:]).astype(float)), len(tops[0]), 0
 
+    schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("items", pa.int64()), ("total", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in reply(_grouped(batches, ("kind", "bucket"))):
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["kind", "bucket", "keys", "counts", "items", "total"])
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True))], schema)
         tidy()
 
     rows = asked.filter(F.col("kind").isin(GRAMS, WORDS)).select("kind", "bucket", "keys", "counts")

@@ -188,10 +188,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, _, size = windows([data[start : start + WINDOW * _BATCH]])
                 place = np.arange(len(x), dtype=np.uint64) + np.uint64(start // WINDOW + 1)
                 k = (np.uint64(h % (1 << 64)) ^ place * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((k ^ (k >> np.uint64(32))).view(np.int64)), pa.array(np.full(len(x), c, np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()), pa.array(size.astype(np.int32))],
-                    ["k", "class", "x", "size"],
-                )
+                places = pa.array((k ^ (k >> np.uint64(32))).view(np.int64))
+                data_of = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+                columns = [places, pa.array(np.full(len(x), c, np.int32)), data_of, pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "class", "x", "size"])
 
 
 def _join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

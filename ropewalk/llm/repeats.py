@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
+from .blocks import ROW, TEXTS, Block, _batched, _grouped, answer, dictionaries, expand, from_planes, pack_words, planes, read_texts, reassemble, squeeze, texts_row, unpack_words, with_texts
 from .common import stash, tidy
 
 LENGTH, GRAM = 100, 32
@@ -375,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Gives each block's rows to parts when that of kind last, which comes after all others, is there."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+            schema = pa.schema(ROW)
             for block, group in _grouped(batches, ("block",)):
                 held: dict[tuple[int, int], bytes] = {}
                 for r in group:
