@@ -55,11 +55,13 @@ def euler_tour(succ: DataFrame, proxies: DataFrame | None = None) -> DataFrame:
     step = F.coalesce("next", F.when(F.col("inner") == 1, F.col("first")))
     element = F.when(F.col("u_above"), 2 * F.col("v") + 1).otherwise(2 * F.col("u"))
     after = F.when(step.isNull() | step["u_above"], 2 * F.col("v")).otherwise(2 * step["u"] + 1)
-    tour = turns.select(element.alias("id"), after.alias("succ"), F.when(F.col("u_above"), -1).otherwise(1).cast("long").alias("weight"), (~F.col("u_above")).alias("is_up"), F.col("u").alias("v"), F.col("v").alias("u"))
+    down, weight = F.col("u_above"), F.when(F.col("u_above"), -1).otherwise(1).cast("long")
+    tour = turns.select(element.alias("id"), after.alias("succ"), weight.alias("weight"), (~down).alias("is_up"), F.col("u").alias("v"), F.col("v").alias("u"))
     if proxies is not None:
         zero = proxies.select(F.when(F.lit(True), F.array(2 * F.col("id"), 2 * F.col("id") + 1)).alias("ids")).select(F.explode("ids").alias("id"), F.lit(True).alias("still"))
         tour = tour.join(zero, "id", "left").withColumn("weight", F.when(F.col("still"), 0).otherwise(F.col("weight")).cast("long")).drop("still")
-    ends = succ.filter("id = succ").select((2 * F.col("id")).alias("id"), (2 * F.col("id")).alias("succ"), F.lit(0).cast("long").alias("weight"), F.lit(False).alias("is_up"), F.col("id").alias("v"), F.col("id").alias("u"))
+    end, none = 2 * F.col("id"), F.lit(0).cast("long")
+    ends = succ.filter("id = succ").select(end.alias("id"), end.alias("succ"), none.alias("weight"), F.lit(False).alias("is_up"), F.col("id").alias("v"), F.col("id").alias("u"))
     return tour.unionByName(ends)
 
 

@@ -44,7 +44,9 @@ def pack(succ: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = dense_ids(active)
     own = succ.join(names, "id").select("dense", "succ", "weight")
     to = names.select(F.col("id").alias("succ"), F.col("dense").alias("to"))
-    packed = own.join(to, "succ", "left").select(F.col("dense").alias("id"), F.coalesce("to", "dense").alias("succ"), F.when(F.col("to").isNull() | (F.col("to") == F.col("dense")), F.lit(0)).otherwise(F.col("weight")).cast("long").alias("weight"))
+    root = F.col("to").isNull() | (F.col("to") == F.col("dense"))
+    weight = F.when(root, F.lit(0)).otherwise(F.col("weight")).cast("long")
+    packed = own.join(to, "succ", "left").select(F.col("dense").alias("id"), F.coalesce("to", "dense").alias("succ"), weight.alias("weight"))
     return packed, names
 
 
@@ -70,8 +72,10 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Every common range begins where a range of either side begins, so the begins alone are merged and filled forward.
     """
-    marks = left.select("low", "high", F.col("part").alias("l"), F.lit(None).cast("long").alias("r")).unionByName(right.select("low", "high", F.lit(None).cast("long").alias("l"), F.col("part").alias("r")))
-    begins = marks.groupBy("low").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max(F.when(F.col("l").isNotNull(), F.col("high"))).alias("lh"), F.max(F.when(F.col("r").isNotNull(), F.col("high"))).alias("rh"))
+    none, part = F.lit(None).cast("long"), F.col("part")
+    marks = left.select("low", "high", part.alias("l"), none.alias("r")).unionByName(right.select("low", "high", none.alias("l"), part.alias("r")))
+    high = [F.max(F.when(F.col(side).isNotNull(), F.col("high"))).alias(f"{side}h") for side in ("l", "r")]
+    begins = marks.groupBy("low").agg(F.max("l").alias("l"), F.max("r").alias("r"), *high)
     line = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
     filled = begins.select("low", *(F.last(c, ignorenulls=True).over(line).alias(c) for c in ("l", "r", "lh", "rh")))
     return filled.select("l", "r", "low", F.least("lh", "rh").alias("high")).filter("low < high")

@@ -119,12 +119,22 @@ def from_spec(spark: SparkSession, spec: str, processing: str = "none") -> DataF
     if kind == "path":
         return path(spark, n, o.get("permute", "false") == "true", float(o.get("permutation_prob", 1)), float(o.get("p", 1)), seed)
     ids = _ids(spark, n)
-    trees = {"star": lambda: star(ids), "tailed-star": lambda: tailed_star(ids), "caterpillar": lambda: caterpillar(ids, int(o.get("legs", 1))), "stars": lambda: stars(ids, int(o.get("roots", 10))), "random-tree": lambda: random_tree(spark, n, seed)}
+    trees = {
+        "star": lambda: star(ids),
+        "tailed-star": lambda: tailed_star(ids),
+        "caterpillar": lambda: caterpillar(ids, int(o.get("legs", 1))),
+        "stars": lambda: stars(ids, int(o.get("roots", 10))),
+        "random-tree": lambda: random_tree(spark, n, seed),
+    }
     if kind in trees:
         forest = trees[kind]()
     else:
         m = int(o.get("m", 4 * n))
-        graphs = {"gnm-undirected": lambda: gnm(spark, n, m, seed), "rmat": lambda: rmat(spark, max(1, (n - 1).bit_length()), m, seed=seed), "rgg2d": lambda: rgg2d(spark, n, float(o.get("r", 2 / math.sqrt(max(4, n)))), seed)}
+        graphs = {
+            "gnm-undirected": lambda: gnm(spark, n, m, seed),
+            "rmat": lambda: rmat(spark, max(1, (n - 1).bit_length()), m, seed=seed),
+            "rgg2d": lambda: rgg2d(spark, n, float(o.get("r", 2 / math.sqrt(max(4, n)))), seed),
+        }
         edges, vertices = graphs[kind](), spark.range(1 << max(1, (n - 1).bit_length()) if kind == "rmat" else n)
         if processing == "none":
             return edges_to_succ(edges, vertices)

@@ -53,7 +53,9 @@ def combined(*tables: DataFrame) -> DataFrame:
 
 def summary(rows: DataFrame, by: list[str], value: str, least: int = 1) -> DataFrame:
     """rows counted, their files, and mean, least and largest value for each group of at least least rows."""
-    agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("nrows"), F.concat_ws(",", F.sort_array(F.collect_set("file"))).alias("files"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    files = F.concat_ws(",", F.sort_array(F.collect_set("file")))
+    values = F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest")
+    agg = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("nrows"), files.alias("files"), *values)
     return agg.filter(F.col("nrows") >= least)
 
 
