@@ -12,6 +12,10 @@ from ..plans.tables import keep, release
 from .components import components
 
 
+#: Tables of levels beside each other, at least, before two become one.
+MANY = 16
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
     return edges.unionByName(back)
@@ -60,7 +64,7 @@ def bfs(edges: DataFrame, starts: DataFrame, edge_pred: Column | None = None, ma
         found = now.select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         new = keep(found.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("long").alias("level")))
         visited.append((n, now))
-        while len(visited) > 4 and visited[-2][0] <= 2 * visited[-1][0]:
+        while len(visited) > MANY and visited[-2][0] <= 2 * visited[-1][0]:
             (few, a), (more, b) = visited.pop(), visited.pop()
             visited.append((few + more, keep(a.unionByName(b))))
             release(a)
