@@ -43,6 +43,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     if held:
         ids, succ, weight, top, end = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "succ", "weight", "top", "end"))
+        if (~end & (ids == succ)).any():
+            raise StructureError("elements reach no root: the structure has a cycle")
         anchor, rank, root = chase(ids, succ, np.where(end, 0, weight))
         if not root.all():
             raise StructureError("a successor is no id")

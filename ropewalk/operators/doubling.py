@@ -2,39 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import Metrics, round_limit, shrink
+from ..plans.fixpoint import Contraction, Metrics, round_limit, shrink
 from ..plans.tables import keep, release
 from ..schema import StructureError, weighted
 from .chase import finish
-from .lookups import ask
+from .lookups import ask, meet
 from .predicates import init_state
 
 
 #: Active elements, at most, that one task finishes; 0: rounds to the end.
 TAIL = 1 << 18
+#: Active elements, at most, that are no longer worth taking out (see plans.fixpoint.Contraction).
+LEAST = 1 << 18
 
 
-def _step(active: DataFrame, everything: DataFrame, distinct_first: bool, unit: bool) -> DataFrame:
+def _step(active: DataFrame, everything: DataFrame, left: int, distinct_first: bool, unit: bool) -> DataFrame:
     """An inner join, so that few active rows may be broadcast to all others; rows it loses are noticed by their count."""
     rank = F.when(F.col("done"), F.col("rank")) if unit else F.col("rank")
     replies = everything.select(F.col("id").alias("root"), F.col("root").alias("next"), rank.alias("more"), F.col("done").alias("ends"))
-    if distinct_first:
-        replies = active.select("root").distinct().join(replies, "root")
-    found = active.drop("done").join(replies, "root")
+    found = meet(active.drop("done"), replies, "root", left, distinct_first)
     rank = F.when(F.col("ends"), F.col("rank") + F.col("more")).otherwise(F.col("rank") * 2) if unit else F.col("rank") + F.col("more")
     return found.select("id", F.col("next").alias("root"), rank.alias("rank"), F.col("ends").alias("done"))
 
 
+def _coin(element: str, level: int) -> Column:
+    return F.xxhash64(element, F.lit(level)).bitwiseAND(F.lit(1)) == 1
+
+
+def _shorten(active: DataFrame, level: int, rows: int, hot: bool) -> DataFrame:
+    """Takes out elements of coin 0 that point at one of coin 1, a quarter, and leads what points at them past them.
+
+    What they point at stays, so none of them waits for another. Rows that don't change are not shuffled.
+    """
+    own, to = _coin("id", level), _coin("root", level)
+    same = active.filter(own & to)
+    asking = active.filter(~to).select("id", "root", "rank")
+    gone = active.filter(~own & to).select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("rank").alias("more"))
+    past = meet(asking, gone, "root", rows, hot, "left")
+    moved = past.select("id", F.coalesce("next", "root").alias("root"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"), F.lit(False).alias("done"))
+    return same.select("id", "root", "rank", "done").unionByName(moved)
+
+
+def _expand(active: DataFrame, done: DataFrame, level: int, rows: int, hot: bool) -> DataFrame:
+    """The last state of the elements that a level took out: what they point at has its own by now."""
+    gone = active.filter(~_coin("id", level) & _coin("root", level)).select("id", "root", "rank")
+    replies = done.filter(_coin("id", level)).select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("rank").alias("more"))
+    return meet(gone, replies, "root", rows, hot).select("id", F.col("next").alias("root"), (F.col("rank") + F.col("more")).alias("rank"), F.lit(True).alias("done"))
+
+
 def from_state(state: DataFrame, distinct_first: bool = False, unit: bool = False, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
     """Of (id, root, rank, done): (id, root, rank) when all are done."""
-    return shrink(state, lambda a, e: _step(a, e, distinct_first, unit), metrics=metrics, tail=tail, finish=finish).select("id", "root", "rank")
+    contracted = []
+
+    def shorten(active: DataFrame, level: int, rows: int) -> DataFrame:
+        contracted.append(level)
+        return _shorten(active, level, rows, distinct_first)
+
+    contraction = Contraction(shorten, lambda a, d, k, n: _expand(a, d, k, n, distinct_first), least=LEAST)
+    step = lambda a, e, n: _step(a, e, n, distinct_first, unit and not contracted)
+    return shrink(state, step, metrics=metrics, tail=tail, finish=finish, contraction=contraction).select("id", "root", "rank")
 
 
 def doubling(succ: DataFrame, distinct_first: bool = False, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
-    """(id, root, rank). One self-join a round, about log2 of the longest path rounds.
+    """(id, root, rank). One self-join a round, about log2 of the longest path rounds; on long paths of many elements
+    four of them, after which a quarter of the elements at a time is taken out and put back at the end.
 
     Elements that have reached their root are asked but ask no more; when tail or fewer still ask, one task finishes
     them. distinct_first sends each pointer once: a semi-join reduction that pays on trees of high degree.

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[tuple[SparkSession, str]] = []
 
+#: Rows of a file, at most: a split takes a file as 4 MB at least, so a task's rows are bounded however well they compress.
+FILE_ROWS = 1 << 18
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which the driver and all executors share; a temporary folder only in local mode, where it is unset."""
@@ -52,7 +55,7 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ropewalk-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
     (writer.partitionBy(by) if by else writer).parquet(path)
     _own.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from ropewalk.operators import forest, gather, lookups, predicates, ruling, stats
+from ropewalk.operators import doubling as dbl
 from ropewalk.operators.doubling import doubling
 from ropewalk.plans.fixpoint import Metrics
 from ropewalk.plans.ranking import Strategy, choose, estimate, options_of, rank
@@ -212,3 +213,25 @@ def test_dense_ids_of_uneven_ids(spark):
     ids = spark.createDataFrame([(i,) for i in own], "id bigint")
     assert sorted(map(tuple, lookups.dense_ids(ids, 8).collect())) == [(i, k) for k, i in enumerate(own)]
     assert lookups.dense_ids(ids.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_elements_taken_out_and_put_back(spark, monkeypatch, distinct):
+    monkeypatch.setattr(dbl, "LEAST", 40)
+    monkeypatch.setattr(lookups, "FEW", 0)
+    rows, m = [(i * 7, (i + 1) * 7 if i < 99 else i * 7, (i % 3) * int(i < 99)) for i in range(100)] + [(10_000 + i, (i % 2) * 7, 2) for i in range(40)], Metrics()
+    assert got(doubling(table(spark, rows), distinct, tail=30, metrics=m)) == walk(rows)
+    assert m.more["contracted_levels"] > 2
+
+
+def test_pairs_in_a_circle_raise(spark):
+    with pytest.raises(Exception, match="cycle"):
+        doubling(table(spark, [(i, i ^ 1, 1) for i in range(8)] + [(9, 9, 0)] + [(10 + i, 9 + i, 1) for i in range(10)]), tail=12).collect()
+
+
+def test_gather_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(gather, "BLOCK_ROWS", 50)
+    rows = random_forest(120, 14, (1, 2))
+    assert got(gather.gather(table(spark, rows))) == walk(rows)
+    with pytest.raises(Exception, match="is no id"):
+        gather.gather(table(spark, [*rows, (100_000, 100_001, 1)])).collect()
