@@ -39,11 +39,16 @@ def local_chase(succ: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(_contract, "id bigint, root bigint, rank bigint, done boolean")
 
 
-def gather(succ: DataFrame, most_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, root, rank) in one task; refuses more than most_rows rows."""
-    n = succ.limit(most_rows + 1).count()
-    if n > most_rows:
+def gather(succ: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """(id, root, rank) in one task.
+
+    More than BLOCK_ROWS rows are ranked in as many tasks as that needs, and between them (see contracted); where
+    most_rows is given, more than that are refused.
+    """
+    if most_rows is not None and succ.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} rows for one task")
+    if most_rows is None and succ.count() > BLOCK_ROWS:
+        return contracted(succ, BLOCK_ROWS)
     lost = F.when(F.col("done"), F.col("root")).otherwise(F.raise_error(F.format_string("successor %s is no id", "root")).cast("long"))
     return local_chase(succ, 1).select("id", lost.alias("root"), "rank")
 
@@ -62,12 +67,13 @@ def contracted(succ: DataFrame, block_rows: int = BLOCK_ROWS, base: Callable[[Da
     metrics.more["entries"] = entries.count()
     if not metrics.more["entries"]:
         return local.select("id", "root", "rank")
-    state = local.join(entries, "id")
+    state = local.join(entries.hint("merge"), "id")
     if base is None:
         ranked = from_state(state, tail=tail, metrics=metrics)
     else:
         steps = state.select("id", F.col("root").alias("succ"), F.col("rank").alias("weight"))
         roots = state.filter("done").select(F.col("root").alias("id"), F.col("root").alias("succ"), F.lit(0).cast("long").alias("weight")).distinct()
         ranked = keep(base(keep(steps.filter("id != succ").unionByName(roots))))
-    far = out.select("id", F.col("root").alias("at"), F.col("rank").alias("near")).join(ranked.withColumnRenamed("id", "at"), "at")
-    return local.filter("done").select("id", "root", "rank").unionByName(far.select("id", "root", (F.col("near") + F.col("rank")).alias("rank")))
+    far = out.select("id", F.col("root").alias("at"), F.col("rank").alias("near")).join(ranked.withColumnRenamed("id", "at").hint("merge"), "at", "left")
+    lost = F.coalesce("root", F.raise_error(F.format_string("successor %s is no id", "at")).cast("long")).alias("root")
+    return local.filter("done").select("id", "root", "rank").unionByName(far.select("id", lost, (F.col("near") + F.col("rank")).alias("rank")))
