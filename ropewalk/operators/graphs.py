@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,8 +82,15 @@ def bfs_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def lightest_edge_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, succ): every vertex points along its lightest edge (ties: least neighbour); of two that point at each other the smaller is a root."""
-    pick = edges.groupBy(F.col("src").alias("id")).agg(F.min(F.struct("weight", "dst")).alias("e")).select("id", F.col("e.dst").alias("to"), F.col("e.weight").alias("w"))
+    """(id, succ): every vertex points along its lightest edge (ties: least neighbour); of two that point at each other the smaller is a root.
+
+    Weight and neighbour, which is not negative, are one number of 38 digits, so that the least is found by a hash
+    table of the vertices; with a structure Spark sorts the edges first.
+    """
+    wide, base = "decimal(38,0)", F.lit(Decimal(1 << 63)).cast("decimal(19,0)")
+    both = (F.col("weight").cast("long").cast("decimal(19,0)") * base).cast(wide) + F.col("dst").cast("decimal(19,0)")
+    least = edges.groupBy(F.col("src").alias("id")).agg(F.min(both.cast(wide)).alias("e"))
+    pick = keep(least.select("id", F.pmod(F.col("e"), base.cast(wide)).cast("long").alias("to")))
     own = vertices.join(pick, "id", "left")
     back = pick.select(F.col("id").alias("to"), F.col("to").alias("back"))
     mutual = (F.col("back") == F.col("id")) & (F.col("id") < F.col("to"))

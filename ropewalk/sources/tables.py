@@ -73,13 +73,17 @@ def recursive_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PART = 10_000_000
+#: Rows of lineitem that a task joins and tells apart. Spark would put parts together by their compressed bytes.
+TASK_ROWS = 500_000
 
 
 def purchases(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Edges (src, dst, weight), both ways, between customers and the parts they ordered, and vertices (id)."""
     items = read(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ROWS))
+    items = items.repartition(tasks, "o_orderkey")
     own = read(spark, folder, "orders").select("o_orderkey", "o_custkey").join(items, "o_orderkey")
-    pairs = own.select(F.col("o_custkey").cast("long").alias("c"), F.col("l_partkey").cast("long").alias("p")).distinct()
+    pairs = own.select(F.col("o_custkey").cast("long").alias("c"), F.col("l_partkey").cast("long").alias("p")).repartition(tasks, "c", "p").distinct()
     weight = ((F.col("c") * 31 + F.col("p") * 17) % 1009).alias("weight")
     there = pairs.select(F.col("c").alias("src"), (F.col("p") + PART).alias("dst"), weight)
     back = pairs.select((F.col("p") + PART).alias("src"), F.col("c").alias("dst"), weight)

@@ -11,7 +11,7 @@ from ropewalk.operators.components import components
 from ropewalk.plans.ranking import rank
 from ropewalk.plans.report import row_of, spread, write_report
 from ropewalk.sources import generators as gen
-from ropewalk.sources import logs
+from ropewalk.sources import logs, tables
 from ropewalk.streaming.chains import GrowingForest
 
 
@@ -161,3 +161,28 @@ def test_command_line_options(spark, tmp_path):
         assert (report["rounds"]["number"] > 3) == (more[0] == "doubling")
     with pytest.raises(ValueError, match="has no option"):
         cli.run(spark, cli.parse(["--input", "type=path;n=60", "--output-file", out, "--algorithm", "doubling", "--every", "3"]))
+
+
+def test_lightest_edges_without_a_sort(spark):
+    top = (1 << 63) - 1
+    rows = [(1, 2, -5), (1, 3, -5), (1, 4, 7), (2, 1, -5), (3, 1, top), (3, top, -top - 1), (4, 1, 7), (4, 5, 0), (5, top, top), (top, 3, -top - 1)]
+    edges, vertices = spark.createDataFrame(rows, "src long, dst long, weight long"), spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, top)], "id long")
+    plans, plain = [], graphs.keep
+    graphs.keep = lambda df: plans.append(df._jdf.queryExecution().toString()) or plain(df)
+    try:
+        found = {tuple(r) for r in graphs.lightest_edge_forest(edges, vertices).collect()}
+    finally:
+        graphs.keep = plain
+    assert found == {(1, 1), (2, 1), (3, 3), (4, 5), (5, top), (6, 6), (top, 3)}
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_purchases_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(2000).selectExpr("id % 400 AS l_orderkey", "id % 90 AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(90).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    edges, vertices = tables.purchases(spark, str(tmp_path))
+    assert {(r.src, r.dst) for r in edges.collect() if r.src < 7} == {(i % 400 % 7, i % 90 + tables.PART) for i in range(2000)}
+    assert edges.rdd.getNumPartitions() == 40 and vertices.count() == 97
