@@ -67,7 +67,7 @@ def euler_tour(succ: DataFrame, proxies: DataFrame | None = None) -> DataFrame:
 
 def from_tour(ranked: DataFrame, tour: DataFrame, succ: DataFrame, proxies: DataFrame | None = None) -> DataFrame:
     """(id, root, rank) of the forest's vertices from the ranked tour."""
-    steps = tour.filter("is_up").select("id", "v").join(ranked, "id").select(F.col("v").alias("id"), F.expr("root div 2").alias("root"), "rank")
+    steps = tour.filter("is_up").select("id", "v").join(ranked.hint("merge"), "id").select(F.col("v").alias("id"), F.expr("root div 2").alias("root"), "rank")
     steps = steps if proxies is None else steps.join(proxies.select("id"), "id", "left_anti")
     return steps.unionByName(succ.filter("id = succ").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("rank")))
 

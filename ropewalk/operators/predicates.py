@@ -26,7 +26,7 @@ def leaves(succ: DataFrame, proper_only: bool = False) -> DataFrame:
     """Elements that no other points to; an isolated root is one unless proper_only."""
     pointed = succ.filter("succ != id").select(F.col("succ").alias("id")).distinct()
     own = succ.filter("succ != id") if proper_only else succ
-    return own.select("id").join(pointed, "id", "left_anti")
+    return own.select("id").join(pointed.hint("merge"), "id", "left_anti")
 
 
 def in_degrees(succ: DataFrame) -> DataFrame:

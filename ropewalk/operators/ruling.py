@@ -13,6 +13,7 @@ from ..plans.tables import keep
 from ..schema import StructureError, weighted
 from .doubling import doubling
 from .gather import contracted
+from .lookups import meet
 from .predicates import is_list, leaves, reverse_list
 
 
@@ -34,16 +35,17 @@ def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metric
     ended its walk, or to where it stands when the rounds are over. Without rounds all walk to their ends.
     """
     metrics = metrics if metrics is not None else Metrics()
-    nodes = keep(weighted(succ).join(chosen.withColumn("stop", F.lit(True)), "id", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) | (F.col("id") == F.col("succ"))))
-    front = nodes.join(chosen, "id").filter("id != succ").select(F.col("succ").alias("target"), F.col("id").alias("ruler"), F.col("weight").alias("dist"))
+    nodes = keep(weighted(succ).join(chosen.withColumn("stop", F.lit(True)).hint("merge"), "id", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) | (F.col("id") == F.col("succ"))))
+    front, going = nodes.join(chosen.hint("merge"), "id").filter("id != succ").select(F.col("succ").alias("target"), F.col("id").alias("ruler"), F.col("weight").alias("dist")), chosen.count()
     reached, links = [], []
     for _ in range(max(1, nodes.count()) if rounds is None else rounds):
-        now = keep(front.join(nodes.withColumnRenamed("id", "target"), "target"), "stop")
+        now = keep(meet(front, nodes.withColumnRenamed("id", "target"), "target", going), "stop")
         links.append(now.filter("stop").select(F.col("ruler").alias("id"), F.col("target").alias("succ"), F.col("dist").alias("weight")))
         on = now.filter("not stop")
         reached.append(on.select(F.col("target").alias("id"), "ruler", "dist"))
         front = on.select(F.col("succ").alias("target"), "ruler", (F.col("dist") + F.col("weight")).alias("dist"))
-        metrics.active.append(on.count())
+        going = on.count()
+        metrics.active.append(going)
         if not metrics.active[-1]:
             break
     links.append(front.select(F.col("ruler").alias("id"), F.col("target").alias("succ"), F.col("dist").alias("weight")))
@@ -57,7 +59,7 @@ def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metric
 
 def unreached(succ: DataFrame, chosen: DataFrame, reached: DataFrame) -> DataFrame:
     """Elements, no roots, that no walk passed and that are no rulers."""
-    return succ.filter("id != succ").select("id").join(reached.select("id").unionByName(chosen), "id", "left_anti")
+    return succ.filter("id != succ").select("id").join(reached.select("id").unionByName(chosen).hint("merge"), "id", "left_anti")
 
 
 def walk_stats(succ: DataFrame, chosen: DataFrame, rounds: int | None) -> DataFrame:
@@ -102,12 +104,12 @@ def ruling_set(
     own = weighted(succ)
     chosen = keep(rulers(own, rule if rule is not None else hash_rule(every)))
     reached, links = walk(own, chosen, rounds, metrics)
-    rest = own.join(unreached(own, chosen, reached), "id")
+    rest = own.join(unreached(own, chosen, reached).hint("merge"), "id")
     small = keep(links.unionByName(rest).unionByName(own.filter("id = succ")))
     if metrics is not None:
         metrics.more.update(rulers=chosen.count(), small=small.count())
     ranked = keep(ruling_set(small, every, rounds, levels - 1, hash_rule(every, levels), base) if levels > 1 else base(small))
-    passed = reached.join(ranked.withColumnRenamed("id", "ruler"), "ruler").select("id", "root", (F.col("rank") - F.col("dist")).alias("rank"))
+    passed = reached.join(ranked.withColumnRenamed("id", "ruler").hint("merge"), "ruler").select("id", "root", (F.col("rank") - F.col("dist")).alias("rank"))
     return ranked.unionByName(passed)
 
 
