@@ -14,6 +14,8 @@ _own: list[tuple[SparkSession, str]] = []
 
 #: Rows of a file, at most: a split takes a file as 4 MB at least, so a task's rows are bounded however well they compress.
 FILE_ROWS = 1 << 18
+#: Rows of a task of a join, about: Spark puts parts together by their compressed bytes, and ids in order take few.
+TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,6 +65,16 @@ def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by columns for a join or an aggregation of about so many rows, into as many tasks as TASK_ROWS asks for.
+
+    So few that two such tasks a core may hold them stay as they are: Spark deals those to all cores, and would make
+    spark.sql.shuffle.partitions tasks of a smaller number here.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *by) if tasks > 2 * df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def release(df: DataFrame, part: str | None = None) -> None:
     """Removes a kept table, or a half of it, that nothing reads any more."""
     path = getattr(df, "_kept", None)

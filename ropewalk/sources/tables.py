@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import dealt
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -31,12 +33,13 @@ def events_chain(spark: SparkSession, folder: str) -> DataFrame:
 def keyed_path(ids: DataFrame, key: Column, cut: int | None = None, buckets: int = 64) -> DataFrame:
     """(id, succ): the ids as one list in order of key (unique, 0 to n - 1); cut ends a list after every key divisible by it.
 
-    The next element is found by a join on key + 1, not by a sort of all.
+    The next element is found by a join on key + 1, not by a sort of all. Its tasks are told by counted rows and its
+    sides are never broadcast, for ids in order take few bytes in a shuffle.
     """
-    rows = ids.withColumn("k", key).select("id", "k")
-    nxt = rows.select((F.col("k") - 1).alias("k"), F.col("id").alias("next"))
+    rows, n = ids.withColumn("k", key).select("id", "k"), ids.count()
+    nxt = dealt(rows.select((F.col("k") - 1).alias("k"), F.col("id").alias("next")), n, "k").hint("merge")
     step = F.col("next") if cut is None else F.when(F.col("k") % cut != 0, F.col("next"))
-    return rows.join(nxt, "k", "left").select("id", F.coalesce(step, F.col("id")).alias("succ"))
+    return dealt(rows, n, "k").join(nxt, "k", "left").select("id", F.coalesce(step, F.col("id")).alias("succ"))
 
 
 def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:

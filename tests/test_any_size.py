@@ -4,11 +4,14 @@ import functools
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from ropewalk import queries
 from ropewalk.operators import gather
 from ropewalk.plans import ranking
+from ropewalk.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,3 +34,39 @@ def test_walks_longer_than_twelve(spark, tmp_path, name):
     df = queries.QUERIES[name](spark, str(tmp_path))
     want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def orders(spark, folder, n):
+    spark.range(n).select(F.col("id").alias("o_orderkey")).write.parquet(f"{folder}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    return duck
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    duck = orders(spark, tmp_path, 100_000)  # 25 ranges of 4096 ids
+    parts, real = [], gather.keep
+
+    def seen(df, by=None):
+        parts.append(df.rdd.getNumPartitions())
+        return real(df, by)
+
+    monkeypatch.setattr(gather, "keep", seen)
+    df = queries.QUERIES["rank_path_partial"](spark, str(tmp_path))
+    assert max(parts) <= spark.sparkContext.defaultParallelism
+    want = duck.execute(f"SELECT id, root, rank FROM ({queries.SQL['rank_path_partial']})").fetchall()
+    assert sorted(map(tuple, df.select("id", "root", "rank").collect())) == sorted(want)
+
+
+def test_ranges_of_a_task_are_apart():
+    ids = np.array([5, 0, 1, 2, 3, 4, 6, 7])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.minimum(ids + 1, 7)), pa.array(np.where(ids < 7, 1, 0))], ["id", "succ", "weight"])
+    got = [r for b in gather._contract(iter([batch]), 2) for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+    assert sorted(got) == [(i, 4, 4 - i, False) for i in range(4)] + [(i, 7, 7 - i, True) for i in range(4, 8)]
+
+
+def test_paths_are_joined_without_broadcast(spark, tmp_path):
+    orders(spark, tmp_path, 1000)
+    df = tables.path(spark, str(tmp_path), "partial")
+    df.collect()
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
