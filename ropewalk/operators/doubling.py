@@ -9,7 +9,7 @@ from ..plans.fixpoint import Contraction, Metrics, round_limit, shrink
 from ..plans.tables import keep, release
 from ..schema import StructureError, weighted
 from .chase import finish
-from .lookups import ask, meet
+from .lookups import FEW, ask, meet
 from .predicates import init_state
 
 
@@ -19,11 +19,11 @@ TAIL = 1 << 18
 LEAST = 1 << 18
 
 
-def _step(active: DataFrame, everything: DataFrame, left: int, distinct_first: bool, unit: bool) -> DataFrame:
+def _step(active: DataFrame, everything: DataFrame, left: int, distinct_first: bool, unit: bool, rows: int = 0) -> DataFrame:
     """An inner join, so that few active rows may be broadcast to all others; rows it loses are noticed by their count."""
     rank = F.when(F.col("done"), F.col("rank")) if unit else F.col("rank")
     replies = everything.select(F.col("id").alias("root"), F.col("root").alias("next"), rank.alias("more"), F.col("done").alias("ends"))
-    found = meet(active.drop("done"), replies, "root", left, distinct_first)
+    found = meet(active.drop("done"), replies, "root", left, distinct_first, of=rows)
     rank = F.when(F.col("ends"), F.col("rank") + F.col("more")).otherwise(F.col("rank") * 2) if unit else F.col("rank") + F.col("more")
     return found.select("id", F.col("next").alias("root"), rank.alias("rank"), F.col("ends").alias("done"))
 
@@ -46,23 +46,27 @@ def _shorten(active: DataFrame, level: int, rows: int, hot: bool) -> DataFrame:
     return same.select("id", "root", "rank", "done").unionByName(moved)
 
 
-def _expand(active: DataFrame, done: DataFrame, level: int, rows: int, hot: bool) -> DataFrame:
+def _expand(active: DataFrame, done: DataFrame, level: int, rows: int, hot: bool, of: int = 0) -> DataFrame:
     """The last state of the elements that a level took out: what they point at has its own by now."""
     gone = active.filter(~_coin("id", level) & _coin("root", level)).select("id", "root", "rank")
     replies = done.filter(_coin("id", level)).select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("rank").alias("more"))
-    return meet(gone, replies, "root", rows, hot).select("id", F.col("next").alias("root"), (F.col("rank") + F.col("more")).alias("rank"), F.lit(True).alias("done"))
+    return meet(gone, replies, "root", rows, hot, of=of).select("id", F.col("next").alias("root"), (F.col("rank") + F.col("more")).alias("rank"), F.lit(True).alias("done"))
 
 
 def from_state(state: DataFrame, distinct_first: bool = False, unit: bool = False, tail: int = TAIL, metrics: Metrics | None = None) -> DataFrame:
     """Of (id, root, rank, done): (id, root, rank) when all are done."""
-    contracted = []
+    contracted, total = [], []
 
     def shorten(active: DataFrame, level: int, rows: int) -> DataFrame:
         contracted.append(level)
         return _shorten(active, level, rows, distinct_first)
 
-    contraction = Contraction(shorten, lambda a, d, k, n: _expand(a, d, k, n, distinct_first), least=LEAST)
-    step = lambda a, e, n: _step(a, e, n, distinct_first, unit and not contracted)
+    def step(active: DataFrame, everything: DataFrame, left: int) -> DataFrame:
+        if not total and left > FEW:
+            total.append(everything.count())
+        return _step(active, everything, left, distinct_first, unit and not contracted, max(0, *total, left))
+
+    contraction = Contraction(shorten, lambda a, d, k, n: _expand(a, d, k, n, distinct_first, max(n, *total)), least=LEAST)
     return shrink(state, step, metrics=metrics, tail=tail, finish=finish, contraction=contraction).select("id", "root", "rank")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import keep
+from ..plans.tables import dealt, keep
 
 
 def ask(requests: DataFrame, state: DataFrame, key: str, distinct_first: bool = False) -> DataFrame:
@@ -23,23 +23,24 @@ def ask(requests: DataFrame, state: DataFrame, key: str, distinct_first: bool =
 FEW, HOT_SHARE = 1 << 16, 2500
 
 
-def meet(requests: DataFrame, state: DataFrame, key: str, rows: int, hot: bool = False, how: str = "inner") -> DataFrame:
-    """requests, of which there are about rows, joined with state, unique in key, by key.
+def meet(requests: DataFrame, state: DataFrame, key: str, rows: int, hot: bool = False, how: str = "inner", of: int = 0) -> DataFrame:
+    """requests, of which there are about rows, joined with state, unique in key, by key; state has rows or of at most.
 
     Which side is broadcast is told by rows, not by the sizes of files: those of well compressed tables are a tenth and
-    less of what the driver would hold. hot reduces the replies to keys that are asked for, and those that have more
+    less of what the driver would hold. Nor do they tell a task's rows (see dealt). hot reduces the replies to keys that are asked for, and those that have more
     than one in HOT_SHARE of the requests are broadcast, so that no task gets all that ask for one.
     """
     if rows <= FEW:
         return F.broadcast(requests).join(state, key) if how == "inner" else requests.join(state.join(F.broadcast(requests.select(key).distinct()), key, "left_semi").hint("merge"), key, how)
+    many = max(rows, of)
     if not hot:
-        return requests.join(state.hint("merge"), key, how)
+        return dealt(requests, many, key).join(dealt(state, many, key).hint("merge"), key, how)
     keys = keep(requests.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(16, rows // HOT_SHARE)).select(key))
     wanted = requests.join(F.broadcast(keys), key, "left_anti")
     few = keep(state.join(F.broadcast(keys), key, "left_semi"))
     apart = requests.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few), key, how)
-    replies = wanted.select(key).distinct().join(state.hint("merge"), key)
-    return apart.unionByName(wanted.join(replies.hint("merge"), key, how))
+    replies = dealt(wanted.select(key).distinct(), many, key).join(dealt(state, many, key).hint("merge"), key)
+    return apart.unionByName(dealt(wanted, many, key).join(replies.hint("merge"), key, how))
 
 
 def neighbour_values(edges: DataFrame, values: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import dealt
 from ..schema import weighted
 
 
@@ -22,11 +23,11 @@ def active(succ: DataFrame) -> DataFrame:
     return succ.filter("succ != id").select("id")
 
 
-def leaves(succ: DataFrame, proper_only: bool = False) -> DataFrame:
-    """Elements that no other points to; an isolated root is one unless proper_only."""
-    pointed = succ.filter("succ != id").select(F.col("succ").alias("id")).distinct()
+def leaves(succ: DataFrame, proper_only: bool = False, rows: int = 0) -> DataFrame:
+    """Elements that no other points to; an isolated root is one unless proper_only. rows: how many succ has, if known."""
+    pointed = dealt(succ.filter("succ != id").select(F.col("succ").alias("id")), rows, "id").distinct()
     own = succ.filter("succ != id") if proper_only else succ
-    return own.select("id").join(pointed.hint("merge"), "id", "left_anti")
+    return dealt(own.select("id"), rows, "id").join(pointed.hint("merge"), "id", "left_anti")
 
 
 def in_degrees(succ: DataFrame) -> DataFrame:

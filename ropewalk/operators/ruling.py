@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ruler_rate
 from ..plans.fixpoint import Metrics
-from ..plans.tables import keep
+from ..plans.tables import dealt, keep, release
 from ..schema import StructureError, weighted
 from .doubling import doubling
 from .gather import contracted
@@ -22,10 +22,10 @@ def hash_rule(every: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)) == 0
 
 
-def rulers(succ: DataFrame, rule: Column, heads: bool = True) -> DataFrame:
+def rulers(succ: DataFrame, rule: Column, heads: bool = True, rows: int = 0) -> DataFrame:
     """Sampled elements but roots, and the heads of lists, without which their beginnings are never reached."""
     own = succ.filter(rule & (F.col("id") != F.col("succ"))).select("id")
-    return own.unionByName(leaves(succ, proper_only=True)).distinct() if heads else own
+    return own.unionByName(leaves(succ, proper_only=True, rows=rows)).distinct() if heads else own
 
 
 def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metrics | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +35,14 @@ def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metric
     ended its walk, or to where it stands when the rounds are over. Without rounds all walk to their ends.
     """
     metrics = metrics if metrics is not None else Metrics()
-    nodes = keep(weighted(succ).join(chosen.withColumn("stop", F.lit(True)).hint("merge"), "id", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) | (F.col("id") == F.col("succ"))))
-    front, going = nodes.join(chosen.hint("merge"), "id").filter("id != succ").select(F.col("succ").alias("target"), F.col("id").alias("ruler"), F.col("weight").alias("dist")), chosen.count()
+    own = keep(weighted(succ))
+    n = own.count()
+    nodes = keep(dealt(own, n, "id").join(dealt(chosen, n, "id").withColumn("stop", F.lit(True)).hint("merge"), "id", "left").withColumn("stop", F.coalesce("stop", F.lit(False)) | (F.col("id") == F.col("succ"))))
+    release(own)
+    front, going = dealt(nodes, n, "id").join(dealt(chosen, n, "id").hint("merge"), "id").filter("id != succ").select(F.col("succ").alias("target"), F.col("id").alias("ruler"), F.col("weight").alias("dist")), chosen.count()
     reached, links = [], []
-    for _ in range(max(1, nodes.count()) if rounds is None else rounds):
-        now = keep(meet(front, nodes.withColumnRenamed("id", "target"), "target", going), "stop")
+    for _ in range(max(1, n) if rounds is None else rounds):
+        now = keep(meet(front, nodes.withColumnRenamed("id", "target"), "target", going, of=n), "stop")
         links.append(now.filter("stop").select(F.col("ruler").alias("id"), F.col("target").alias("succ"), F.col("dist").alias("weight")))
         on = now.filter("not stop")
         reached.append(on.select(F.col("target").alias("id"), "ruler", "dist"))
@@ -57,9 +60,10 @@ def walk(succ: DataFrame, chosen: DataFrame, rounds: int | None, metrics: Metric
     return out, link
 
 
-def unreached(succ: DataFrame, chosen: DataFrame, reached: DataFrame) -> DataFrame:
+def unreached(succ: DataFrame, chosen: DataFrame, reached: DataFrame, rows: int = 0) -> DataFrame:
     """Elements, no roots, that no walk passed and that are no rulers."""
-    return succ.filter("id != succ").select("id").join(reached.select("id").unionByName(chosen).hint("merge"), "id", "left_anti")
+    passed = dealt(reached.select("id").unionByName(chosen), rows, "id")
+    return dealt(succ.filter("id != succ").select("id"), rows, "id").join(passed.hint("merge"), "id", "left_anti")
 
 
 def walk_stats(succ: DataFrame, chosen: DataFrame, rounds: int | None) -> DataFrame:
@@ -102,15 +106,16 @@ def ruling_set(
     if not is_list(succ):
         raise StructureError("a ruling set needs lists: an element has two predecessors")
     own = weighted(succ)
-    chosen = keep(rulers(own, rule if rule is not None else hash_rule(every)))
+    n = own.count()
+    chosen = keep(rulers(own, rule if rule is not None else hash_rule(every), rows=n))
     reached, links = walk(own, chosen, rounds, metrics)
-    rest = own.join(unreached(own, chosen, reached).hint("merge"), "id")
+    rest = dealt(own, n, "id").join(unreached(own, chosen, reached, n).hint("merge"), "id")
     small = keep(links.unionByName(rest).unionByName(own.filter("id = succ")))
     if metrics is not None:
         metrics.more.update(rulers=chosen.count(), small=small.count())
     ranked = keep(ruling_set(small, every, rounds, levels - 1, hash_rule(every, levels), base) if levels > 1 else base(small))
-    passed = reached.join(ranked.withColumnRenamed("id", "ruler").hint("merge"), "ruler").select("id", "root", (F.col("rank") - F.col("dist")).alias("rank"))
-    return ranked.unionByName(passed)
+    passed = dealt(reached, n, "ruler").join(dealt(ranked.withColumnRenamed("id", "ruler"), n, "ruler").hint("merge"), "ruler")
+    return ranked.unionByName(passed.select("id", "root", (F.col("rank") - F.col("dist")).alias("rank")))
 
 
 def post_invert(ranked: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from ropewalk import queries
-from ropewalk.operators import gather
+from ropewalk.operators import gather, lookups
 from ropewalk.plans import ranking
+from ropewalk.plans import tables as kept
 from ropewalk.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -70,3 +71,15 @@ def test_paths_are_joined_without_broadcast(spark, tmp_path):
     df = tables.path(spark, str(tmp_path), "partial")
     df.collect()
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_in_tasks_of_counted_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kept, "TASK_ROWS", 1000, raising=False)
+    requests, state = spark.range(70_000).selectExpr("id", "id DIV 2 AS root"), spark.range(70_000).selectExpr("id AS root", "-id AS value")
+    met = lookups.meet(requests, state, "root", 70_000)
+    assert met.count() == 70_000 and met.rdd.getNumPartitions() == 70
+    duck = orders(spark, tmp_path, 20_000)
+    df = queries.QUERIES["rank_ruling_set_contracted"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 20
+    want = duck.execute(f"SELECT id, root, rank FROM ({queries.SQL['rank_ruling_set_contracted']})").fetchall()
+    assert sorted(map(tuple, df.select("id", "root", "rank").collect())) == sorted(want)
