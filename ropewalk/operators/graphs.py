@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import keep, release
+from ..plans.tables import dealt, keep, keep_by, release
 from .components import components
+from .lookups import FEW
 
 
 #: Tables of levels beside each other, at least, before two become one.
@@ -62,8 +63,9 @@ def bfs(edges: DataFrame, starts: DataFrame, edge_pred: Column | None = None, ma
             break
         level += 1
         seen = reduce(DataFrame.unionByName, [x.select("id") for _, x in visited], now.select("id"))
-        found = now.select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        new = keep(found.join(seen, "id", "left_anti").select("id", "parent", F.lit(level).cast("long").alias("level")))
+        front = now.select(F.col("id").alias("src"))
+        found = edges.join(F.broadcast(front) if n <= FEW else front.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        new = keep(found.join(seen.hint("merge"), "id", "left_anti").select("id", "parent", F.lit(level).cast("long").alias("level")))
         visited.append((n, now))
         while len(visited) > MANY and visited[-2][0] <= 2 * visited[-1][0]:
             (few, a), (more, b) = visited.pop(), visited.pop()
@@ -74,11 +76,51 @@ def bfs(edges: DataFrame, starts: DataFrame, edge_pred: Column | None = None, ma
     return reduce(DataFrame.unionByName, [x for _, x in visited], now.limit(0)) if visited else now
 
 
+def _contract(edges: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """(moved, less): each vertex becomes the least of itself and what its edges lead to. moved (id) are those that
+    become another; less (src, dst) are the edges between what is left, each once.
+
+    An edge from a vertex to what it becomes stays an edge or ends in one vertex, so what hung together still does, and
+    the least vertex of a component stays itself.
+    """
+    least = keep(edges.groupBy("src").agg(F.min("dst").alias("to")).filter("to < src"))
+    to = dealt(least.select(F.col("src").alias("dst"), F.col("to").alias("end")), many, "dst").hint("shuffle_hash")
+    one = edges.join(least.hint("shuffle_hash"), "src", "left").select(F.coalesce("to", "src").alias("begin"), "dst")
+    both = dealt(one, many, "dst").join(to, "dst", "left").select("begin", F.coalesce("end", "dst").alias("end")).filter("begin != end")
+    less = both.select(F.greatest("begin", "end").alias("src"), F.least("begin", "end").alias("dst"))
+    return least.select(F.col("src").alias("id")), keep(dealt(less, many, "src", "dst").distinct())
+
+
+#: Edges, at least, that are contracted before components are sought, and rounds of that, at most.
+MANY_EDGES, ROUNDS = 1 << 20, 4
+
+
+def starts_of(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id): the least vertex of every component. Many edges are contracted first, for as long as that makes them half."""
+    moved, now, many = [], edges, edges.count()
+    for _ in range(ROUNDS):
+        if many <= MANY_EDGES:
+            break
+        gone, less = _contract(now, many) if now is edges else _contract(both_directions(now), 2 * many)
+        if now is not edges:
+            release(now)
+        moved.append(gone)
+        before, now, many = many, less, less.count()
+        if len(moved) > 1 and many > before / 2:
+            break
+    roots = components(now.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return vertices.join(reduce(DataFrame.unionByName, moved, roots.select(F.col("u").alias("id"))).hint("merge"), "id", "left_anti")
+
+
 def bfs_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(id, succ): breadth-first trees from the least vertex of every component, all at once; lone vertices are roots."""
-    roots = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    starts = vertices.join(roots.select(F.col("u").alias("id")), "id", "left_anti")
-    return bfs(edges, starts).select("id", F.col("parent").alias("succ"))
+    """(id, succ): breadth-first trees from the least vertex of every component, all at once; lone vertices are roots.
+
+    The edges are kept by their src: levels and the first contraction don't shuffle them.
+    """
+    edges = keep_by(edges.select("src", "dst"), "src")
+    out = bfs(edges, starts_of(edges, vertices)).select("id", F.col("parent").alias("succ"))
+    release(edges)
+    return out
 
 
 def lightest_edge_forest(edges: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -75,12 +75,32 @@ def dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
     return df.repartition(tasks, *by) if tasks > 2 * df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def keep_by(df: DataFrame, by: str) -> DataFrame:
+    """Keeps a table that is to be joined or grouped by one column many times: a large one in buckets, so that this takes no shuffle."""
+    spark = df.sparkSession
+    kept = keep(df)
+    rows = kept.count()
+    if dealt(kept, rows, by) is kept:
+        return kept
+    n = max(-(-rows // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path, name = f"{shared_folder(spark)}/ropewalk-{uuid.uuid4().hex}", f"ropewalk_{uuid.uuid4().hex}"
+    writer = kept.repartition(n, by).write.option("compression", "zstd").option("path", path).bucketBy(n, by)
+    writer.saveAsTable(name, format="parquet")
+    _own.append((spark, path))
+    out = spark.table(name)
+    out._kept, out._name = path, name
+    release(kept)
+    return out
+
+
 def release(df: DataFrame, part: str | None = None) -> None:
     """Removes a kept table, or a half of it, that nothing reads any more."""
     path = getattr(df, "_kept", None)
     if path and part:
         remove(df.sparkSession, f"{path}/{part}")
     elif path:
+        if name := getattr(df, "_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         _own[:] = [x for x in _own if x[1] != path]
         remove(df.sparkSession, path)
 

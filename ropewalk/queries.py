@@ -448,7 +448,7 @@ def forest_sql(rounds: int = 8) -> str:
 @query(forest_sql())
 def bfs_forest(s: SparkSession, d: str) -> DataFrame:
     edges, vertices = t.purchases(s, d)
-    return graphs.bfs_forest(keep(edges), vertices)
+    return graphs.bfs_forest(edges, vertices)
 
 
 @query(

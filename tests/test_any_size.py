@@ -2,6 +2,7 @@
 
 import functools
 import os
+import random
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from ropewalk import queries
-from ropewalk.operators import gather, lookups
+from ropewalk.operators import gather, graphs, lookups
 from ropewalk.plans import ranking
 from ropewalk.plans import tables as kept
 from ropewalk.sources import tables
@@ -83,3 +84,32 @@ def test_joins_in_tasks_of_counted_rows(spark, tmp_path, monkeypatch):
     assert df.rdd.getNumPartitions() >= 20
     want = duck.execute(f"SELECT id, root, rank FROM ({queries.SQL['rank_ruling_set_contracted']})").fetchall()
     assert sorted(map(tuple, df.select("id", "root", "rank").collect())) == sorted(want)
+
+
+def test_forest_of_many_edges_is_contracted_and_bucketed(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = {(a, b) for low in (0, 100) for a, b in (sorted(rng.sample(range(low, low + 60), 2)) for _ in range(120))}
+    edges, vertices = graphs.both_directions(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint")), spark.range(200)
+    near = {v: sorted({b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}) for v in range(200)}
+    want = {}
+    for v in range(200):
+        if v not in want:
+            want[v], level = v, [v]
+            while level:
+                new = {}
+                for a in sorted(level):
+                    new |= {b: a for b in near[a] if b not in want and b not in new}
+                want |= new
+                level = list(new)
+    sought, real = [], graphs.components
+
+    def seen(e):
+        sought.append(e.count())
+        return real(e)
+
+    monkeypatch.setattr(graphs, "components", seen)
+    monkeypatch.setattr(graphs, "MANY_EDGES", 10, raising=False)
+    monkeypatch.setattr(kept, "TASK_ROWS", 40, raising=False)
+    assert dict(graphs.bfs_forest(edges, vertices).select("id", "succ").collect()) == want
+    assert sought[0] < len(pairs) / 2
+    assert not spark.catalog.listTables()
